@@ -14,6 +14,7 @@ that wrote them delivered its count, so that a lost or repeated task cannot leav
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,6 +51,22 @@ def splits_at_spaces(path: str) -> bool:
     return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
 
 
+@lru_cache(maxsize=2)
+def id_bytes(path: str) -> np.ndarray:
+    """Bytes that each id stands for, in a byte-level vocabulary."""
+    vocab = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for name, i in vocab.items():
+        out[i] = len(name)
+    return out
+
+
+#: A space before white space: there a pre-token may cross the space.
+_RUN = re.compile(r" \s")
+#: A comma or full stop that doesn't follow a letter or digit: it may belong to a longer pre-token.
+_MARKS = re.compile(r"(?:\W|_|^)[,.]")
+
+
 def encode_texts(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
     """The ids of each whole text as packed integers, as the library's encode(text, add_special_tokens=False).
 
@@ -64,18 +81,34 @@ def encode_texts(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
     if len(memo) > CACHE:
         memo.clear()
     parts: list[list[str]] = []
+    wholes: list[str] = []
     for text in texts:
-        if "  " in text or "\0" in text or "<|" in text or text[:1].isspace() or text[-1:].isspace():
-            parts.append([text])
-        else:
-            parts.append(text.replace(" ", "\0 ").split("\0"))
-    new = list(set(chain.from_iterable(parts)).difference(memo))
-    memo.update(zip(new, pack(new)))
-    out = [b"".join(map(memo.__getitem__, p)) for p in parts]
-    for p in parts:  # whole texts don't come again
-        if len(p) == 1 and len(p[0]) > 64:
-            memo.pop(p[0], None)
-    return out
+        if "<|" in text or "\0" in text or text[:1].isspace() or text[-1:].isspace() or _RUN.search(text):
+            parts.append([])
+            wholes.append(text)
+            continue
+        cut = text.replace(" ", "\0 ")
+        if not _MARKS.search(text):  # every mark stands after a letter or digit, so a pre-token starts there
+            cut = cut.replace(",", "\0,").replace(".", "\0.")
+        parts.append(cut.split("\0"))
+    new = set(chain.from_iterable(parts)).difference(memo)
+    chunks = [c for c in new if c[:1] == " "]
+    single = [c for c in new if c[:1] != " "]
+    memo.update(zip(single, pack(single)))
+    # Chunks side by side encode as each alone; their ends are where the bytes of the ids have summed to theirs.
+    lengths = id_bytes(path)
+    for at in range(0, len(chunks), 2000):
+        some = chunks[at : at + 2000]
+        ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype)
+        ends = np.cumsum([len(c.encode()) for c in some])
+        cuts = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
+        raw, size = ids.tobytes(), dtype.itemsize
+        begin = 0
+        for c, end in zip(some, (cuts * size).tolist()):
+            memo[c] = raw[begin:end]
+            begin = end
+    rest = iter(pack(wholes))
+    return [b"".join(map(memo.__getitem__, p)) if p else next(rest) for p in parts]
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files",)
+MODULES = ("token_files", "string_kernel", "trie_bpe", "gam_quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("token_files", "string_kernel", "trie_bpe", "chat_rotation", "jaccard_join", "embedding_dedup", "string_tiling", "gam_quality", "class_lm")
+MODULES = ("token_files", "string_kernel", "bwt_dedup", "trie_bpe", "chat_rotation", "jaccard_join", "embedding_dedup", "string_tiling", "gam_quality", "class_lm")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

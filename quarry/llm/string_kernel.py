@@ -28,12 +28,13 @@ from quarry.llm.training import held_out, labelled
 ORDER, DECAY, WIDTH = 3, 0.6, 16
 #: A unit that holds a smaller share of the letter pairs of every insult landmark, each with at most GAP characters
 #: between, is background.
-MIN_PAIRS, GAP = 0.6, 2
+MIN_PAIRS, GAP = 0.75, 2
 #: Units whose value a worker keeps.  A cache only.
 CACHE = 500_000
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
+_memos: dict[str, dict[str, float]] = {}
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _BACKGROUND = -1e9
 #: Values below this count as it in the calibration.
@@ -148,28 +149,36 @@ def holds_pairs(strings: list[str], marks: list[str]) -> np.ndarray:
     table_of = np.zeros(0x110000, np.int16)
     for c, k in code.items():
         table_of[ord(c)] = k
-    flat = table_of[np.frombuffer(("\n" * (GAP + 1)).join(strings).encode("utf-32-le"), np.uint32)].astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum([len(s) + GAP + 1 for s in strings])[:-1]])
-    for at in range(0, len(marks), 8):
-        some = marks[at : at + 8]
-        pairs = sorted({m[k : k + 2] for m in some for k in range(len(m) - 1)})
-        bit = {p: k for k, p in enumerate(pairs)}
-        words = [np.zeros(size * size, np.uint64) for _ in range((len(pairs) + 63) // 64)]
-        for p, k in bit.items():
-            words[k // 64][code[p[0]] * size + code[p[1]]] |= np.uint64(1) << np.uint64(k % 64)
+    bit: dict[str, int] = {}
+    for m in marks:  # neighbours of one mark get bits side by side
+        for k in range(len(m) - 1):
+            bit.setdefault(m[k : k + 2], len(bit))
+    tables = [np.zeros(size * size, np.uint64) for _ in range(len(bit) // 64 + 1)]
+    for p, k in bit.items():
+        tables[k // 64][code[p[0]] * size + code[p[1]]] |= np.uint64(1) << np.uint64(k % 64)
+    wanted = []
+    for m in marks:
+        own: dict[int, int] = {}
+        for k in {bit[m[k : k + 2]] for k in range(len(m) - 1)}:
+            own[k // 64] = own.get(k // 64, 0) | 1 << (k % 64)
+        wanted.append(([(w, np.uint64(v)) for w, v in own.items()], int(np.ceil(MIN_PAIRS * sum(v.bit_count() for v in own.values())))))
+    for at in range(0, len(strings), 50_000):
+        some = strings[at : at + 50_000]
+        flat = table_of[np.frombuffer(("\n" * (GAP + 1)).join(some).encode("utf-32-le"), np.uint32)].astype(np.int32)
+        begins = np.concatenate([[0], np.cumsum([len(s) + GAP + 1 for s in some])[:-1]])
+        cells = [flat[:-gap] * size + flat[gap:] for gap in range(1, GAP + 2) if len(flat) > gap]
         held = []
-        for w in words:
+        for t in tables:
             total = np.zeros(len(flat), np.uint64)
-            for gap in range(1, GAP + 2):
-                if len(flat) > gap:
-                    total[:-gap] |= w[flat[:-gap] * size + flat[gap:]]
+            for gap, cell in enumerate(cells, 1):
+                total[:-gap] |= t[cell]
             held.append(np.bitwise_or.reduceat(total, begins))
-        for m in some:
-            own = {bit[m[k : k + 2]] for k in range(len(m) - 1)}
-            found = np.zeros(len(strings), np.int64)
-            for n, h in enumerate(held):
-                found += np.bitwise_count(h & np.uint64(sum(1 << (k % 64) for k in own if k // 64 == n)))
-            near |= found >= np.ceil(MIN_PAIRS * len(own))
+        ok = near[at : at + 50_000]
+        for parts, need in wanted:
+            found = np.bitwise_count(held[parts[0][0]] & parts[0][1])
+            for w, v in parts[1:]:
+                found = found + np.bitwise_count(held[w] & v)
+            ok |= found >= need
     return near
 
 
@@ -341,8 +350,12 @@ def score_toxicity(docs: DataFrame, model: KernelModel | float, columns: list[st
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("__scored_text"))
     names = [f.name for f in rows.schema.fields[:-1]]
 
+    stamp = repr((model.landmarks, model.weights.tolist(), model.bias)) if isinstance(model, KernelModel) else ""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        if stamp not in _memos:
+            _memos.clear()
+        memo = _memos.setdefault(stamp, {})
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

@@ -1,4 +1,496 @@
-"""The catalogue of vector queries; filled by the operator modules."""
+"""The catalogue of vector queries, each with equivalent SQL where SQL can express it.
 
+All run on whole tables.  Queries of the search operators are the vectors whose id is divisible by 50.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions.kernels import level_of, normalize
+from quarry.functions.validate import violations as vector_violations
+from quarry.operators import graph, truth, variants
+from quarry.operators.graph_index import GraphParams
+from quarry.operators.hnsw import build, search, sweep
+from quarry.operators.knn import distances_to, knn, nearest
+from quarry.operators.selection import candidate_lists, select_neighbors
+from quarry.sources import tables
+from quarry.streaming import log as wal
+
+K = 10
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    return tables.vectors(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def _asked(base: DataFrame) -> DataFrame:
+    return base.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
+
+
+def _neighbours(spark: SparkSession, d: str, k: int = K, metric: str = "l2", **more) -> DataFrame:
+    base = _base(spark, d)
+    return knn(base, _asked(base), k, metric, **more)
+
+
+# SQL of the kernels: double terms summed from the left, narrowed once, with -0.0 made 0.0
+def _pairs(a: str, b: str, term: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {term}))"
+
+
+def _l2(a: str, b: str) -> str:
+    return f"CAST({_pairs(a, b, '(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))')} AS FLOAT) + CAST(0 AS FLOAT)"
+
+
+def _dot(a: str, b: str) -> str:
+    return _pairs(a, b, "CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)")
+
+
+_UNIT = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * (1.0::DOUBLE / sqrt(
+  list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS FLOAT)) AS vec FROM embeddings)"""
+_PLAIN = "u AS (SELECT vec_id AS id, embedding AS vec FROM embeddings)"
+
+
+def _knn(dist: str, vectors: str = _PLAIN, base: str = "u", k: int = K, asked: str = "u WHERE id % 50 = 0", name: str = "nn", where: str = "") -> str:
+    """CTEs that end in a neighbour table of that name."""
+    return f"""{vectors}, {name}_d AS (
+  SELECT q.id AS qid, b.id AS id, {dist} AS dist FROM (SELECT * FROM {asked}) q, {base} b {where}
+), {name} AS (
+  SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS INTEGER) AS rank, id, dist FROM {name}_d) WHERE rank < {k}
+)"""
+
+
+_L2 = _l2("q.vec", "b.vec")
+_COSINE = f"CAST(1.0::DOUBLE - {_dot('q.vec', 'b.vec')} AS FLOAT) + CAST(0 AS FLOAT)"
+_DOT = f"CAST(-{_dot('q.vec', 'b.vec')} AS FLOAT) + CAST(0 AS FLOAT)"
+_ROWS = "SELECT qid, rank, id, dist FROM nn"
+
+
+@query(f"WITH {_knn(_L2)} {_ROWS}")
+def knn_l2(spark, d):
+    return _neighbours(spark, d)
+
+
+@query(f"WITH {_knn(_COSINE, _UNIT)} {_ROWS}")
+def knn_cosine(spark, d):
+    return _neighbours(spark, d, metric="cosine")
+
+
+@query(f"WITH {_knn(_DOT)} {_ROWS}")
+def knn_dot(spark, d):
+    return _neighbours(spark, d, metric="dot")
+
+
+@query(f"WITH {_knn(_L2)} {_ROWS}")
+def knn_l2_columns(spark, d):
+    """The same by column kernels over a broadcast of the queries."""
+    return _neighbours(spark, d, impl="hof")
+
+
+@query(f"WITH {_knn(_L2, asked='u WHERE id = 0')} SELECT rank, id, dist FROM nn")
+def knn_single_query(spark, d):
+    base = _base(spark, d)
+    return nearest(base, base.where("id = 0").first()["vec"], K)
+
+
+@query(f"""WITH {_PLAIN} SELECT q.id AS qid, b.id AS id, {_L2} AS dist FROM u q JOIN u b ON b.id IN (q.id, q.id // 2, q.id // 3)
+WHERE q.id % 50 = 0""")
+def distances_to_ids(spark, d):
+    base = _base(spark, d)
+    ids = F.explode(F.array_distinct(F.array(F.col("qid"), F.floor(F.col("qid") / 2), F.floor(F.col("qid") / 3))))
+    return distances_to(base, _asked(base).select("qid", "vec", ids.alias("id")))
+
+
+@query(f"WITH {_UNIT} SELECT id, vec[1] AS first, vec[64] AS last, CAST(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))) AS FLOAT) AS total FROM u")
+def normalize_vectors(spark, d):
+    v = _base(spark, d).select("id", normalize(F.col("vec")).alias("vec"))
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")).cast("float")
+    return v.select("id", F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"), total.alias("total"))
+
+
+_DAMAGED = """w AS (SELECT vec_id AS id, CASE
+  WHEN vec_id % 7 = 1 THEN list_concat(embedding[1:3], [CAST('nan' AS FLOAT)], embedding[5:64])
+  WHEN vec_id % 7 = 2 THEN embedding[1:63]
+  WHEN vec_id % 7 = 3 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT))
+  WHEN vec_id % 7 = 4 THEN NULL ELSE embedding END AS vec FROM embeddings)"""
+
+
+@query(f"""WITH {_DAMAGED} SELECT CASE WHEN vec IS NULL THEN 'null_vector' WHEN len(vec) <> 64 THEN 'bad_dimension' WHEN isnan(vec[4]) THEN 'non_finite' ELSE 'zero_vector' END AS kind,
+  id, CAST(CASE WHEN len(vec) = 64 AND isnan(vec[4]) THEN 3 END AS INTEGER) AS component,
+  CASE WHEN vec IS NULL THEN NULL WHEN len(vec) <> 64 THEN 'dim ' || len(vec) WHEN isnan(vec[4]) THEN 'nan' ELSE 'zero' END AS what
+FROM w WHERE vec IS NULL OR len(vec) <> 64 OR isnan(vec[4]) OR len(list_filter(vec, lambda x: x <> 0)) = 0""")
+def vector_violation_table(spark, d):
+    """Violations of a copy with rows damaged by id."""
+    base = _base(spark, d)
+    nan = F.concat(F.slice("vec", 1, 3), F.array(F.lit(float("nan")).cast("float")), F.slice("vec", 5, 60))
+    kind = F.pmod("id", F.lit(7))
+    bad = F.when(kind == 1, nan).when(kind == 2, F.slice("vec", 1, 63)).when(kind == 3, F.transform("vec", lambda x: F.lit(0).cast("float"))).when(kind == 4, F.lit(None)).otherwise(F.col("vec"))
+    found = vector_violations(base.select("id", bad.alias("vec")), 64, zero=True)
+    what = F.when(F.col("kind") == "bad_dimension", F.concat(F.lit("dim "), F.col("value").cast("int").cast("string"))).when(F.col("kind") == "non_finite", "nan").when(F.col("kind") == "zero_vector", "zero")
+    return found.select("kind", "id", "component", what.alias("what"))
+
+
+# a list that is near the truth: exact neighbours over the first half of the components
+_HALF = _l2("q.vec[1:32]", "b.vec[1:32]")
+_BOTH = f"WITH {_knn(_L2, name='ref')}, {_knn(_HALF, 'u2 AS (SELECT * FROM u)', name='ours')}"
+_PER = """per AS (SELECT a.qid, count(*) AS positions, sum(CASE WHEN a.id = b.id THEN 1 ELSE 0 END) AS same, list_sort(list(a.id)) = list_sort(list(b.id)) AS same_set,
+  min(CASE WHEN a.id <> b.id THEN a.rank END) AS first_difference FROM ours a JOIN ref b ON a.qid = b.qid AND a.rank = b.rank GROUP BY a.qid)"""
+
+
+def _two_lists(spark, d):
+    base = _base(spark, d)
+    half = base.select("id", F.slice("vec", 1, 32).alias("vec"))
+    return base, knn(half, _asked(half), K), knn(base, _asked(base), K)
+
+
+@query(f"{_BOTH}, {_PER} SELECT qid, CAST(positions AS BIGINT) AS positions, CAST(same AS BIGINT) AS same, same = positions AS identical_row, same_set, first_difference FROM per")
+def list_agreement(spark, d):
+    _, ours, ref = _two_lists(spark, d)
+    return truth.rows_of(ours, ref)
+
+
+@query(f"""{_BOTH}, {_PER}, t AS (SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(sum(positions) AS BIGINT) AS positions, CAST(sum(same) AS BIGINT) AS identical_positions,
+  CAST(sum(CASE WHEN same = positions THEN 1 ELSE 0 END) AS BIGINT) AS identical_rows, CAST(sum(CASE WHEN same_set THEN 1 ELSE 0 END) AS BIGINT) AS same_set_rows FROM per)
+SELECT *, identical_rows / "rows" AS row_ratio, same_set_rows / "rows" AS same_set_ratio, identical_positions / positions AS position_ratio, identical_positions = positions AS is_exact FROM t""")
+def list_agreement_ratios(spark, d):
+    _, ours, ref = _two_lists(spark, d)
+    return truth.compare(ours, ref)
+
+
+@query(f"{_BOTH}, {_PER} SELECT qid, first_difference FROM per WHERE same <> positions ORDER BY qid LIMIT 5")
+def first_difference(spark, d):
+    _, ours, ref = _two_lists(spark, d)
+    return truth.examples(ours, ref)
+
+
+@query(f"""{_BOTH}, p AS (SELECT CAST({_l2('q.vec', 'x.vec')} AS DOUBLE) AS da, CAST({_l2('q.vec', 'y.vec')} AS DOUBLE) AS db
+  FROM ours a JOIN ref b ON a.qid = b.qid AND a.rank = b.rank AND a.id <> b.id JOIN u q ON q.id = a.qid JOIN u x ON x.id = a.id JOIN u y ON y.id = b.id),
+g AS (SELECT CASE WHEN da = db THEN 0 ELSE abs(da - db) / greatest(abs(da), abs(db)) END AS gap FROM p)
+SELECT count(*) AS differing, CAST(sum(CASE WHEN gap <= 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS equivalent, coalesce(max(gap), 0) AS max_relative_gap,
+  count(*) = sum(CASE WHEN gap <= 0.2 THEN 1 ELSE 0 END) AS is_equivalent FROM g""")
+def distance_equivalence(spark, d):
+    base, ours, ref = _two_lists(spark, d)
+    return truth.distance_equivalence(base, _asked(base), ours, ref, rtol=0.2)
+
+
+@query(f"{_BOTH} SELECT count(*) AS hits, (SELECT count(DISTINCT qid) * {K} FROM ref) AS expected, count(*) / (SELECT count(DISTINCT qid) * {K} FROM ref) AS recall FROM ours a WHERE EXISTS (SELECT 1 FROM ref b WHERE b.qid = a.qid AND b.id = a.id)")
+def recall_at_k(spark, d):
+    _, ours, ref = _two_lists(spark, d)
+    return truth.recall(ours, ref, K)
+
+
+_COARSE = "u AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS FLOAT)) AS vec FROM embeddings)"
+
+
+@query(f"WITH {_knn(_L2, _COARSE)} {_ROWS}")
+def tie_break_by_id(spark, d):
+    base = _base(spark, d).select("id", F.transform(F.slice("vec", 1, 4), lambda x: F.when(x > 0, 1).otherwise(0).cast("float")).alias("vec"))
+    return knn(base, _asked(base), K)
+
+
+@query("SELECT vec_id AS id, embedding[1] AS first FROM embeddings WHERE vec_id < 100")
+def take_first_n(spark, d):
+    return tables.first_n(_base(spark, d), 100).select("id", F.col("vec")[0].alias("first"))
+
+
+_LEVEL = "CAST(least(floor(-ln((CAST(('0x' || substr(md5('0:' || vec_id), 1, 13)) AS BIGINT) + 1.0::DOUBLE) / 4503599627370496.0::DOUBLE) / 2.772588722239781::DOUBLE), 32) AS INTEGER)"
+
+
+@query(f"SELECT vec_id AS id, {_LEVEL} AS level FROM embeddings")
+def level_assignment(spark, d):
+    return _base(spark, d).select("id", level_of(F.col("id")).alias("level"))
+
+
+@query(f"SELECT {_LEVEL} AS level, count(*) AS n FROM embeddings GROUP BY 1")
+def level_histogram(spark, d):
+    return _base(spark, d).groupBy(level_of(F.col("id")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+M = 8
+_GRAPH = _knn(_L2, asked="u", k=M, where="WHERE q.id <> b.id")
+_EDGES = f"WITH {_GRAPH}, e AS (SELECT 0 AS layer, qid AS src, rank AS pos, id AS dst FROM nn)"
+
+
+def _graph(spark, d):
+    base = _base(spark, d)
+    edges = graph.knn_edges(knn(base, base.select(F.col("id").alias("qid"), "vec"), M, exclude_self=True))
+    return base.select("id", F.lit(0).alias("level")), edges
+
+
+@query(f"{_EDGES} SELECT layer, src, pos, dst FROM e")
+def knn_graph_edges(spark, d):
+    return _graph(spark, d)[1]
+
+
+_STATS = f"""{_EDGES}, deg AS (SELECT v.vec_id AS id, count(e.src) AS degree FROM embeddings v LEFT JOIN e ON e.src = v.vec_id GROUP BY v.vec_id),
+oneway AS (SELECT count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)),
+st AS (SELECT 0 AS layer, count(*) AS nodes, CAST(sum(degree) AS BIGINT) AS edges, min(degree) AS min_degree, max(degree) AS max_degree, CAST(sum(degree) / count(*) AS DOUBLE) AS mean_degree,
+  CAST(sum(CASE WHEN degree = 0 THEN 1 ELSE 0 END) AS BIGINT) AS isolated, (SELECT n FROM oneway) AS one_way FROM deg)"""
+
+
+@query(f"{_STATS} SELECT *, CAST(one_way AS DOUBLE) / edges AS asymmetry_ratio, CAST(16 AS BIGINT) AS degree_cap, nodes * 17 * 4 AS bytes FROM st")
+def graph_layer_stats(spark, d):
+    return graph.layer_stats(*_graph(spark, d), m=M)
+
+
+@query(f"{_STATS} SELECT CAST(1 AS BIGINT) AS layers, nodes, edges, one_way, nodes * 17 * 4 AS bytes, CAST(one_way AS DOUBLE) / edges AS asymmetry_ratio FROM st")
+def graph_total_stats(spark, d):
+    return graph.total_stats(graph.layer_stats(*_graph(spark, d), m=M))
+
+
+@query(f"{_EDGES} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)")
+def graph_asymmetry(spark, d):
+    _, edges = _graph(spark, d)
+    return edges.select("src", "dst").join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+
+
+@query(f"""{_EDGES}, bad AS (
+  SELECT layer, src, pos, CASE WHEN src % 20 = 3 AND pos = 0 THEN src WHEN src % 20 = 4 AND pos = 1 THEN dst + 1000000 ELSE dst END AS dst FROM e WHERE src % 20 <> 5
+  UNION ALL SELECT layer, src, pos + 100, dst FROM e WHERE src % 20 = 6
+  UNION ALL SELECT 1, src, pos, dst FROM e WHERE src % 20 = 7 AND pos = 0)
+SELECT 'DegreeAboveCap' AS kind, layer, src AS node, count(*) AS other FROM bad GROUP BY layer, src HAVING count(*) > CASE WHEN layer = 0 THEN 12 ELSE 6 END
+UNION ALL SELECT 'SelfLoop', layer, src, dst FROM bad WHERE src = dst
+UNION ALL SELECT 'DuplicateNeighbor', layer, src, dst FROM bad GROUP BY layer, src, dst HAVING count(*) > 1
+UNION ALL SELECT 'NeighborOutOfRange', layer, src, dst FROM bad WHERE dst >= 1000000
+UNION ALL SELECT 'NeighborNotOnLayer', layer, src, dst FROM bad WHERE layer = 1 AND dst < 1000000
+UNION ALL SELECT DISTINCT 'LevelMismatch', layer, src, CAST(NULL AS BIGINT) FROM bad WHERE layer = 1
+UNION ALL SELECT 'IsolatedOnLayerZero', 0, vec_id, NULL FROM embeddings WHERE vec_id % 20 = 5""")
+def graph_violations(spark, d):
+    """Violations of a deliberately damaged copy of the neighbour graph."""
+    nodes, edges = _graph(spark, d)
+    rest = F.pmod("src", F.lit(20))
+    dst = F.when((rest == 3) & (F.col("pos") == 0), F.col("src")).when((rest == 4) & (F.col("pos") == 1), F.col("dst") + 1_000_000).otherwise(F.col("dst"))
+    bad = edges.where(rest != 5).withColumn("dst", dst)
+    bad = bad.unionByName(edges.where(rest == 6).withColumn("pos", F.col("pos") + 100)).unionByName(edges.where((rest == 7) & (F.col("pos") == 0)).withColumn("layer", F.lit(1)))
+    return graph.violations(nodes, bad, 0, m=6)
+
+
+# the fold in SQL: in order of rank, a candidate is chosen if fewer than m are and none of them is strictly closer to it
+_FOLD = f"""WITH RECURSIVE {_knn(_L2, k=12, where='WHERE q.id <> b.id')}, near AS (
+  SELECT a.qid, a.id AS c, b.id AS s FROM nn a JOIN nn b ON a.qid = b.qid AND b.rank < a.rank JOIN u x ON x.id = a.id JOIN u y ON y.id = b.id WHERE {_l2('x.vec', 'y.vec')} < a.dist
+), blocked AS (SELECT n.qid, n.rank, n.id, coalesce(list(r.s) FILTER (r.s IS NOT NULL), CAST([] AS BIGINT[])) AS by FROM nn n LEFT JOIN near r ON r.qid = n.qid AND r.c = n.id GROUP BY n.qid, n.rank, n.id
+), fold AS (
+  SELECT DISTINCT qid, 0 AS step, CAST([] AS BIGINT[]) AS chosen FROM nn
+  UNION ALL SELECT f.qid, f.step + 1, CASE WHEN len(f.chosen) < 4 AND NOT list_has_any(b.by, f.chosen) THEN list_append(f.chosen, b.id) ELSE f.chosen END
+  FROM fold f JOIN blocked b ON b.qid = f.qid AND b.rank = f.step
+), done AS (SELECT qid, chosen FROM fold WHERE step = 12)"""
+
+
+def _selected(spark, d, **policy):
+    base = _base(spark, d)
+    lists = candidate_lists(knn(base, _asked(base), 12, exclude_self=True), base)
+    return lists.select("qid", F.posexplode(select_neighbors(F.col("candidates"), 4, "l2", **policy)).alias("pos", "id"))
+
+
+@query(f"{_FOLD} SELECT qid, CAST(generate_subscripts(chosen, 1) - 1 AS INTEGER) AS pos, unnest(chosen) AS id FROM done")
+def select_neighbors_heuristic(spark, d):
+    return _selected(spark, d, keep_pruned=False)
+
+
+@query(f"""{_FOLD}, al AS (SELECT d.qid, list_concat(d.chosen, (SELECT list(n.id ORDER BY n.rank) FILTER (NOT list_contains(d.chosen, n.id)) FROM nn n WHERE n.qid = d.qid))[1:4] AS l FROM done d)
+SELECT qid, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS id FROM al""")
+def select_neighbors_keep_pruned(spark, d):
+    return _selected(spark, d)
+
+
+@query(f"WITH {_knn(_L2, k=4, where='WHERE q.id <> b.id')} SELECT qid, rank AS pos, id FROM nn")
+def select_neighbors_naive(spark, d):
+    return _selected(spark, d, heuristic=False)
+
+
+@query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
+def latency_percentiles(spark, d):
+    return truth.percentiles(spark.read.parquet(f"{d}/events.parquet").select("value"), "value")
+
+
+@query("""WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)
+SELECT event_type, v[len(v) // 2 + 1] AS median, (v[len(v)] - v[1]) / v[len(v) // 2 + 1] AS spread FROM l""")
+def median_of_repeats(spark, d):
+    return truth.median_row(spark.read.parquet(f"{d}/events.parquet").select("event_type", "value"), "event_type", "value")
+
+
+def _log(spark, d, every: int = 97, torn: int = 911):
+    """A log made of events: a gap at every 97th number from 970 on, torn records at multiples of 911."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("seq"), F.when(F.col("event_id") % 50 == 49, "checkpoint").otherwise("insert").alias("op"), F.col("user_id").alias("ext_id"), "value")
+    return rows.where(f"seq < 970 or seq % {every} <> 0").withColumn("damaged", F.col("seq") % torn == 0)
+
+
+_LOG = """lg AS (SELECT event_id + 1 AS seq, CASE WHEN event_id % 50 = 49 THEN 'checkpoint' ELSE 'insert' END AS op, user_id AS ext_id, value FROM events WHERE event_id + 1 < 970 OR (event_id + 1) % 97 <> 0),
+ends AS (SELECT min(CASE WHEN seq % 911 = 0 THEN seq END) AS torn_seq, min(CASE WHEN gap THEN seq END) AS gap_seq, min(seq) AS first_seq FROM (SELECT seq, seq <> lag(seq) OVER (ORDER BY seq) + 1 AS gap FROM lg))"""
+
+
+@query(f"WITH {_LOG} SELECT seq, op, ext_id, value FROM lg WHERE seq < (SELECT least(torn_seq, gap_seq) FROM ends)")
+def wal_valid_prefix(spark, d):
+    return wal.valid_prefix(_log(spark, d), F.col("damaged")).select("seq", "op", "ext_id", "value")
+
+
+@query(f"WITH {_LOG} SELECT first_seq, torn_seq, gap_seq, least(torn_seq, gap_seq) AS end_seq FROM ends")
+def wal_gap_detect(spark, d):
+    return wal.first_bad(_log(spark, d), F.col("damaged"))
+
+
+@query(f"""WITH {_LOG}, ok AS (SELECT * FROM lg WHERE seq < (SELECT least(torn_seq, gap_seq) FROM ends))
+SELECT CAST(count(*) FILTER (seq <= 300) AS BIGINT) AS skipped, CAST(count(*) FILTER (seq > 300) AS BIGINT) AS replayed,
+  CAST(count(*) FILTER (seq > 300 AND op = 'insert') AS BIGINT) AS replayed_inserts, greatest(max(seq), 300) + 1 AS next_seq FROM ok""")
+def wal_replay_split(spark, d):
+    return wal.replay_split(_log(spark, d), 300, F.col("damaged"))
+
+
+def _vector_log(spark, d):
+    """Vectors as inserts numbered from 1, then deletes of every 13th."""
+    base = _base(spark, d)
+    n = base.count()
+    adds = base.select((F.col("id") + 1).alias("seq"), F.lit("insert").alias("op"), F.col("id").alias("ext_id"), F.lit(0).alias("level"), "vec")
+    drops = base.where("id % 13 = 0").select((F.col("id") + n + 1).alias("seq"), F.lit("delete").alias("op"), F.col("id").alias("ext_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<float>").alias("vec"))
+    return base, adds.unionByName(drops)
+
+
+@query("SELECT vec_id AS ext_id, embedding[1] AS first FROM embeddings WHERE vec_id % 13 <> 0")
+def snapshot_plus_log(spark, d):
+    base, log = _vector_log(spark, d)
+    snapshot = base.where("id < 200").select(F.col("id").alias("ext_id"), F.lit(0).alias("level"), "vec")
+    return wal.applied(snapshot, log, 200).select("ext_id", F.col("vec")[0].alias("first"))
+
+
+@query("SELECT count(*) AS vectors, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(count(*) + 1 AS BIGINT) AS next_seq FROM embeddings")
+def insert_idempotent(spark, d):
+    """A collection that gets the same batches twice, and a checkpoint between."""
+    from quarry.streaming.collection import Collection
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    c = Collection.create(spark, f"{root.rstrip('/')}/collection-{uuid.uuid4().hex}", 64)
+    base = _base(spark, d).select(F.col("id").alias("ext_id"), "vec")
+    c.insert(base.where("ext_id % 2 = 0"), "even")
+    c.insert(base.where("ext_id % 2 = 0"), "even")
+    c.checkpoint()
+    c.insert(base.where("ext_id % 2 = 1"), "odd")
+    c.insert(base.where("ext_id % 2 = 1"), "odd")
+    return c.vectors().agg(F.count(F.lit(1)).alias("vectors"), F.sum("ext_id").alias("ids")).withColumn("next_seq", F.lit(c.recovery()["next_seq"]).cast("long"))
+
+
+@query(f"WITH {_knn(_L2, base='(SELECT u.* FROM u JOIN embeddings e ON e.vec_id = u.id WHERE e.label = 3)')} {_ROWS}")
+def filtered_knn(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    base = tables.vectors(rows)
+    labelled = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return variants.filtered_knn(labelled, _asked(base), K, "label = 3")
+
+
+@query(f"WITH {_knn(_L2, base='(SELECT u.* FROM u JOIN embeddings e ON e.vec_id = u.id WHERE e.label < 5)', k=20)} SELECT qid, rank, id FROM nn")
+def filtered_ground_truth(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    labelled = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return variants.filtered_knn(labelled, _asked(tables.vectors(rows)), 20, "label < 5").select("qid", "rank", "id")
+
+
+@query(f"WITH {_knn(_L2, base='(SELECT * FROM u WHERE id % 3 <> 1)')} {_ROWS}")
+def tombstone_knn(spark, d):
+    base = _base(spark, d)
+    return knn(variants.live(base, base.where("id % 3 = 1")), _asked(base), K)
+
+
+_QUANT = """x AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+bounds AS (SELECT pos, quantile_disc(x, 0.01) AS lo, quantile_disc(x, 0.99) AS hi FROM x GROUP BY pos),
+sc AS (SELECT max(hi - lo) / 255.0::DOUBLE AS s FROM bounds),
+qz AS (SELECT x.id, list(CAST(floor((least(greatest(x.x, b.lo), b.hi) - b.lo) / sc.s + 0.5::DOUBLE) AS INTEGER) ORDER BY x.pos) AS vec FROM x JOIN bounds b USING (pos), sc GROUP BY x.id)"""
+_STEPS = "CAST(list_sum(list_transform(list_zip(q.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+
+
+@query(f"WITH {_QUANT} SELECT id, vec[1] AS first, vec[64] AS last, CAST(list_sum(vec) AS BIGINT) AS total FROM qz")
+def quantize_global_u8(spark, d):
+    base = _base(spark, d)
+    q = base.select("id", variants.quantize(F.col("vec"), *variants.quantizer(base)).alias("vec"))
+    return q.select("id", F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"), F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+_QKNN = f"""WITH {_QUANT}, dd AS (SELECT q.id AS qid, b.id AS id, {_STEPS} AS steps FROM qz q, qz b WHERE q.id % 50 = 0),
+rr AS (SELECT qid, id, steps, CAST(row_number() OVER (PARTITION BY qid ORDER BY steps, id) - 1 AS INTEGER) AS rank FROM dd)"""
+
+
+@query(f"{_QKNN} SELECT qid, rank, id FROM rr WHERE rank < {K}")
+def knn_quantized(spark, d):
+    base = _base(spark, d)
+    return variants.quantized_knn(base, _asked(base), K).select("qid", "rank", "id")
+
+
+@query(f"""{_QKNN}, {_PLAIN}, e AS (SELECT r.qid, r.id, {_L2} AS dist FROM rr r JOIN u q ON q.id = r.qid JOIN u b ON b.id = r.id WHERE r.rank < {4 * K})
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) - 1 AS INTEGER) AS rank, id, dist FROM e) WHERE rank < {K}""")
+def knn_rescored(spark, d):
+    base = _base(spark, d)
+    return variants.quantized_knn(base, _asked(base), K, rescore=4)
+
+
+@query(f"WITH {_knn(_L2)} {_ROWS}")
+def hnsw_search_exhaustive(spark, d):
+    """A beam as wide as the base is exact where layer 0 is connected."""
+    base = _base(spark, d)
+    return search(base, _asked(base), K, max(1, base.count()), GraphParams(m=16, ef_construction=100), shards=1).drop("computed")
+
+
+@query()
+def hnsw_search(spark, d):
+    base = _base(spark, d)
+    return search(base, _asked(base), K, 64, GraphParams(m=16, ef_construction=100))
+
+
+@query()
+def hnsw_sweep(spark, d):
+    from quarry.plans.sweep import recall_sweep
+
+    _checkpoints(spark)
+    base = _base(spark, d)
+    return recall_sweep(base, _asked(base), K, (10, 40, 160), params=GraphParams(m=16, ef_construction=100))
+
+
+@query("""SELECT 'total' AS what, count(*) AS n FROM embeddings""")
+def hnsw_node_count(spark, d):
+    _checkpoints(spark)
+    nodes, _, _ = build(_base(spark, d), GraphParams(m=16, ef_construction=60), shards=2)
+    return nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("what"), "n")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS n FROM embeddings WHERE vec_id < 0")
+def hnsw_violations(spark, d):
+    """None, for each policy of selection."""
+    _checkpoints(spark)
+    base, out = _base(spark, d), None
+    for policy in ({}, {"keep_pruned": False}, {"heuristic": False}):
+        nodes, edges, meta = build(base, GraphParams(m=8, ef_construction=40, **policy), shards=1)
+        bad = graph.violations(nodes, edges, meta.first()["entry"], m=8).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+@query("SELECT vec_id AS id, embedding[1] AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+def fvecs_round_trip(spark, d):
+    """Written as a flat vector file and read back."""
+    from quarry.sources.vecs import register, write_vecs
+
+    register(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}.fvecs"
+    write_vecs(_base(spark, d), path)
+    return spark.read.format("fvecs").load(path).select("id", F.col("vec")[0].alias("first"), F.size("vec").alias("dim"))
+
+
+def _checkpoints(spark) -> None:
+    """checkpoint() needs a folder; one of its own only where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.mkdtemp(prefix="quarry-"), "checkpoints"))

@@ -164,7 +164,7 @@ def holds_pairs(strings: list[str], marks: list[str]) -> np.ndarray:
         wanted.append(([(w, np.uint64(v)) for w, v in own.items()], int(np.ceil(MIN_PAIRS * sum(v.bit_count() for v in own.values())))))
     for at in range(0, len(strings), 50_000):
         some = strings[at : at + 50_000]
-        flat = table_of[np.frombuffer(("\n" * (GAP + 1)).join(some).encode("utf-32-le"), np.uint32)].astype(np.int32)
+        flat = table_of[np.frombuffer("".join([s + "\n" * (GAP + 1) for s in some]).encode("utf-32-le"), np.uint32)].astype(np.int32)
         begins = np.concatenate([[0], np.cumsum([len(s) + GAP + 1 for s in some])[:-1]])
         cells = [flat[:-gap] * size + flat[gap:] for gap in range(1, GAP + 2) if len(flat) > gap]
         held = []

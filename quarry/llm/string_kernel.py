@@ -29,21 +29,24 @@ ORDER, DECAY, WIDTH = 3, 0.6, 16
 #: A unit that holds a smaller share of the letter pairs of every insult landmark, each with at most GAP characters
 #: between, is background.
 MIN_PAIRS, GAP = 0.75, 2
+#: Weight of a made-up variant against a labelled text when values become probabilities.
+VARIANT_WEIGHT = 0.1
 #: Units whose value a worker keeps.  A cache only.
-CACHE = 500_000
+CACHE = 1_200_000
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
-_memos: dict[str, dict[str, float]] = {}
+_known: dict[str, "Known"] = {}
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_INNER = re.compile(r"[\W_]+")
 _BACKGROUND = -1e9
 #: Values below this count as it in the calibration.
 FLOOR = -2.0
 
 
-def units(text: str) -> set[str]:
-    """The distinct units of a whole text."""
-    words = text.lower().split()
+def raw_units(text: str) -> set[str]:
+    """The distinct words of a whole text, and the joins of its fragments."""
+    words = text.lower().replace(", ", " ").replace(". ", " ").split()  # outer marks go anyway
     out = set(words)
     for k in [k for k, w in enumerate(words) if len(w) <= 2]:
         if k and len(words[k - 1]) > 2:
@@ -57,7 +60,35 @@ def units(text: str) -> set[str]:
                 break
         else:
             out.add(join)
-    return {u for w in out if (u := w if w.isalpha() else _OUTER.sub("", w)) and len(u) >= ORDER}
+    return out
+
+
+def cleaned(raw: str) -> tuple[str, ...]:
+    """The units of a word: without outer marks, and also without marks put between its letters."""
+    if raw.isalpha():
+        return (raw,) if len(raw) >= ORDER else ()
+    outer = _OUTER.sub("", raw)
+    inner = outer if outer.isalpha() else _INNER.sub("", outer)
+    return tuple(u for u in ((outer, inner) if inner != outer else (outer,)) if len(u) >= ORDER)
+
+
+def units(text: str) -> set[str]:
+    """The distinct units of a whole text."""
+    return {u for raw in raw_units(text) for u in cleaned(raw)}
+
+
+class Known:
+    """What a worker has found of words so far: all it has seen, and value and unit of those above background."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+        self.hits: dict[str, tuple[float, str]] = {}
+        self.names: set[str] = set()
+
+
+def gapped(unit: str) -> list[str]:
+    """Variants with a foreign or repeated character inside, one at a time."""
+    return [unit[:p] + c + unit[p:] for p in (1, len(unit) // 2, len(unit) - 1) for c in ("x", unit[p])] if len(unit) > 3 else []
 
 
 def windows(unit: str) -> list[str]:
@@ -207,14 +238,19 @@ class KernelModel:
             np.maximum.at(out, [k for k, _ in pieces], got)
         return out
 
-    def best(self, texts: list[str], memo: dict[str, float]) -> list[tuple[float, str]]:
-        """Value and unit of the highest unit of each text (ties: the smaller unit)."""
-        bags = [units(t) for t in texts]
-        new = list(set().union(*bags).difference(memo))
-        memo.update(zip(new, self.values(new).tolist()))
-        out = [min(((-memo[u], u) for u in bag), default=(-_BACKGROUND, "")) for bag in bags]
-        if len(memo) > CACHE:
-            memo.clear()
+    def best(self, texts: list[str], known: Known) -> list[tuple[float, str]]:
+        """Value and unit of the highest unit of each text (ties: the smaller unit); background texts have no unit."""
+        bags = [raw_units(t) for t in texts]
+        new = list(set().union(*bags).difference(known.seen))
+        of = [(raw, u) for raw in new for u in cleaned(raw)]
+        for (raw, u), v in zip(of, self.values([u for _, u in of]).tolist()):
+            if v > _BACKGROUND:
+                known.hits[raw] = min((-v, u), known.hits.get(raw, (np.inf, "")))
+                known.names.add(raw)
+        known.seen.update(new)
+        out = [min((known.hits[raw] for raw in bag & known.names), default=(-_BACKGROUND, "")) for bag in bags]
+        if len(known.seen) > CACHE:
+            known.__init__()
         return [(-v, u) for v, u in out]
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -242,13 +278,13 @@ def fit_machine(landmarks: list[str], insults: list[str], x: list[str], y: np.nd
     return KernelModel(landmarks, norms, insults, white @ w[:-1], float(w[-1]))
 
 
-def _logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and offset of a one-variable logistic fit with a weak prior."""
+def _logistic(v: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (not negative) and offset of a weighted one-variable logistic fit with a weak prior."""
     x = np.column_stack([np.maximum(v, FLOOR), np.ones(len(v))])
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-2, x.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-2, x.T @ (weight * (y - p)) - 1e-2 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -316,21 +352,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
             hard = [u for u, ok in zip(negative, holds_pairs(list(negative), insults)) if ok]
             alike = normalised(hard, marks, kernel(marks, marks, paired=True)).max(1) if hard else np.zeros(0)
             clean = [hard[k] for k in np.lexsort((hard, -alike))[: max_landmarks // 2]]
-            x = [*positive, *hard]
-            y = np.array([1.0] * len(positive) + [-1.0] * len(hard))
-            w = np.array([float(n) for n in positive.values()] + [float(np.log1p(negative[u])) for u in hard])
+            # gaps that labelled texts are too few to show: variants of the insults, with their weight
+            spaced = {v: 1.0 * first[u] for u in insults if u in first for v in gapped(u) if v not in negative and v not in positive}
+            x = [*positive, *spaced, *hard]
+            y = np.array([1.0] * (len(positive) + len(spaced)) + [-1.0] * len(hard))
+            w = np.array([float(n) for n in positive.values()] + list(spaced.values()) + [float(np.log1p(negative[u])) for u in hard])
             if not hard:
                 x, y, w = [*x, "zzz"], np.append(y, -1.0), np.append(w, 1.0)
             model = fit_machine([*marks, *clean], insults, x, y, w)
 
             def score(batches: Iterator[pa.RecordBatch], model: KernelModel = model) -> Iterator[pa.RecordBatch]:
-                memo: dict[str, float] = {}
+                known = Known()
                 for batch in batches:
-                    best = model.best(batch.column(0).fill_null("").to_pylist(), memo)
+                    best = model.best(batch.column(0).fill_null("").to_pylist(), known)
                     yield pa.RecordBatch.from_pydict({"y": batch.column(1), "v": pa.array([v for v, _ in best]), "u": pa.array([u for _, u in best], pa.string())})
 
             got = map_batches(rows, score, "y int, v double, u string").collect()
-            model.slope, model.offset = _logistic(np.array([r["v"] for r in got]), np.array([float(r["y"]) for r in got]))
+            # the variants also say where between texts without an insult and those with a plain one the line runs
+            extra = model.values(list(spaced))
+            extra = extra[extra > 0]
+            weight = np.concatenate([np.ones(len(got)), np.full(len(extra), VARIANT_WEIGHT)])
+            model.slope, model.offset = _logistic(np.concatenate([[r["v"] for r in got], extra]), np.concatenate([[float(r["y"]) for r in got], np.ones(len(extra))]), weight)
             # witnesses by the machine's own choice: telling units of toxic texts, the hardest units of clean ones
             again = Counter(r["u"] for r in got if r["y"] and r["v"] > 0 and len(r["u"]) <= WIDTH)
             positive = first | again
@@ -353,16 +395,16 @@ def score_toxicity(docs: DataFrame, model: KernelModel | float, columns: list[st
     stamp = repr((model.landmarks, model.weights.tolist(), model.bias)) if isinstance(model, KernelModel) else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _memos:
-            _memos.clear()
-        memo = _memos.setdefault(stamp, {})
+        if stamp not in _known:
+            _known.clear()
+        known = _known.setdefault(stamp, Known())
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 if isinstance(model, float):
                     score, best = np.full(batch.num_rows, model), [(0.0, "")] * batch.num_rows
                 else:
-                    best = model.best(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), memo)
+                    best = model.best(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), known)
                     score = model.probability(np.array([v for v, _ in best]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([u for _, u in best], pa.string())], names=[*names, "score", "predicted", "witness"])
 

@@ -29,6 +29,8 @@ from quarry.llm.jaccard_join import by_group
 SPAN, GRAM = 400, 40
 #: Bytes parsed at once, contexts merged at once (an anchor's are never parted), anchors of one bucket.
 PARSE_BYTES, MERGE_ROWS, BUCKET = 1 << 21, 16_384, 1_000_000
+#: Entries of one anchor that one task merges; of more, their windows are dealt out by fingerprint instead.
+GROUP_ROWS = 65_536
 _PLACE = 30
 _LOW = np.uint64((1 << _PLACE) - 1)
 
@@ -159,9 +161,9 @@ def _parse(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
     return map_batches(docs.select("key", "t", "size"), run, "bucket long, g binary, c binary, k binary, a binary, l binary, h binary")
 
 
-def _dictionary(parsed: DataFrame, span: int, buckets: int) -> DataFrame:
-    """Rows (key, g, a, lo, hi, done): done, all windows from lo to hi are repeated; else the entry has to be merged, and
-    single says whether its result is wanted."""
+def _dictionary(parsed: DataFrame, span: int, buckets: int, limit: int) -> DataFrame:
+    """Rows (key, g, a, lo, hi, done, single, wide): done, all windows from lo to hi are repeated; else the entry has to be
+    merged, single says whether its result is wanted, and wide whether its anchor has more than limit entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_group(batches):
@@ -182,10 +184,10 @@ def _dictionary(parsed: DataFrame, span: int, buckets: int) -> DataFrame:
             merge = new_c & (entries > 1)
             for use, flag in ((done, True), (merge, False)):
                 i = np.flatnonzero(use)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[i]), "g": pa.array(g[i].astype(np.int64)), "a": pa.array(a[i]), "lo": pa.array(lo[i]), "hi": pa.array(hi[i]), "done": pa.array(np.full(len(i), flag)), "single": pa.array(times[i] == 1)})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[i]), "g": pa.array(g[i].astype(np.int64)), "a": pa.array(a[i]), "lo": pa.array(lo[i]), "hi": pa.array(hi[i]), "done": pa.array(np.full(len(i), flag)), "single": pa.array(times[i] == 1), "wide": pa.array(entries[i] > limit)})
 
-    spread = parsed.repartition(max(1, min(buckets, 100_000)), "bucket").sortWithinPartitions("bucket")
-    return map_batches(spread, run, "key long, g long, a long, lo long, hi long, done boolean, single boolean")
+    spread = parsed.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    return map_batches(spread, run, "key long, g long, a long, lo long, hi long, done boolean, single boolean, wide boolean")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
@@ -193,20 +195,20 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
+            out: list[dict] = []  # wide goes along
             for key, text, entries in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "ctx": text[e["lo"] : e["hi"] + span]} for e in entries]
+                out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "wide": e["wide"], "ctx": text[e["lo"] : e["hi"] + span]} for e in entries]
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_pylist(out, _CONTEXT)
                     out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, _CONTEXT)
 
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("g", "a", "lo", "hi", "single")).alias("entries"))  # of one text
-    return map_batches(texts.select("key", "t").join(lists, "key"), run, "g long, key long, a long, lo long, hi long, single boolean, ctx binary")
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("g", "a", "lo", "hi", "single", "wide")).alias("entries"))  # of one text
+    return map_batches(texts.select("key", "t").join(lists, "key"), run, "g long, key long, a long, lo long, hi long, single boolean, wide boolean, ctx binary")
 
 
-_CONTEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("single", pa.bool_()), ("ctx", pa.binary())])
+_CONTEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("single", pa.bool_()), ("wide", pa.bool_()), ("ctx", pa.binary())])
 
 
 def _merge(contexts: DataFrame, span: int) -> DataFrame:
@@ -215,7 +217,7 @@ def _merge(contexts: DataFrame, span: int) -> DataFrame:
     def merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(rows).combine_chunks()
         g, key, a, lo, hi = (whole.column(k).to_numpy() for k in range(5))
-        contexts = whole.column(6).to_pylist()
+        contexts = whole.column(7).to_pylist()
         keep = np.ones(len(g), bool)  # a text that several rows hold
         _, firsts = np.unique(np.column_stack([g, key, a, lo]), axis=0, return_index=True)
         keep[:] = False
@@ -245,6 +247,51 @@ def _merge(contexts: DataFrame, span: int) -> DataFrame:
     return map_batches(contexts.repartition("g").sortWithinPartitions("g"), run, "key long, lo long, hi long")
 
 
+def _deal(contexts: DataFrame, span: int, buckets: int) -> DataFrame:
+    """As _merge, for anchors with very many entries: each window goes to the bucket of its fingerprint, so that no task
+    holds an anchor; a fingerprint that two places share is a repeat."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ctx = part.column(7).to_pylist()
+                lo, key, single = part.column(3).to_numpy(), part.column(1).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
+                raw = np.frombuffer(b"".join(ctx), np.uint8)
+                pw, inverse = powers(BASE, len(raw)), powers(BASE_INV, len(raw))
+                sums = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pw[: len(raw)], out=sums[1:])
+                sizes = np.array([len(c) for c in ctx])
+                begin = np.cumsum(sizes) - sizes
+                count = sizes - span + 1
+                row = np.repeat(np.arange(len(ctx)), count)
+                inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                place = begin[row] + inner
+                h = mix64((sums[place + span] - sums[place]) * inverse[place])
+                b = (mix64(h) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(b, kind="stable")
+                cells = [x[order] for x in (h, key[row], lo[row] + inner, single[row].astype(np.uint8))]
+                b = b[order]
+                cuts = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(b))
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[i]) for i, _ in spans], pa.int64())} | {n: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for n, x in zip("hkps", cells)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_group(batches):
+            h, key, start, single = (np.concatenate([np.frombuffer(v, d) for r in held for v in r.column(c).to_pylist()]) for c, d in ((1, np.uint64), (2, np.int64), (3, np.int64), (4, np.uint8)))
+            order = np.lexsort((start, key, h))
+            h, key, start, single = h[order], key[order], start[order], single[order]
+            keep = np.ones(len(h), bool)
+            keep[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1])
+            h, key, start, single = h[keep], key[keep], start[keep], single[keep]
+            run = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+            use = (np.bincount(run)[run] > 1) & (single == 1)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[use]), "lo": pa.array(start[use]), "hi": pa.array(start[use])})
+
+    dealt = map_batches(contexts, windows, "bucket long, h binary, k binary, p binary, s binary")
+    return map_batches(dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), count, "key long, lo long, hi long")
+
+
 def _cut(rows: DataFrame, span: int) -> DataFrame:
     """Remaining text, removed bytes and spans of texts (key, t, runs)."""
 
@@ -284,11 +331,14 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str =
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")))
     total = copies.agg(F.sum("size").alias("s")).first()["s"] or 0
     buckets = max(1, -(-2 * total // ((span - gram) * BUCKET)))
-    entries = materialize(_dictionary(_parse(rows, span, gram, buckets), span, buckets))
-    # one row of each text; copies of a text wait for nobody else's bytes
+    entries = materialize(_dictionary(_parse(rows, span, gram, buckets), span, buckets, GROUP_ROWS))
     texts = rows.where(F.col("size") >= span)
-    merged = materialize(_merge(_contexts(texts, entries.where("not done"), span), span))
+    merged = materialize(_merge(_contexts(texts, entries.where("not done and not wide"), span), span))
     runs = entries.where("done").select("key", "lo", "hi").unionByName(merged)
+    wide = entries.where("not done and wide")
+    if not wide.isEmpty():
+        merged_wide = materialize(_deal(_contexts(texts, wide, span), span, buckets))
+        runs = runs.unionByName(merged_wide)
     partial = runs.join(copies.where("copies > 1").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     cut = materialize(_cut(texts.join(partial, "key").select("key", "t", "runs"), span))
     discard(entries, merged)

@@ -247,9 +247,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         m = len(block)
         return pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "bucket": pa.array([int(bucket)] * m, pa.int64()), "n": pa.array(back, pa.binary()), "tokens": pa.nulls(m, pa.int64()), "types": pa.nulls(m, pa.int64()), "ones": pa.nulls(m, pa.int64())})
 
-    by_block = placed.repartition(blocks, "block").sortWithinPartitions("block")
+    by_block = placed.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block")
     lists = map_batches(by_block, gather, "bucket long, block long, h binary, n binary, c binary")
-    merged = materialize(map_batches(lists.repartition(buckets, "bucket").sortWithinPartitions("bucket"), total, "block long, bucket long, n binary, tokens long, types long, ones long"))
+    merged = materialize(map_batches(lists.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), total, "block long, bucket long, n binary, tokens long, types long, ones long"))
     stats = merged.where("block = -1").groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("ones").alias("ones")).collect()
     tokens, types, ones = np.zeros(k), np.zeros(k), np.zeros(k)
     for r in stats:  # one row a class
@@ -293,7 +293,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing = lambda t: F.lit(None).cast(t)
     dictionary = merged.where("block >= 0").select("block", F.lit(0).alias("kind"), "bucket", "n", nothing("long").alias("id"), nothing("string").alias("t"), nothing("boolean").alias("held"))
     asked = placed.select("block", F.lit(1).alias("kind"), nothing("long").alias("bucket"), nothing("binary").alias("n"), "id", "t", "held")
-    jobs = dictionary.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    jobs = dictionary.unionByName(asked).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
     out = map_batches(jobs, score, "id long, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnsRenamed({"id": id_col, "held": "held_out"})
 

@@ -224,6 +224,17 @@ def score_quality(docs: DataFrame, model: AdditiveModel, columns: list[str], tex
     return map_batches(rows, run, out)
 
 
+def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that the model doesn't reject."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(text_features(batch.column(place).cast(pa.string()))) >= threshold))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def op9_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))

@@ -16,6 +16,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -176,7 +177,7 @@ class TrieBPE:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
         self.learn({p for words in split for p in words})
-        return [[int(i) for p in words for i in self.memo[p][1].split()] for words in split]
+        return [np.array(" ".join([self.memo[p][1] for p in words]).split(), np.int32).tolist() for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) of a file without decoder: names joined by spaces."""
@@ -204,8 +205,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
         for part, texts in _texts(batches):
-            ids = bpe.encode_batch(texts)
-            yield pa.RecordBatch.from_pydict({id_col: part.column(0), "token_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(x) for x in ids])})
+            split = [bpe.words(t) for t in texts]
+            bpe.learn({p for words in split for p in words})
+            ids = [np.array(" ".join([bpe.memo[p][1] for p in words]).split(), np.int32) for words in split]
+            names = [" ".join([bpe.memo[p][2] for p in words]) for words in split]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_pydict({id_col: part.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "decoded": pa.array(names, pa.string())})
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
     return map_batches(rows, run, f"{rows.schema[0].simpleString().replace(':', ' ')}, token_ids array<int>, decoded string")

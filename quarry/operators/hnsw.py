@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kernels import distances_np, normalize_np
 from quarry.operators.graph_index import Graph, GraphParams
-from quarry.operators.knn import matrix, query_blocks
+from quarry.operators.knn import matrix, query_blocks, top
 from quarry.types import MetricKind, VectorError
 
 #: Vectors of one shard: what one task builds a graph of.
@@ -116,4 +116,4 @@ def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: G
     if found is None:
         return spark.createDataFrame([], "ef int, qid long, rank int, id long, dist float, computed long")
     order = W.partitionBy("ef", "qid").orderBy("dist", "id")
-    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select("ef", "qid", "rank", "id", "dist", "computed")
+    return top(found, order, k).select("ef", "qid", "rank", "id", "dist", "computed")

@@ -23,9 +23,16 @@ QUERY_BYTES = 64 << 20
 SCHEMA = "qid long, id long, dist float"
 
 
+def top(rows: DataFrame, order: W, k: int) -> DataFrame:
+    """The first k rows of every window, with their rank from 0.  The bare comparison with a literal lets Spark limit each
+    group before the shuffle too."""
+    numbered = rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
+    return numbered.withColumn("rank", (F.col("__n") - 1).cast("int")).drop("__n")
+
+
 def _rank(pairs: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("qid").orderBy("dist", "id")
-    return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select("qid", "rank", "id", "dist")
+    return top(pairs, order, k).select("qid", "rank", "id", "dist")
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,8 +148,8 @@ def nearest(base: DataFrame, query: list[float], k: int, metric: str | MetricKin
     kind = MetricKind.parse(metric)
     q = F.array(*[F.lit(float(x)).cast("float") for x in query])
     scored = base.select("id", distance(unit(q, kind), unit(F.col("vec"), kind), kind).alias("dist"))
-    top = scored.orderBy("dist", "id").limit(max(k, 0))
-    return top.select((F.row_number().over(W.orderBy("dist", "id")) - 1).cast("int").alias("rank"), "id", "dist")
+    best = scored.orderBy("dist", "id").limit(max(k, 0))
+    return best.select((F.row_number().over(W.orderBy("dist", "id")) - 1).cast("int").alias("rank"), "id", "dist")
 
 
 def distances_to(base: DataFrame, wanted: DataFrame, metric: str | MetricKind = "l2") -> DataFrame:

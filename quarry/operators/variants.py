@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.knn import knn
+from quarry.operators.knn import distances_to, knn, top
 from quarry.types import VectorError
 
 
@@ -65,11 +65,9 @@ def quantized_knn(base: DataFrame, queries: DataFrame, k: int, low: float = 0.01
     steps = F.aggregate(F.zip_with("q", "b", lambda x, y: ((x - y) * (x - y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     pairs = b.crossJoin(F.broadcast(q)).select("qid", "id", steps.alias("steps"))  # a stated set of queries
     order = W.partitionBy("qid").orderBy("steps", "id")
-    best = pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < n)
+    best = top(pairs, order, n)
     if not rescore:
         return best.select("qid", "rank", "id", (F.col("steps").cast("double") * F.lit(scale * scale)).cast("float").alias("dist"))
-    from quarry.operators.knn import distances_to
-
     exact = distances_to(base, best.select("qid", "id").join(queries.select("qid", "vec"), "qid"))
     again = W.partitionBy("qid").orderBy("dist", "id")
-    return exact.withColumn("rank", (F.row_number().over(again) - 1).cast("int")).where(F.col("rank") < k).select("qid", "rank", "id", "dist")
+    return top(exact, again, k).select("qid", "rank", "id", "dist")

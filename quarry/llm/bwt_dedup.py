@@ -293,7 +293,8 @@ def _deal(contexts: DataFrame, span: int, buckets: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, span: int) -> DataFrame:
-    """Remaining text, removed bytes and spans of texts (key, t, runs)."""
+    """Remaining text, removed bytes and spans of texts (key, t, runs).  A cut may split a character: its bytes that stay
+    show as the replacement character in rest, while sha is of the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,21 +312,21 @@ def _cut(rows: DataFrame, span: int) -> DataFrame:
                     at = hi
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append({"key": key, "removed": len(text) - len(rest), "spans": [{"start": a, "end": b} for a, b in spans], "rest": rest, "sha": hashlib.sha256(rest).hexdigest()})
+                out.append({"key": key, "removed": len(text) - len(rest), "spans": [{"start": a, "end": b} for a, b in spans], "rest": rest.decode("utf-8", "replace"), "sha": hashlib.sha256(rest).hexdigest()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _CUT)
 
-    return map_batches(rows, run, "key long, removed long, spans array<struct<start: long, end: long>>, rest binary, sha string")
+    return map_batches(rows, run, "key long, removed long, spans array<struct<start: long, end: long>>, rest string, sha string")
 
 
-_CUT = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rest", pa.binary()), ("sha", pa.string())])
+_CUT = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rest", pa.string()), ("sha", pa.string())])
 
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """What repeats, by text: (copies, cut).
 
     copies: key (xxhash64 of a text), copies (rows with it).  A text of at least span bytes with several copies repeats as
-    a whole and has no row in cut.  cut: key, removed, spans, rest (bytes), sha for texts that lose some bytes.
+    a whole and has no row in cut.  cut: key, removed, spans, rest (text), sha (of the bytes) for texts that lose some bytes.
     """
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select(F.xxhash64("t").alias("key"), "t", F.octet_length("t").cast("long").alias("size"))
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")))
@@ -362,7 +363,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col
     full = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("__n_bytes").alias("end")))
     everything = F.col("__whole").isNotNull()
     named = {
-        text_col: F.when(everything, F.lit("")).when(F.col("sha").isNotNull(), F.decode("rest", "UTF-8")).otherwise(F.col(text_col)),
+        text_col: F.when(everything, F.lit("")).when(F.col("sha").isNotNull(), F.col("rest")).otherwise(F.col(text_col)),
         "__n_removed": F.when(everything, F.col("__n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long"),
         "__spans": F.when(everything, full).otherwise(F.coalesce("spans", empty)),
         "__sha": F.when(everything, F.sha2(F.lit(""), 256)).when(F.col("sha").isNotNull(), F.col("sha")).otherwise(F.sha2(text, 256)),

@@ -123,6 +123,7 @@ def passages(seed=0):
         p = r.choice(pool)
         a = r.randrange(0, len(p) // 2)
         rows.append((k, prose(4000 + k, r.randint(5, 80)) + p[a : a + r.randint(300, 700)] + prose(5000 + k, 30)))
+    rows += [(45, prose(1, 20) + "é" + pool[0] + "é" + prose(2, 9)), (46, prose(3, 20) + "è" + pool[0] + "è" + prose(4, 9))]  # cuts within characters
     return rows + [(50, "ab" * 700), (51, "é" * 500), (52, prose(3000, 120)), (53, "x" * 400), (54, "x" * 399)]
 
 

@@ -218,6 +218,41 @@ class Forest:
         return True
 
 
+def unite(forest: Forest, i: np.ndarray, j: np.ndarray, test: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Join the pairs (i[k], j[k]) that pass the test, and give those that brought two trees together.
+
+    Pairs within a tree are left out in bulk, again after every lot, so a group of near copies costs few tests."""
+    if not len(i):
+        return
+    nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    while len(a):
+        root = np.fromiter(map(forest.find, nodes.tolist()), np.int64, len(nodes))
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        for x, y in zip(nodes[a[:256]].tolist(), nodes[b[:256]].tolist()):
+            if forest.find(x) != forest.find(y) and (test is None or test(x, y)):
+                forest.join(x, y)
+                yield x, y
+        a, b = a[256:], b[256:]
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose key may be among wanted's (same column name): a semi-join by a hashed bitmap, before a real join.
+
+    The broadcast bitmap has at most ``bits`` bits (4 MB), however many keys there are; when it fills, more rows pass."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    part, pos = F.floor(place / 32768).cast("int"), F.pmod(place, F.lit(32768)).cast("int")
+    maps = wanted.select(part.alias("__part"), pos.cast("long").alias("__pos")).groupBy("__part").agg(F.bitmap_construct_agg("__pos").alias("__map"))
+    byte = F.conv(F.hex(F.expr("substring(__map, __pos div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = rows.withColumn("__part", part).withColumn("__pos", pos).join(F.broadcast(maps), "__part")
+    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, __pos % 8)")) != 0).select(*rows.columns)
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Forest, components, discard, map_batches, materialize, mix64, ngram_hashes, table, utf8, words_of
+from quarry.llm.common import Forest, components, discard, likely_in, map_batches, materialize, mix64, ngram_hashes, partitions, table, unite, utf8, words_of
 
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Frequent tokens that come last in the order: at most so many, the most frequent ones.  Any order gives all links.
@@ -30,6 +29,10 @@ HOT_COUNT = 32
 #: Postings of one bucket, at which buckets are aimed.
 BUCKET = 1_000_000
 TILE = 512
+#: Nodes of one task's tile.  Larger groups are cut into tiles, none is left out.
+GROUP_ROWS = 16_384
+#: Rows (of three short fields) up to which a side is broadcast; beyond, a bitmap thins the other side before the join.
+BROADCAST_ROWS = 250_000
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -77,28 +80,44 @@ def may_reach(differ: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: i
     return (den + num) * inter >= num * (a + b)
 
 
-def similar_tiles(size: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def similar_tiles(size: np.ndarray, maps: list[np.ndarray], num: int, den: int, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j in order of size) that sizes and bit counts leave possible.  size is ascending.
 
-    Tiles run over nodes sorted by size; a tile meets only tiles whose sizes are within the ratio."""
-    n = len(size)
-    for a in range(0, n, TILE):
-        a2 = min(n, a + TILE)
-        reach = int(np.searchsorted(size * num, den * size[a2 - 1], side="right"))
-        bits = min(len(maps[a]) * 64, 4096)
-        left = np.stack([folded(m, bits) for m in maps[a:a2]])
-        for b in range(a, reach, TILE):
-            b2 = min(reach, b + TILE)
-            right = left if a == b and b2 == a2 else np.stack([folded(m, bits) for m in maps[b:b2]])
-            differ = np.zeros((a2 - a, b2 - b), np.int64)
-            for w in range(left.shape[1]):
-                differ += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
-            sa, sb = size[a:a2, None], size[None, b:b2]
-            ok = may_reach(differ, sa, sb, num, den) & (sa * den >= sb * num)
-            i, j = np.nonzero(ok)
-            i, j = i + a, j + b
-            keep = i < j
-            yield i[keep], j[keep]
+    Tiles run over nodes sorted by size; a tile meets only tiles whose sizes are within the ratio.  With a forest, pairs
+    that it holds in one tree already are left out: of two tiles, only nodes outside the tree that most of them are in
+    meet the others, so near copies cost in proportion to their number."""
+
+    def block(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(i) or not len(j):
+            return
+        bits = 64 * min(len(maps[i[0]]), len(maps[j[0]]))
+        left, right = (np.stack([folded(maps[k], bits) for k in some]) for some in (i, j))
+        differ = np.zeros((len(i), len(j)), np.int64)
+        for w in range(left.shape[1]):
+            differ += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+        sa, sb = size[i][:, None], size[j][None, :]
+        ok = may_reach(differ, sa, sb, num, den) & (np.minimum(sa, sb) * den >= np.maximum(sa, sb) * num) & (i[:, None] < j[None, :])
+        x, y = np.nonzero(ok)
+        yield i[x], j[y]
+
+    # a tile holds bitmaps of one length: folding the large to a much smaller one would leave nothing to tell by
+    width = np.array([len(m) for m in maps])
+    cuts = [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), len(size)]
+    tiles = [(a, min(a + TILE, end)) for begin, end in zip(cuts[:-1], cuts[1:]) for a in range(begin, end, TILE)]
+    for k, (a, a2) in enumerate(tiles):
+        for b, b2 in tiles[k:]:
+            if size[b] * num > den * size[a2 - 1]:
+                break
+            rows, columns = np.arange(a, a2), np.arange(b, b2)
+            if forest is None:
+                yield from block(rows, columns)
+                continue
+            roots = np.fromiter(map(forest.find, [*rows.tolist(), *columns.tolist()]), np.int64, len(rows) + len(columns))
+            kinds, counts = np.unique(roots, return_counts=True)
+            apart = roots != kinds[np.argmax(counts)]
+            alone, others = apart[: len(rows)], apart[len(rows) :]
+            yield from block(rows[alone], columns)
+            yield from block(rows[~alone], columns[others])
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -224,10 +243,30 @@ def _groups(postings: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             ids = member[run_id[use]].astype(np.int64)
             yield pa.RecordBatch.from_pydict({"g": pa.array(ids), "key": pa.array(k[use]), "size": pa.array(s[use])})
 
-    spread = postings.repartition(max(1, min(buckets, 100_000)), "bucket").sortWithinPartitions("bucket")
+    spread = postings.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return map_batches(spread, run, "g long, key long, size long")
 
 
+def tiled(rows: DataFrame, group: str, num: int, den: int, limit: int | None = None) -> DataFrame:
+    """rows with a column tile, such that all rows of a group whose sizes are within the ratio meet in some tile.
+
+    A group of at most limit rows is one tile.  A larger one is cut by size bands (each as wide as the ratio, so that only
+    equal and neighbouring bands meet) and by a hash into parts of about limit rows; a row goes to the tiles of its part
+    with every part of the bands it meets.  So no task holds a group, however large."""
+    limit = limit or GROUP_ROWS
+    parts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("__parts"))
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num))).cast("long")
+    own = F.pmod(F.xxhash64("size", *[c for c in ("key", "id") if c in rows.columns]), F.col("__parts")).cast("int")
+    marked = rows.join(parts, group).withColumn("__band", band).withColumn("__own", own)
+    others = F.sequence(F.lit(0), F.col("__parts") - 1)
+    name = lambda low, high, a, b: F.concat_ws("/", group, low, high, a, b)
+    same = F.transform(others, lambda q: name(F.col("__band"), F.col("__band"), F.least("__own", q), F.greatest("__own", q)))
+    below = F.transform(others, lambda q: name(F.col("__band") - 1, F.col("__band"), q, F.col("__own")))
+    above = F.transform(others, lambda q: name(F.col("__band"), F.col("__band") + 1, F.col("__own"), q))
+    tiles = F.when(F.col("__parts") == 1, F.array(F.col(group).cast("string"))).otherwise(F.concat(same, below, above))
+    return marked.select(F.explode(tiles).alias("tile"), *rows.columns)
+
+
 def _unite(groups: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
     """Forest edges (a, b) of what bit counts leave possible within each group."""
 
@@ -240,18 +279,16 @@ def _unite(groups: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
             order = np.lexsort((keys, size))
             keys, size, bits = keys[order], size[order], [bits[i] for i in order]
             forest = Forest(len(keys))
-            for i, j in similar_tiles(size, bits, num, den):
-                for a, b in zip(i.tolist(), j.tolist()):
-                    if forest.join(a, b):
-                        out.add((int(keys[a]), int(keys[b])))
+            for i, j in similar_tiles(size, bits, num, den, forest):
+                out.update((int(keys[a]), int(keys[b])) for a, b in unite(forest, i, j))
             if len(out) > 100_000:
                 yield _edges(out)
                 out = set()
         if out:
             yield _edges(out)
 
-    rows = groups.join(maps, "key").select("g", "key", "size", "bits")
-    return map_batches(rows.repartition("g").sortWithinPartitions("g"), run, "a long, b long")
+    rows = tiled(groups, "g", num, den).join(maps, "key").select("tile", "key", "size", "bits")
+    return map_batches(rows.repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile"), run, "a long, b long")
 
 
 def _edges(pairs) -> pa.RecordBatch:
@@ -260,28 +297,34 @@ def _edges(pairs) -> pa.RecordBatch:
 
 
 def _verify(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Forest edges (a, b) of exact links; members: root, id, t (text), one row a node, the id standing for it."""
+    """Forest edges (a, b) of exact links; members: tile, id, t (text), key, the id standing for the node
+    of that key; of texts that share an id, the one with the key is meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_group(batches):
             ids = np.concatenate([h.column(1).to_numpy() for h in held])
+            keys = np.concatenate([h.column(3).to_numpy() for h in held])
             sets = [x for h in held for x in sets_of(h.column(2), n)]
+            mine = np.array([bool(len(x)) and set_key(x) == k for x, k in zip(sets, keys.tolist())])
+            _, once = np.unique(np.where(mine, keys, 0), return_index=True)
+            use = once[mine[once]]
+            ids, sets = ids[use], [sets[i] for i in use]
             size = np.array([len(x) for x in sets], np.int64)
             order = np.lexsort((ids, size))
             ids, size, sets = ids[order], size[order], [sets[i] for i in order]
             maps = [bitmap(x, bitmap_bits(len(x))) for x in sets]
             forest, out = Forest(len(ids)), []
-            for i, j in similar_tiles(size, maps, num, den):
-                for a, b in zip(i.tolist(), j.tolist()):
-                    if forest.find(a) != forest.find(b):
-                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                        if den * both >= num * (size[a] + size[b] - both):
-                            forest.join(a, b)
-                            out.append((int(ids[a]), int(ids[b])))
+
+            def linked(a: int, b: int, sets: list[np.ndarray] = sets) -> bool:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                return den * both >= num * (len(sets[a]) + len(sets[b]) - both)
+
+            for i, j in similar_tiles(size, maps, num, den, forest):
+                out += [(int(ids[a]), int(ids[b])) for a, b in unite(forest, i, j, linked)]
             if out:
                 yield _edges(out)
 
-    return map_batches(members.repartition("root").sortWithinPartitions("root"), run, "a long, b long")
+    return map_batches(members.repartition(partitions(members.sparkSession), "tile").sortWithinPartitions("tile"), run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,9 +356,14 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     groups = materialize(_groups(spread, buckets, num, den).distinct())
     likely = materialize(_unite(groups, maps, num, den))
     roots = components(likely)
-    wanted = materialize(roots.join(reps.select(F.col("key").alias("node"), "rep"), "node").select("root", F.col("rep").alias("id")))
+    placed = roots.join(reps.select(F.col("key").alias("node"), "rep", "size"), "node").select("root", F.col("rep").alias("id"), "size", F.col("node").alias("key"))
+    wanted = materialize(tiled(placed, "root", num, den).select("tile", "id", "key"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    members = rows.join(wanted, "id").groupBy("root", "id").agg(F.first("t").alias("t")) if _repeats(nodes) else rows.join(wanted, "id").select("root", "id", "t")
+    if wanted.count() <= BROADCAST_ROWS:
+        members = rows.join(F.broadcast(wanted), "id")
+    else:
+        members = likely_in(rows, "id", wanted).join(wanted, "id")
+    members = members.select("tile", "id", "t", "key")
     links = materialize(_verify(members, n, num, den))
     # copies of a set, and what the links unite; ids that repeat bring their sets together
     same = named.join(reps.where("copies > 1").select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
@@ -331,6 +379,17 @@ def _repeats(nodes: DataFrame) -> bool:
     return not nodes.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
 
 
+def keep_one(docs: DataFrame, num: int = NUM, den: int = DEN, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those that another document of their component stands for: the
+    smallest id stays.  Of rows that repeat an id one stays; rows with a null id or without a word all stay."""
+    found = materialize(jaccard_components(docs, num, den, n, id_col, text_col))
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if _repeats(found.select(F.col(id_col).alias("id"))):
+        kept = kept.where(f"{id_col} is not null").dropDuplicates([id_col]).unionByName(kept.where(f"{id_col} is null"))
+    return kept
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -83,6 +83,34 @@ class Graph:
     entry: int | None = None
     computed: int = 0
 
+    @classmethod
+    def from_parts(cls, vectors: np.ndarray, params: GraphParams, metric: str, levels: list[int], edges: list[tuple[int, int, int, int]], entry: int | None) -> Graph:
+        """A graph from its tables: levels by node, edges (layer, source, position, target) in order of position.
+
+        Raises on parts that don't belong together: a level for each vector, a known entry on the top layer, edges between
+        nodes that stand on their layer, no more of them than the layer allows."""
+        n = len(vectors)
+        if len(levels) != n:
+            raise ValueError(f"{len(levels)} levels for {n} vectors")
+        if (entry is None) != (n == 0) or entry is not None and not 0 <= entry < n:
+            raise ValueError(f"entry {entry} of {n} nodes")
+        if n and levels[entry] != max(levels):
+            raise ValueError(f"entry {entry} stands on layer {levels[entry]}, not on the top {max(levels)}")
+        graph = cls(vectors, params, metric, list(levels), [{} for _ in range(max(levels, default=-1) + 1)], entry)
+        for node, level in enumerate(levels):
+            if not 0 <= level <= MAX_LEVEL:
+                raise ValueError(f"node {node} has level {level}")
+            for layer in range(level + 1):
+                graph.layers[layer][node] = []
+        for layer, source, position, target in edges:
+            if not 0 <= layer < len(graph.layers) or source not in graph.layers[layer] or target not in graph.layers[layer]:
+                raise ValueError(f"edge {source} to {target} leaves layer {layer}")
+            row = graph.layers[layer][source]
+            if position != len(row) or len(row) >= params.max_degree(layer):
+                raise ValueError(f"node {source} has no place {position} on layer {layer}")
+            row.append(target)
+        return graph
+
     def distances(self, query: np.ndarray, ids: list[int] | np.ndarray) -> np.ndarray:
         rows = self.vectors[ids]
         self.computed += len(rows)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,6 +82,78 @@ def build(base: DataFrame, params: GraphParams | None = None, metric: str | Metr
 _CELLS = {"a": pa.int64(), "layer": pa.int32(), "pos": pa.int32(), "b": pa.int64()}
 
 
+def save(built: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """Write the tables of build() below a folder; meta goes last, so that a folder with it is whole."""
+    for name, df in zip(("nodes", "edges", "meta"), built):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "meta"))
+
+
+def search_built(base: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int, ef: int) -> DataFrame:
+    """As search, on graphs that are there: (qid, rank, id, dist, computed).  Metric and parameters are the graphs' own.
+
+    A graph whose parts don't belong together, or whose vectors are missing from the base, is an error."""
+    nodes, edges, meta = built
+    spark = base.sparkSession
+    shards = meta.collect()  # one row a shard
+    if not shards:
+        return spark.createDataFrame([], "qid long, rank int, id long, dist float, computed long")
+    spec = json.loads(shards[0]["params"])
+    kind = MetricKind.parse(spec.pop("metric"))
+    count = spec.pop("shards")
+    params = GraphParams(**spec)
+    known = {r["shard"]: (r["entry"], r["count"]) for r in shards}
+    none = F.lit(None)
+    parts = nodes.join(base.select(F.col("id").cast("long").alias("id"), "vec"), "id").select("shard", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("level").cast("long").alias("b"), none.cast("int").alias("layer"), none.cast("int").alias("pos"), "vec")
+    parts = parts.unionByName(edges.select("shard", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "layer", "pos", none.cast("array<float>").alias("vec")))
+    parts = parts.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind", "a", "layer", "pos")
+    found = None
+    for qids, qx in query_blocks(queries):
+        held = spark.sparkContext.broadcast((qids, normalize_np(qx) if kind is MetricKind.COSINE else qx))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qids, qx = held.value
+            rows: dict[int, list[pa.RecordBatch]] = {}
+            for batch in batches:
+                for shard in dict.fromkeys(batch.column(0).to_pylist()):
+                    rows.setdefault(shard, []).append(batch.filter(pa.array(batch.column(0).to_numpy() == shard)))
+            for shard, some in rows.items():
+                whole = pa.Table.from_batches(some).combine_chunks()
+                mine = whole.filter(pa.array(whole.column(1).to_numpy() == 0))
+                ids = mine.column(2).to_numpy()
+                entry, n = known[shard]
+                if len(ids) != n:
+                    raise VectorError(f"shard {shard} has {len(ids)} of {n} vectors")
+                vec = mine.column(6).combine_chunks()
+                vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+                x = matrix(vec, qx.shape[1])
+                x = normalize_np(x) if kind is MetricKind.COSINE else x
+                other = whole.filter(pa.array(whole.column(1).to_numpy() == 1))
+                place = {int(v): p for p, v in enumerate(ids)}
+                links = [(la, place.get(a, -1), p, place.get(b, -1)) for a, b, la, p in zip(*(other.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+                g = Graph.from_parts(x.astype(np.float64), params, kind.name.lower(), mine.column(3).to_pylist(), links, place.get(entry))
+                yield _answers(g, ids, x, qids, qx, k, ef, kind)
+
+        part = parts.mapInArrow(run, "ef int, qid long, id long, dist float, computed long")
+        found = part if found is None else found.unionByName(part)
+    order = W.partitionBy("qid").orderBy("dist", "id")
+    return top(found, order, k).select("qid", "rank", "id", "dist", "computed")
+
+
+def _answers(g: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, ef: int, kind: MetricKind) -> pa.RecordBatch:
+    """What a beam finds for each query, with the reference kernel's distances."""
+    out: list[tuple[int, int, float, int]] = []
+    for qid, q in zip(qids.tolist(), qx):
+        before = g.computed
+        rows = [c for _, c in g.search(q.astype(np.float64), k, ef)]
+        dist = distances_np(x[rows], q, kind) if rows else []
+        out += [(qid, int(ids[c]), float(d), g.computed - before) for c, d in zip(rows, dist)]
+    return pa.RecordBatch.from_pydict({"ef": pa.array([ef] * len(out), pa.int32()), "qid": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "dist": pa.array([o[2] for o in out], pa.float32()), "computed": pa.array([o[3] for o in out], pa.int64())})
+
+
 def search(base: DataFrame, queries: DataFrame, k: int, ef: int, params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None) -> DataFrame:
     """(qid, rank, id, dist, computed): k nearest that beams of max(ef, k) find in all shards, with the reference kernel's
     distances; computed counts the distances computed for the query."""
@@ -103,13 +175,7 @@ def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: G
             for _, ids, x in _shards(batches, kind):
                 g = _graph(ids, x, params, kind)
                 for ef in efs:
-                    out: list[tuple[int, int, float, int]] = []
-                    for qid, q in zip(qids.tolist(), qx):
-                        before = g.computed
-                        rows = [c for _, c in g.search(q.astype(np.float64), k, ef)]
-                        dist = distances_np(x[rows], q, kind) if rows else []
-                        out += [(qid, int(ids[c]), float(d), g.computed - before) for c, d in zip(rows, dist)]
-                    yield pa.RecordBatch.from_pydict({"ef": pa.array([ef] * len(out), pa.int32()), "qid": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "dist": pa.array([o[2] for o in out], pa.float32()), "computed": pa.array([o[3] for o in out], pa.int64())})
+                    yield _answers(g, ids, x, qids, qx, k, ef, kind)
 
         part = _sharded(base, shards).mapInArrow(run, "ef int, qid long, id long, dist float, computed long")
         found = part if found is None else found.unionByName(part)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import truth
 from quarry.operators.graph_index import GraphParams
-from quarry.operators.hnsw import search, sweep
+from quarry.operators.hnsw import build, load, save, search_built, sweep
 from quarry.operators.knn import knn
 from quarry.sources.tables import first_n
 
@@ -50,9 +50,10 @@ def timed(run, repeats: int = 1) -> list[float]:
     return out
 
 
-def round_trip(base: DataFrame, queries: DataFrame, path: str, k: int = 10, ef: int = 80, metric: str = "l2") -> DataFrame:
-    """Rows by which answers before and after a write and read of the base differ: none, if the trip is exact."""
-    before = search(base, queries, k, ef, metric=metric, shards=1).drop("computed")
-    base.write.mode("overwrite").parquet(path)
-    after = search(base.sparkSession.read.schema(base.schema).parquet(path), queries, k, ef, metric=metric, shards=1).drop("computed")
+def round_trip(base: DataFrame, queries: DataFrame, path: str, k: int = 10, ef: int = 80, metric: str = "l2", params: GraphParams | None = None, shards: int = 1) -> DataFrame:
+    """Rows by which the answers of graphs before and after a write and read differ: none, if the trip is exact."""
+    built = build(base, params, metric, shards)
+    before = search_built(base, built, queries, k, ef)
+    save(built, path)
+    after = search_built(base, load(base.sparkSession, path), queries, k, ef)
     return before.exceptAll(after).unionByName(after.exceptAll(before))

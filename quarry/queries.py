@@ -459,6 +459,18 @@ def hnsw_sweep(spark, d):
     return recall_sweep(base, _asked(base), K, (10, 40, 160), params=GraphParams(m=16, ef_construction=100))
 
 
+@query("SELECT vec_id AS qid, vec_id AS id FROM embeddings WHERE vec_id < 0")
+def snapshot_round_trip(spark, d):
+    """Answers that change when graphs are written and read again: none."""
+    from quarry.plans.sweep import round_trip
+
+    _checkpoints(spark)
+    base = _base(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
+    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return round_trip(base, _asked(base), path, K, 64, params=GraphParams(m=8, ef_construction=40), shards=2).select("qid", "id")
+
+
 @query("""SELECT 'total' AS what, count(*) AS n FROM embeddings""")
 def hnsw_node_count(spark, d):
     _checkpoints(spark)

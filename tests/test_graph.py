@@ -129,6 +129,37 @@ def test_built_tables_have_no_violation(spark, tmp_path):
     assert graph.total_stats(graph.layer_stats(nodes, edges, m=4)).first()["nodes"] == 300
 
 
+def test_saved_graphs_answer_alike(spark, tmp_path):
+    from quarry.operators.hnsw import load, save, search_built
+    from quarry.plans.sweep import recall_sweep, round_trip
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "c"))
+    b = frame(spark, data(300))
+    q = b.where("id % 30 = 0").withColumnRenamed("id", "qid")
+    params = GraphParams(m=8, ef_construction=40)
+    assert round_trip(b, q, f"file://{tmp_path}/g", 5, 50, params=params, shards=2).count() == 0
+    built = load(spark, f"file://{tmp_path}/g")
+    fresh = search(b, q, 5, 50, params, "l2", 2)
+    assert sorted(map(tuple, search_built(b, built, q, 5, 50).collect())) == sorted(map(tuple, fresh.collect()))
+    with pytest.raises(Exception, match="vectors"):
+        search_built(b.where("id > 5"), built, q, 5, 50).collect()
+    nodes, edges, meta = built
+    save((nodes, edges.withColumn("dst", F.col("dst") + 1000), meta), f"file://{tmp_path}/h")
+    with pytest.raises(Exception, match="leaves layer"):
+        search_built(b, load(spark, f"file://{tmp_path}/h"), q, 5, 50).collect()
+    sweep = recall_sweep(b, q, 5, (5, 100), params=params).orderBy("ef").collect()
+    assert sweep[0]["recall"] <= sweep[1]["recall"] and sweep[1]["distance_recall"] >= sweep[1]["recall"]
+
+
+@pytest.mark.parametrize(
+    "levels, edges, entry, what",
+    [([0], [], 0, "levels"), ([0, 0], [], None, "entry"), ([0, 1], [], 0, "top"), ([0, 0], [(0, 0, 0, 5)], 0, "leaves"), ([0, 0], [(0, 0, 1, 1)], 0, "place"), ([0, 99], [], 1, "level")],
+)
+def test_parts_must_fit(levels, edges, entry, what):
+    with pytest.raises(ValueError, match=what):
+        Graph.from_parts(np.zeros((2, 2)), GraphParams(), "l2", levels, edges, entry)
+
+
 def test_each_violation(spark):
     nodes = spark.createDataFrame([(0, 2), (1, 0), (2, 0), (3, 0)], NODES)
     edges = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 1), (0, 1, 0, 1), (0, 1, 1, 9), (1, 0, 0, 1), (1, 1, 0, 0), (0, 2, 0, 0), (0, 2, 1, 1), (0, 2, 2, 3)], EDGES)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python.  Bounds a worker's memory when texts are long.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 #: Seeds of the multiplicative hashes.
 MULT = np.uint64(0x9E3779B97F4A7C15)

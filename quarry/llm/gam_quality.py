@@ -33,8 +33,14 @@ _STOP = np.isin(_BYTE, [ord(c) for c in ".?!"])
 _SYMBOL = (_BYTE > 32) & (_BYTE < 127) & ~_LETTER & ~_DIGIT & ~_MARK & (_BYTE != 33) & (_BYTE != 124)
 
 
-def text_features(column: pa.Array) -> np.ndarray:
-    """The features of each whole text; null counts as empty, and an empty text gives zeros."""
+def text_features(column: pa.Array, rows: int = 250) -> np.ndarray:
+    """The features of each whole text; null counts as empty, and an empty text gives zeros.  Works on a few texts at once,
+    as arrays of a number for each byte would else fill a worker."""
+    parts = [_features(column.slice(at, rows)) for at in range(0, len(column), rows)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _features(column: pa.Array) -> np.ndarray:
     raw, offsets = utf8(column)
     n = len(offsets) - 1
     size = np.diff(offsets).astype(float)

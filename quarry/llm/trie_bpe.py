@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches, table
 
-#: Words whose ids a worker keeps before it starts anew.  A cache only.
-CACHE = 400_000
+#: Words of one generation whose ids a worker keeps.  A cache only; workers outlive a stage, so it stays small.
+CACHE = 120_000
 #: Unicode White_Space, as the normalizer's pattern has it.
 _WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Texts of these characters only are normalized here; others by the library, whose Unicode tables count.
@@ -85,6 +85,7 @@ class TrieBPE:
         self.length = {v: len(k) for k, v in self.inner.items()} | {v: len(k) for k, v in self.final.items()}
         self.beside: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the two tokens stay two when their characters are encoded together."""
@@ -114,7 +115,7 @@ class TrieBPE:
                     a = self.parts[a][1]
                     if a == was:
                         ok = True
-        if len(self.beside) > 2_000_000:
+        if len(self.beside) > 5 * CACHE:
             self.beside.clear()
         self.beside[key] = ok
         return ok
@@ -165,9 +166,11 @@ class TrieBPE:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't known yet."""
-        if len(self.memo) > CACHE:
-            self.memo.clear()
-        new = [p for p in pieces if p not in self.memo]
+        if len(self.memo) > CACHE:  # what comes again moves on from the last generation
+            self.old, self.memo = self.memo, {}
+        for p in pieces - self.memo.keys() & self.old.keys():
+            self.memo[p] = self.old[p]
+        new = list(pieces - self.memo.keys())
         plain = {p: p if p.isascii() and p.isprintable() else "".join([self.bytes[b] for b in p.encode()]) for p in new if p[0] != "\0"}
         ids = self.walk(list(set(plain.values())))
         for p in new:

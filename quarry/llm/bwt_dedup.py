@@ -162,7 +162,7 @@ def _parse(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
 
 
 def _dictionary(parsed: DataFrame, span: int, buckets: int, limit: int) -> DataFrame:
-    """Rows (key, g, a, lo, hi, done, single, wide): done, all windows from lo to hi are repeated; else the entry has to be
+    """Rows (key, g, a, lo, hi, done, single, wide): done, all windows from lo to hi are repeated (g and a mean nothing); else the entry has to be
     merged, single says whether its result is wanted, and wide whether its anchor has more than limit entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +182,19 @@ def _dictionary(parsed: DataFrame, span: int, buckets: int, limit: int) -> DataF
             entries = np.bincount(gid[new_c])[gid]
             done = times > 1
             merge = new_c & (entries > 1)
-            for use, flag in ((done, True), (merge, False)):
-                i = np.flatnonzero(use)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[i]), "g": pa.array(g[i].astype(np.int64)), "a": pa.array(a[i]), "lo": pa.array(lo[i]), "hi": pa.array(hi[i]), "done": pa.array(np.full(len(i), flag)), "single": pa.array(times[i] == 1), "wide": pa.array(entries[i] > limit)})
+            i = np.flatnonzero(merge)
+            n = len(i)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[i]), "g": pa.array(g[i].astype(np.int64)), "a": pa.array(a[i]), "lo": pa.array(lo[i]), "hi": pa.array(hi[i]), "done": pa.array(np.zeros(n, bool)), "single": pa.array(times[i] == 1), "wide": pa.array(entries[i] > limit)})
+            i = np.flatnonzero(done)  # neighbours, as in lines that repeat, make one run
+            i = i[np.lexsort((lo[i], key[i]))]
+            k, first, last = key[i], lo[i], hi[i]
+            new = np.ones(len(i), bool)
+            new[1:] = (k[1:] != k[:-1]) | (first[1:] > last[:-1] + 1)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(i))[: len(begin)] - 1
+            n = len(begin)
+            none = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(k[begin]), "g": none, "a": none, "lo": pa.array(first[begin]), "hi": pa.array(last[end]), "done": pa.array(np.ones(n, bool)), "single": pa.array(np.zeros(n, bool)), "wide": pa.array(np.zeros(n, bool))})
 
     spread = parsed.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return map_batches(spread, run, "key long, g long, a long, lo long, hi long, done boolean, single boolean, wide boolean")

@@ -42,9 +42,10 @@ def byte_characters() -> list[str]:
 class TrieBPE:
     """Encoder for a BPE tokenizer file; immutable but for its caches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -115,7 +116,7 @@ class TrieBPE:
                     a = self.parts[a][1]
                     if a == was:
                         ok = True
-        if len(self.beside) > 5 * CACHE:
+        if len(self.beside) > 5 * self.cache:
             self.beside.clear()
         self.beside[key] = ok
         return ok
@@ -166,7 +167,7 @@ class TrieBPE:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't known yet."""
-        if len(self.memo) > CACHE:  # what comes again moves on from the last generation
+        if len(self.memo) > self.cache:  # what comes again moves on from the last generation
             self.old, self.memo = self.memo, {}
         for p in pieces - self.memo.keys() & self.old.keys():
             self.memo[p] = self.old[p]
@@ -188,8 +189,8 @@ class TrieBPE:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TrieBPE:
-    return TrieBPE(path)
+def encoder(path: str, cache: int = CACHE) -> TrieBPE:
+    return TrieBPE(path, cache)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -220,12 +221,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     return map_batches(rows, run, f"{rows.schema[0].simpleString().replace(':', ' ')}, token_ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 2 * CACHE) -> DataFrame:
     """Digests of what encode_documents() gives, from the same walk, joined piece by piece: id_col, n_tokens, ids_sha256
     (of decimal ids joined by one space), decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer_path)
+        bpe = encoder(tokenizer_path, cache)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for part, texts in _texts(batches):
             split = [bpe.words(t) for t in texts]

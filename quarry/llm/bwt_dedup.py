@@ -28,7 +28,7 @@ from quarry.llm.jaccard_join import by_group
 
 SPAN, GRAM = 400, 40
 #: Bytes parsed at once, contexts merged at once (an anchor's are never parted), anchors of one bucket.
-PARSE_BYTES, MERGE_ROWS, BUCKET = 1 << 21, 16_384, 1_000_000
+PARSE_BYTES, MERGE_ROWS, BUCKET = 1 << 19, 8_192, 250_000
 #: Entries of one anchor that one task merges; of more, their windows are dealt out by fingerprint instead.
 GROUP_ROWS = 65_536
 _PLACE = 30
@@ -200,11 +200,18 @@ def _dictionary(parsed: DataFrame, span: int, buckets: int, limit: int) -> DataF
     return map_batches(spread, run, "key long, g long, a long, lo long, hi long, done boolean, single boolean, wide boolean")
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 50) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: long texts come with many runs, which are large as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """The wanted entries with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out: list[dict] = []  # wide goes along
             for key, text, entries in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "wide": e["wide"], "ctx": text[e["lo"] : e["hi"] + span]} for e in entries]
@@ -307,7 +314,7 @@ def _cut(rows: DataFrame, span: int) -> DataFrame:
     show as the replacement character in rest, while sha is of the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 spans: list[list[int]] = []

@@ -27,7 +27,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 HOT_TOKENS = 65_536
 HOT_COUNT = 32
 #: Postings of one bucket, at which buckets are aimed.
-BUCKET = 1_000_000
+BUCKET = 400_000
 TILE = 512
 #: Nodes of one task's tile.  Larger groups are cut into tiles, none is left out.
 GROUP_ROWS = 16_384

@@ -26,8 +26,8 @@ from quarry.llm.common import map_batches, table
 from quarry.llm.training import held_out, labelled
 
 ORDER, DECAY, WIDTH = 3, 0.6, 16
-#: A unit that holds a smaller share of the letter pairs of every insult landmark, each with at most GAP characters
-#: between, is background.
+#: Share of the letter pairs of some insult, each with at most GAP characters between, that the clean units first given to
+#: the machine hold.  Chooses training units only; every unit of a text is valued by the kernel.
 MIN_PAIRS, GAP = 0.75, 2
 #: Weight of a made-up variant against a labelled text when values become probabilities.
 VARIANT_WEIGHT = 0.1
@@ -78,12 +78,11 @@ def units(text: str) -> set[str]:
 
 
 class Known:
-    """What a worker has found of words so far: all it has seen, and value and unit of those above background."""
+    """What a worker has found of words so far: the value of each, and its unit where that isn't the word itself."""
 
     def __init__(self) -> None:
-        self.seen: set[str] = set()
-        self.hits: dict[str, tuple[float, str]] = {}
-        self.names: set[str] = set()
+        self.value: dict[str, float] = {}
+        self.unit: dict[str, str] = {}
 
 
 def gapped(unit: str) -> list[str]:
@@ -143,13 +142,60 @@ def kernel(s: list[str], t: list[str], paired: bool = False) -> np.ndarray:
     return total[:, 0] if paired else total
 
 
+def prefix_kernel(s: list[str], t: list[str]) -> np.ndarray:
+    """kernel(s, t) for many strings s: each distinct prefix is worked on once, and only at the places of t that hold its
+    last letter.  Weights are kept divided by DECAY to the power of the place, so that nothing decays in between."""
+    assert ORDER == 3
+    out = np.zeros((len(s), len(t)), np.float32)
+    order = np.array(sorted(range(len(s)), key=s.__getitem__), np.int64)
+    if not len(s) or not t:
+        return out
+    a = _codes([s[k] for k in order], max(map(len, s)))
+    owner = np.repeat(np.arange(len(t)), [len(x) for x in t])
+    at = np.concatenate([np.arange(len(x)) for x in t])
+    letter = np.frombuffer("".join(t).encode("utf-32-le"), np.uint32).astype(np.int32)
+    steps = {}
+    for c in np.unique(letter).tolist():
+        h = np.flatnonzero(letter == c)
+        later = ((owner[h, None] == owner[None, :]) & (at[h, None] < at[None, :])).astype(np.float32)
+        ends = np.zeros((len(h), len(t)), np.float32)
+        ends[np.arange(len(h)), owner[h]] = DECAY ** (at[h] + 2.0)
+        steps[c] = h, later, ends, (DECAY ** -at[h].astype(float) @ later).astype(np.float32)
+    one = two = np.zeros((1, len(letter)), np.float32)  # sums over earlier places, of one and of two letters
+    total = np.zeros((1, len(t)), np.float32)
+    node = np.zeros(len(s), np.int64)
+    live = np.arange(len(s))
+    for i in range(a.shape[1]):
+        live = live[a[live, i] != 0]
+        rows = a[live, : i + 1]
+        fresh = np.ones(len(live), bool)
+        fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+        first = live[fresh]
+        by = np.argsort(a[first, i], kind="stable")
+        parent, last = node[first[by]], a[first[by], i]
+        rank = np.empty(len(first), np.int64)
+        rank[by] = np.arange(len(first))
+        node[live] = rank[np.cumsum(fresh) - 1]
+        one, two, total = one[parent], two[parent], total[parent]
+        cuts = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1, [len(last)]])
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if x < y and (step := steps.get(int(last[x]))):
+                h, later, ends, starts = step
+                total[x:y] += two[x:y, h] @ (ends * np.float32(DECAY**i))
+                two[x:y] += one[x:y, h] @ later
+                one[x:y] += starts * np.float32(DECAY**-i)
+        done = live if i + 1 == a.shape[1] else live[a[live, i + 1] == 0]
+        out[order[done]] = total[node[done]]
+    return out
+
+
 def normalised(s: list[str], t: list[str], norm_t: np.ndarray) -> np.ndarray:
     """Mean of the normalised kernel and its fourth power: both near misses and exact matches stand out."""
     out = np.empty((len(s), len(t)), np.float32)
-    for at in range(0, len(s), 2048):
-        part = s[at : at + 2048]
+    for at in range(0, len(s), 8192):
+        part = s[at : at + 8192]
         own = kernel(part, part, paired=True)
-        k = kernel(part, t) / np.sqrt(np.maximum(own, 1e-12)[:, None] * norm_t[None, :])
+        k = prefix_kernel(part, t) / np.sqrt(np.maximum(own, 1e-12)[:, None] * norm_t[None, :])
         out[at : at + len(part)] = (k + k * k * k * k) / 2
     return out
 
@@ -223,35 +269,36 @@ class KernelModel:
     slope: float = 1.0
     offset: float = 0.0
 
-    def related(self, strings: list[str]) -> np.ndarray:
-        """Which strings are near enough to some insult landmark to be more than background."""
-        return holds_pairs(strings, self.insults)
-
     def values(self, strings: list[str]) -> np.ndarray:
-        """The machine's value of each unit; background units have the lowest."""
+        """The machine's value of each unit, that of its highest window."""
         out = np.full(len(strings), _BACKGROUND, np.float64)
-        pieces = [(k, w) for k, u in enumerate(strings) for w in windows(u)]
-        near = self.related([w for _, w in pieces])
-        pieces = [p for p, n in zip(pieces, near) if n]
-        if pieces:
-            got = normalised([w for _, w in pieces], self.landmarks, self.norms) @ self.weights + self.bias
-            np.maximum.at(out, [k for k, _ in pieces], got)
+        pieces = sorted((w, k) for k, u in enumerate(strings) for w in windows(u))  # neighbours share prefixes
+        for at in range(0, len(pieces), 65536):
+            some = pieces[at : at + 65536]
+            got = normalised([w for w, _ in some], self.landmarks, self.norms) @ self.weights + self.bias
+            np.maximum.at(out, [k for _, k in some], got)
         return out
 
     def best(self, texts: list[str], known: Known) -> list[tuple[float, str]]:
-        """Value and unit of the highest unit of each text (ties: the smaller unit); background texts have no unit."""
+        """Value and unit of the highest unit of each text (ties: the smaller unit); texts without a unit have the lowest
+        value and no unit."""
         bags = [raw_units(t) for t in texts]
-        new = list(set().union(*bags).difference(known.seen))
+        new = list(set().union(*bags).difference(known.value))
+        known.value.update(dict.fromkeys(new, _BACKGROUND))
         of = [(raw, u) for raw in new for u in cleaned(raw)]
         for (raw, u), v in zip(of, self.values([u for _, u in of]).tolist()):
-            if v > _BACKGROUND:
-                known.hits[raw] = min((-v, u), known.hits.get(raw, (np.inf, "")))
-                known.names.add(raw)
-        known.seen.update(new)
-        out = [min((known.hits[raw] for raw in bag & known.names), default=(-_BACKGROUND, "")) for bag in bags]
-        if len(known.seen) > CACHE:
+            if (-v, u) < (-known.value[raw], known.unit.get(raw, raw)):
+                known.value[raw] = v
+                known.unit.pop(raw, None)
+                if u != raw:
+                    known.unit[raw] = u
+        out = []
+        for bag in bags:
+            top = max(map(known.value.__getitem__, bag), default=_BACKGROUND)
+            out.append((top, min(known.unit.get(raw, raw) for raw in bag if known.value[raw] == top) if top > _BACKGROUND else ""))
+        if len(known.value) > CACHE:
             known.__init__()
-        return [(-v, u) for v, u in out]
+        return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(value, FLOOR) + self.offset, -35, 35)))
@@ -348,8 +395,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
         negative = Counter({r["u"]: r["n0"] for r in near if len(r["u"]) <= WIDTH and r["u"] not in first})
         marks = spread(insults, max_landmarks)
         model = None
+        mined: set[str] = set()
         for _ in range(2):
-            hard = [u for u, ok in zip(negative, holds_pairs(list(negative), insults)) if ok]
+            hard = [u for u, ok in zip(negative, holds_pairs(list(negative), insults)) if ok or u in mined]
             alike = normalised(hard, marks, kernel(marks, marks, paired=True)).max(1) if hard else np.zeros(0)
             clean = [hard[k] for k in np.lexsort((hard, -alike))[: max_landmarks // 2]]
             # gaps that labelled texts are too few to show: variants of the insults, with their weight
@@ -377,8 +425,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
             again = Counter(r["u"] for r in got if r["y"] and r["v"] > 0 and len(r["u"]) <= WIDTH)
             positive = first | again
             for r in got:
-                if not r["y"] and r["v"] > _BACKGROUND and len(r["u"]) <= WIDTH and r["u"] not in positive:
+                if not r["y"] and r["v"] > -1 and len(r["u"]) <= WIDTH and r["u"] not in positive:  # within the margin
                     negative[r["u"]] += 10
+                    mined.add(r["u"])
         return model
     finally:
         rows.unpersist()

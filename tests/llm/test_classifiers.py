@@ -34,6 +34,20 @@ def test_units_join_split_words():
     assert len(sk.windows("x" * 100)) > 1
 
 
+def test_every_unit_is_valued_by_the_kernel():
+    strings = ["idiot", "idio", "idiotic", "", "éçé!é", "zzz", "mormoron", "stpid", "a"]
+    marks = ["idiot", "moron", "éçé", "stupid"]
+    assert np.allclose(sk.prefix_kernel(strings, marks), [[brute_kernel(x, y) for y in marks] for x in strings], atol=1e-5)
+    marks = ["stupid", "pathetic", "trash", "clown"]
+    odd = ["st*pid", "stpid", "patetic", "trsh", "clwn", "t---r---a---s---h"]
+    x = marks + ["table", "window", "garden"]
+    model = sk.fit_machine(marks, marks, x, np.array([1.0] * 4 + [-1.0] * 3), np.ones(7))
+    direct = sk.normalised(odd[:-1], marks, model.norms) @ model.weights + model.bias
+    assert np.allclose(model.values(odd)[:-1], direct, atol=1e-4) and (model.values(odd) > sk._BACKGROUND).all()
+    got = model.best(["a stpid thing", "", "trash"], sk.Known())
+    assert got[0][1] == "stpid" and got[1] == (sk._BACKGROUND, "") and got[2][1] == "trash"
+
+
 def labelled(spark, n=400):
     rows, labels = [], []
     for k in range(n):

@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 A text is a bag of units: its lower-cased words, stripped of outer marks, and the joins of neighbouring fragments of at
-most two characters with what stands beside them ("m oron", "i d i o t").  Units longer than WIDTH are cut into
+most two characters, alone and with what stands beside them ("m oron", "i d i o t").  Units longer than WIDTH are cut into
 overlapping windows.  The kernel counts common subsequences of ORDER letters, each weighted by DECAY to the power of what
 it spans in both strings, so that inserted or dropped characters cost a factor and not the match.  Kernel values against
 the landmarks, whitened, are the features of a unit; the machine is trained on witnesses (the most telling unit of each
@@ -10,6 +10,7 @@ labelled text, found anew after a first fit, as labels stand on texts); a text s
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -48,21 +49,26 @@ def raw_units(text: str) -> set[str]:
     """The distinct words of a whole text, and the joins of its fragments."""
     words = text.lower().replace(", ", " ").replace(". ", " ").split()  # outer marks go anyway
     out = set(words)
+    end = -1
     for k in [k for k, w in enumerate(words) if len(w) <= 2]:
-        if k and len(words[k - 1]) > 2:
-            out.add(words[k - 1] + words[k])
-        join = words[k]
-        for w in words[k + 1 : k + 1 + WIDTH]:
-            join += w
-            if len(w) > 2:
-                if len(join) <= WIDTH:
-                    out.add(join)
-                break
-        else:
-            out.add(join)
+        if k > end:  # a run of fragments begins
+            end = k
+            while end + 1 < len(words) and len(words[end + 1]) <= 2:
+                end += 1
+            if k:
+                out.update(words[k - 1] + join for join in _joins(words[k : min(end + 1, k + WIDTH)]))
+        joins = _joins(words[k : min(end + 1, k + WIDTH)])
+        out.update(joins[1:])
+        if end + 1 < len(words) and end < k + WIDTH:
+            out.add(joins[-1] + words[end + 1])
     return out
 
 
+def _joins(fragments: list[str]) -> list[str]:
+    """The joins of the first fragment with none, one, two ... of those that follow."""
+    return list(itertools.accumulate(fragments))
+
+
 def cleaned(raw: str) -> tuple[str, ...]:
     """The units of a word: without outer marks, and also without marks put between its letters."""
     if raw.isalpha():

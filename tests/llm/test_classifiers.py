@@ -34,6 +34,13 @@ def test_units_join_split_words():
     assert len(sk.windows("x" * 100)) > 1
 
 
+def test_spelled_out_words_join_whatever_stands_beside_them():
+    for text in ("i d i o t extraordinarily good", "say i d i o t", "a i d i o t is a", "extraordinarily i d i o t extraordinarily"):
+        assert "idiot" in sk.units(text), text
+    assert "disgusting" in sk.units("d i s g u s t i n g behaviours") and "disgustingbehaviours" in sk.units("d i s g u s t i n g behaviours")
+    assert {"scum", "scumof"} <= sk.units("scu m of it") and "moron" in sk.units("mor o n")
+
+
 def test_every_unit_is_valued_by_the_kernel():
     strings = ["idiot", "idio", "idiotic", "", "éçé!é", "zzz", "mormoron", "stpid", "a"]
     marks = ["idiot", "moron", "éçé", "stupid"]

@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 A text is a bag of units: its lower-cased words, stripped of outer marks, and the joins of neighbouring fragments of at
-most two characters, alone and with what stands beside them ("m oron", "i d i o t").  Units longer than WIDTH are cut into
+most two characters, alone and with what stands beside them ("m oron", "i d i o t"), and
+the joins of two neighbouring words of at most WIDTH letters in all ("stu pid").  Units longer than WIDTH are cut into
 overlapping windows.  The kernel counts common subsequences of ORDER letters, each weighted by DECAY to the power of what
 it spans in both strings, so that inserted or dropped characters cost a factor and not the match.  Kernel values against
 the landmarks, whitened, are the features of a unit; the machine is trained on witnesses (the most telling unit of each
@@ -45,10 +46,12 @@ _BACKGROUND = -1e9
 FLOOR = -2.0
 
 
-def raw_units(text: str) -> set[str]:
-    """The distinct words of a whole text, and the joins of its fragments."""
+def raw_units(text: str, pairs: bool = True) -> set[str]:
+    """The distinct words of a whole text, the joins of its fragments, and those of two neighbouring words up to WIDTH."""
     words = text.lower().replace(", ", " ").replace(". ", " ").split()  # outer marks go anyway
     out = set(words)
+    if pairs:
+        out.update([a + b for a, b in zip(words, words[1:]) if len(a) + len(b) <= WIDTH])
     end = -1
     for k in [k for k, w in enumerate(words) if len(w) <= 2]:
         if k > end:  # a run of fragments begins
@@ -78,9 +81,9 @@ def cleaned(raw: str) -> tuple[str, ...]:
     return tuple(u for u in ((outer, inner) if inner != outer else (outer,)) if len(u) >= ORDER)
 
 
-def units(text: str) -> set[str]:
+def units(text: str, pairs: bool = True) -> set[str]:
     """The distinct units of a whole text."""
-    return {u for raw in raw_units(text) for u in cleaned(raw)}
+    return {u for raw in raw_units(text, pairs) for u in cleaned(raw)}
 
 
 class Known:
@@ -374,7 +377,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
             for batch in batches:
                 clean, toxic = Counter(), Counter()
                 for text, y in zip(batch.column(0).fill_null("").to_pylist(), batch.column(1).to_pylist()):
-                    (toxic if y else clean).update(units(text))
+                    (toxic if y else clean).update(units(text, pairs=False))  # joins of whole words name no insult
                 keys = list(clean.keys() | toxic.keys())
                 yield pa.RecordBatch.from_pydict({"u": pa.array(keys, pa.string()), "n1": pa.array([toxic[k] for k in keys], pa.int64()), "n0": pa.array([clean[k] for k in keys], pa.int64())})
 

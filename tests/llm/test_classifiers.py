@@ -87,6 +87,15 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert scores[3] > 0.3 and scores[2] > scores[4]
 
 
+def test_insults_split_in_two_pieces_are_found(spark):
+    assert {"stupid", "pathetic"} <= sk.units("a stu pid and path etic plan")
+    docs, labels = labelled(spark)
+    model = sk.fit_toxicity(docs, labels)
+    odd = spark.createDataFrame([(1, "say blorg face now"), (2, "say blorgxface now"), (3, "wret chling here"), (4, prose(3, 30))], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in sk.score_toxicity(odd, model, ["doc_id"]).collect()}
+    assert min(scores[k] for k in (1, 2, 3)) >= 0.3 > scores[4], scores
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = labelled(spark, 20)
     none = labels.where("doc_id < 0")

@@ -60,17 +60,32 @@ def symbols_of(hashes: np.ndarray, kind: np.ndarray, core: np.ndarray) -> np.nda
     return np.where((core[k] == hashes) & (kind < TYPES), k, len(core) + kind)
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """The most frequent words: counts of each batch, without what is rare there, summed."""
+def _counted(train: DataFrame) -> DataFrame:
+    """Hash and count of every word of the texts: partial counts of a task, summed by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            every, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([c for _, c in held]), len(every)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"h": pa.array(every.astype(np.int64)), "c": pa.array(counts)})
+
         for batch in batches:
             hashes, kind, _ = tokens_of(batch.column(0))
-            words, counts = np.unique(hashes[kind < TYPES], return_counts=True)
-            keep = counts * 20_000 >= len(hashes)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(words[keep].astype(np.int64)), "c": pa.array(counts[keep], pa.int64())})
+            held.append(np.unique(hashes[kind < TYPES], return_counts=True))
+            if sum(len(h) for h, _ in held) > BUCKET:
+                yield merged()
+                held = []
+        if held:
+            yield merged()
+
+    return map_batches(train, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
 
-    rows = map_batches(docs, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(WORDS).collect()
+def _frequent(train: DataFrame) -> np.ndarray:
+    """The most frequent words by their exact counts (ties: the smaller hash)."""
+    rows = _counted(train).orderBy(F.desc("c"), "h").limit(WORDS).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).astype(np.uint64))
 
 

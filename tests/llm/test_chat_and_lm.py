@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from helpers import WORDS, awkward, empty, prose
 
-from quarry.llm import chat_rotation
+from quarry.llm import chat_rotation, class_lm
 from quarry.llm.chat_rotation import rotate
 from quarry.llm.class_lm import exchange, score_texts
 
@@ -102,3 +102,15 @@ def test_model_is_a_distribution():
         emitted = [(1 - unseen) * w / sum(words) for w in words]
         total += 0.95 * follow[c] * (sum(emitted) + unseen) + 0.05 * (sum((w + 0.5) / (n + 0.5 * (v + 1)) for w in words) + 0.5 / (n + 0.5 * (v + 1)) / k)
     assert abs(total - 1) < 1e-12
+
+
+def test_frequent_words_are_exact_whatever_the_batches(spark):
+    # a flat vocabulary, each word below 1/20,000 of its batch; the words with an odd number stand there twice
+    text = " ".join(f"w{k} w{k}" if k % 2 else f"w{k}" for k in range(30_000))
+    rows = spark.createDataFrame([(text,), (" ".join(f"w{k}" for k in range(1, 4000, 2)),)], "t string")
+    one, many = class_lm._frequent(rows.coalesce(1)), class_lm._frequent(rows.repartition(2))
+    assert len(one) == class_lm.WORDS and np.array_equal(one, many)
+    import pyarrow as pa
+
+    thrice = class_lm.tokens_of(pa.array([" ".join(f"w{k}" for k in range(1, 4000, 2))]))[0]
+    assert np.isin(one, thrice).all()

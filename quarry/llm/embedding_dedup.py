@@ -23,6 +23,8 @@ THRESHOLD = 0.93
 SHARD_ROWS, QUERY_ROWS = 4096, 512
 PARAMS = GraphParams(m=12, ef_construction=48)
 FIRST_BEAM, AUDIT_ROWS, AUDIT_RECALL = 24, 48, 0.99
+#: Vectors of each block of another shard that the audit asks.
+AUDIT_OTHERS = 2
 
 
 def cosines(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
@@ -30,37 +32,48 @@ def cosines(x: np.ndarray, norm: np.ndarray, rows: np.ndarray, q: np.ndarray, q_
 
 
 class Shard:
-    """The graph of one shard, with a beam that passed its audit."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float):
+    """The graph of one shard, with a beam that passed its audit.  Equal vectors are one node, named by the first id, with a
+    count.  ``others`` are vectors of other shards that the audit asks too."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float, others: np.ndarray | None = None):
+        _, first, inverse = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True)
+        inverse = inverse.reshape(-1)
+        order = np.argsort(first)
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        self.node = dict(zip(ids.tolist(), place[inverse].tolist()))
+        self.count = np.bincount(place[inverse], minlength=len(first))
+        ids, x = ids[first[order]], x[first[order]]
         self.ids, self.x, self.threshold = ids, x, threshold
         self.norm = np.sqrt((x * x).sum(1))
         self.graph = Graph(x / self.norm[:, None], PARAMS, "cosine").build(ids.tolist())
         self.beam, self.recall = FIRST_BEAM, 0.0
         self.scan = False
-        self.audit()
+        self.audit(x[:0] if others is None else others)
 
     def exact(self, q: np.ndarray, q_norm: float) -> np.ndarray:
         return np.flatnonzero((self.x * q).sum(1) / (self.norm * q_norm) >= self.threshold)
 
-    def audit(self) -> None:
-        """Widen the first beam until the sample's links are found, or scan."""
-        sample = np.unique(np.linspace(0, len(self.ids) - 1, AUDIT_ROWS).astype(int))
+    def audit(self, others: np.ndarray) -> None:
+        """Widen the first beam until the links of each sampled vector are found, or scan.  recall is that of the worst."""
+        sample = self.x[np.unique(np.linspace(0, len(self.ids) - 1, AUDIT_ROWS).astype(int))]
+        sample = np.concatenate([sample, others]) if len(others) else sample
+        norm = np.sqrt((sample * sample).sum(1))
+        wanted = [self.exact(q, qn) for q, qn in zip(sample, norm)]
         while True:
-            found = true = 0
-            for i in sample:
-                want = self.exact(self.x[i], self.norm[i])
-                got = self.find(self.x[i], self.norm[i])
-                found += len(np.intersect1d(want, got))
-                true += len(want)
-            self.recall = found / max(true, 1)
+            self.recall = 1.0
+            for q, qn, want in zip(sample, norm, wanted):
+                if len(want):
+                    self.recall = min(self.recall, len(np.intersect1d(want, self.find(q, qn))) / len(want))
+                if self.recall < AUDIT_RECALL:
+                    break
             if self.recall >= AUDIT_RECALL or self.scan:
                 return
             self.beam *= 2
             self.scan = self.beam >= len(self.ids)
 
     def find(self, q: np.ndarray, q_norm: float) -> np.ndarray:
-        """Positions of what links with q."""
+        """Nodes that link with q."""
         if self.scan:
             return self.exact(q, q_norm)
         beam, unit = self.beam, q / q_norm
@@ -76,39 +89,45 @@ class Shard:
 
 
 def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and kind: blocks of the shard itself (kind 0), then blocks of queries (kind 1)."""
+    """Rows sorted by shard and kind: blocks of the shard itself (kind 0), some vectors of each block of
+    its family for the audit (kind 1), then blocks of queries (kind 2)."""
     key = shard = None
     own: list[tuple[np.ndarray, np.ndarray]] = []
+    others: list[np.ndarray] = []
     for batch in batches:
         for row in batch.to_pylist():
             if row["shard"] != key:
-                key, shard, own = row["shard"], None, []
+                key, shard, own, others = row["shard"], None, [], []
             ids = np.frombuffer(row["ids"], np.int64)
             x = np.frombuffer(row["x"], np.float32).reshape(len(ids), -1).astype(np.float64)
             if row["kind"] == 0:
                 own.append((ids, x))
                 continue
+            if row["kind"] == 1:
+                others.append(x)
+                continue
             if shard is None:
                 order = np.argsort(np.concatenate([i for i, _ in own]), kind="stable")
-                shard = Shard(np.concatenate([i for i, _ in own])[order], np.concatenate([v for _, v in own])[order], threshold)
+                shard = Shard(np.concatenate([i for i, _ in own])[order], np.concatenate([v for _, v in own])[order], threshold, np.concatenate(others) if others else None)
             norm = np.sqrt((x * x).sum(1))
             links, edges = [], []
-            place = {int(v): k for k, v in enumerate(shard.ids)}
-            names = [int(v) for v in shard.ids]
-            index = dict(place)
-            forest_names = names.copy()
-            for v in ids.tolist():
-                if v not in index:
-                    index[v] = len(forest_names)
-                    forest_names.append(v)
-            forest = Forest(len(forest_names))
+            names = shard.ids.tolist()
+            index = shard.node | {v: len(names) + k for k, v in enumerate(v for v in ids.tolist() if v not in shard.node)}
+            forest = Forest(len(names) + len(ids))
+            found: dict[bytes, np.ndarray] = {}
             for q, (v, qn) in enumerate(zip(ids.tolist(), norm)):
-                hits = shard.find(x[q], qn)
-                hits = hits[shard.ids[hits] != v]
-                links.append(len(hits))
+                vector = (x[q] + 0.0).tobytes()
+                if vector not in found:
+                    found[vector] = shard.find(x[q], qn)
+                hits, at = found[vector], shard.node.get(v)
+                if at is not None and at not in hits and cosines(shard.x, shard.norm, np.array([at]), x[q], qn)[0] >= threshold:
+                    hits = np.append(hits, at)
+                links.append(int(shard.count[hits].sum()) - (at is not None and at in hits))
+                if at is not None and names[at] != v and at in hits:
+                    edges.append((v, names[at]))
                 for h in hits.tolist():
                     if forest.join(index[v], h):
-                        edges.append((v, names[h]))
+                        edges.append((v if at is None else names[at], names[h]))
             n = len(ids)
             yield pa.RecordBatch.from_pydict({"a": pa.array(ids), "links": pa.array(links, pa.int64()), "b": pa.nulls(n, pa.int64())})
             if edges:
@@ -157,8 +176,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     blocks = materialize(map_batches(tagged, pack, "family long, shards long, own long, ids binary, x binary"))
     name = lambda part: F.concat_ws("/", "family", part)
     base = blocks.select(name(F.col("own")).alias("shard"), F.lit(0).alias("kind"), "ids", "x")
-    asked = blocks.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part"), "ids", "x").select(name(F.col("part")).alias("shard"), F.lit(1).alias("kind"), "ids", "x")
-    jobs = base.unionByName(asked)
+    asked = blocks.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("part"), "own", "ids", "x").withColumn("shard", name(F.col("part")))
+    some = asked.where("part <> own").select("shard", F.lit(1).alias("kind"), F.expr(f"substring(ids, 1, {8 * AUDIT_OTHERS})").alias("ids"), F.expr(f"substring(x, 1, cast({AUDIT_OTHERS} * (8 * length(x) div length(ids)) as int))").alias("x"))
+    jobs = base.unionByName(some).unionByName(asked.select("shard", F.lit(2).alias("kind"), "ids", "x"))
     spread = jobs.repartition("shard").sortWithinPartitions("shard", "kind")
     found = materialize(map_batches(spread, lambda b: _search(b, threshold), "a long, links long, b long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("n"))

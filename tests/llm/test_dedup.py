@@ -217,6 +217,24 @@ def test_a_beam_that_misses_is_widened(monkeypatch):
     assert blind.scan and len(blind.find(x[0], np.linalg.norm(x[0]))) == 300
 
 
+def test_audit_takes_the_worst_vector_and_copies_are_one_node(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    apart = r.normal(size=(6, 16))
+    x = np.concatenate([np.repeat(r.normal(size=(1, 16)), 600, 0), apart, apart + 0.01 * r.normal(size=(6, 16))]).astype(np.float32).astype(float)
+    whole = Graph.search
+    monkeypatch.setattr(Graph, "search", lambda self, q, k, ef: [c for c in whole(self, q, k, ef) if c[0] < 1e-7])  # near copies are lost
+    shard = embedding_dedup.Shard(np.arange(612), x, 0.93)
+    assert shard.scan and len(shard.ids) == 13 and shard.count.tolist() == [600] + [1] * 12
+    assert len(shard.find(x[600], np.linalg.norm(x[600]))) == 2
+    alone = embedding_dedup.Shard(np.arange(601), x[:601], 0.93)
+    assert not alone.scan and embedding_dedup.Shard(np.arange(601), x[:601], 0.93, x[606:607]).scan
+    monkeypatch.setattr(Graph, "search", whole)
+    rows = [(k, v.astype(np.float32).tolist(), 0) for k, v in enumerate(x)]
+    got = {g["vec_id"]: g for g in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard_rows=256).collect()}
+    assert all(got[k]["n_links"] == 599 and got[k]["component_id"] == 0 for k in range(600))
+    assert all(got[k]["n_links"] == 1 and got[k]["component_id"] == 600 + (k - 600) % 6 for k in range(600, 612))
+
+
 BENCH = [(0, prose(70, 40)), (1, prose(71, 20)), (2, "only four words here"), (3, ""), (4, None), (5, prose(72, 50)), (5, prose(73, 30))]
 
 

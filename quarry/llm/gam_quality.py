@@ -231,7 +231,10 @@ def score_quality(docs: DataFrame, model: AdditiveModel, columns: list[str], tex
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't reject."""
+    """The rows of docs, with all their columns, that the model doesn't reject.  A model without tables has learned nothing
+    and rejects nothing."""
+    if not model.tables:
+        return docs
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,12 @@ def test_quality(spark):
     assert kept.where("doc_id < 400 and doc_id % 7 = 0").count() == 0
 
 
+def test_a_model_without_labels_rejects_nothing(spark):
+    docs, labels = labelled(spark, 20)
+    for none in (labels.where("doc_id < 0"), labels.where("quality = 1")):
+        assert keep_good(docs, fit_quality(docs, none)).count() == docs.count()
+
+
 def test_features_of_odd_texts():
     import pyarrow as pa
 

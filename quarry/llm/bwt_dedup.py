@@ -11,6 +11,9 @@ merge prepends one column: a stable partition of the interleave by the prepended
 merging transforms without sorting suffixes anew.  With the order goes, for each neighbour, the first column in which the
 two differ; a step takes minima over the rows between.  Where neighbours agree for span columns, their windows are a
 repeated interval.  Every column of every entry is read once.
+
+The symbols are the bytes of a text, or its words: with ``words``, a passage of ``span`` words goes if the same words, A-Z
+in lower case and whatever stands between them, also start anywhere else.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BASE, BASE_INV, discard, map_batches, materialize, mix64, powers, table, utf8
+from quarry.llm.common import BASE, BASE_INV, discard, map_batches, materialize, mix64, powers, table, utf8, words_of
 from quarry.llm.jaccard_join import by_group
 
 SPAN, GRAM = 400, 40
+#: The same in words: passages of over 50 words.
+WORD_SPAN, WORD_GRAM = 51, 5
 #: Bytes parsed at once, contexts merged at once (an anchor's are never parted), anchors of one bucket.
 PARSE_BYTES, MERGE_ROWS, BUCKET = 1 << 19, 8_192, 250_000
 #: Entries of one anchor that one task merges; of more, their windows are dealt out by fingerprint instead.
@@ -35,6 +40,17 @@ _PLACE = 30
 _LOW = np.uint64((1 << _PLACE) - 1)
 
 
+def symbols(texts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a batch of texts, the number of the first of each text (n + 1 entries), and the bytes of its text at which
+    each symbol starts and ends (for bytes, nothing: a byte stands at its own number)."""
+    raw, offsets = utf8(texts)
+    if not words:
+        return raw, offsets, offsets[:0], offsets[:0]
+    starts, ends, hashes, first = words_of(raw, offsets)
+    base = np.repeat(offsets[:-1], np.diff(first))
+    return hashes, first, starts - base, ends - base
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive entries."""
     n = len(x)
@@ -47,8 +63,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For every anchor of a batch of texts: text number, fingerprint of its k-gram, fingerprint of its context, its place,
-    and the first and last start of its windows (places within the text)."""
+    """For every anchor of a batch of texts, given as symbols: text number, fingerprint of its k-gram, fingerprint of its
+    context, its place, and the first and last start of its windows (places within the text)."""
     none = tuple(np.zeros(0, d) for d in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     n = len(raw)
     if n < span:
@@ -75,18 +91,20 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return text, grams[a], context, a - base, lo - base, hi - base
 
 
-def repeated_windows(group: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], span: int = SPAN) -> np.ndarray:
+def repeated_windows(group: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], span: int = SPAN, kind: type = np.uint8) -> np.ndarray:
     """Boolean rows x (span + 1): whether the window that starts c - span after the row's anchor also stands in another row
-    of the same group.  Rows come sorted by group; contexts hold the bytes from lo to hi + span."""
+    of the same group.  Rows come sorted by group; contexts hold the symbols (of type kind) from lo to hi + span."""
     m = len(group)
     first, last = lo - place + span, hi - place + span  # columns of window starts; the anchor is at column span
     right = last + span
     width = int(right.max())
-    byte = np.zeros((width, m), np.int16)  # column-major: a step reads one row of it
-    sizes = np.array([len(c) for c in contexts])
+    _, flat = np.unique(np.frombuffer(b"".join(contexts), kind), return_inverse=True)
+    end = int(flat.max()) + 1  # what a row reads before and after its context
+    byte = np.zeros((width, m), np.int32)  # column-major: a step reads one row of it
+    sizes = np.array([len(c) for c in contexts]) // np.dtype(kind).itemsize
     row = np.repeat(np.arange(m), sizes)
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    byte[first[row] + inner, row] = np.frombuffer(b"".join(contexts), np.uint8)
+    byte[first[row] + inner, row] = flat
     _, rank = np.unique(group, return_inverse=True)
     order = np.arange(m)
     differ = np.full(m + 1, width, np.int64)  # first column in which a row and the one before it differ
@@ -96,12 +114,12 @@ def repeated_windows(group: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: n
     out = np.zeros((m, span + 1), bool)
     for c in range(width - 1, int(first.min()) - 1, -1):
         inside = (c >= first[order]) & (c < right[order])
-        symbol = np.where(inside, byte[c, order], 256)
-        key = rank[order] * 257 + symbol
+        symbol = np.where(inside, byte[c, order], end)
+        key = rank[order] * (end + 1) + symbol
         step = np.argsort(key, kind="stable")
         k = key[step]
         same = np.zeros(m, bool)
-        same[1:] = (k[1:] == k[:-1]) & (symbol[step[1:]] < 256)
+        same[1:] = (k[1:] == k[:-1]) & (symbol[step[1:]] < end)
         new = np.full(m + 1, c, np.int64)
         t = np.flatnonzero(same)
         if len(t):
@@ -122,7 +140,12 @@ def repeated_windows(group: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: n
     return out
 
 
-def _parse(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
+def _least(span: int, words: bool) -> int:
+    """Bytes that span symbols have at least."""
+    return 2 * span - 1 if words else span
+
+
+def _parse(docs: DataFrame, span: int, gram: int, buckets: int, words: bool) -> DataFrame:
     """Anchors of each distinct text, packed into one row for each bucket and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +155,7 @@ def _parse(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
             sizes = np.array(batch.column(2).to_pylist(), np.int64)
             chosen = []
             for k, (key, size) in enumerate(zip(keys, sizes)):
-                if size >= span and key not in seen:
+                if size >= _least(span, words) and key not in seen:
                     seen.add(key)
                     chosen.append(k)
             if len(seen) > 500_000:
@@ -147,8 +170,8 @@ def _parse(docs: DataFrame, span: int, gram: int, buckets: int) -> DataFrame:
             if held:
                 parts.append(held)
             for some in parts:
-                raw, offsets = utf8(batch.column(1).take(pa.array(some)))
-                text, g, ctx, a, lo, hi = anchors(raw, offsets, span, gram)
+                read, offsets, _, _ = symbols(batch.column(1).take(pa.array(some)), words)
+                text, g, ctx, a, lo, hi = anchors(read, offsets, span, gram)
                 owner = np.array([keys[k] for k in some], np.int64)[text]
                 b = (mix64(g) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
@@ -207,14 +230,15 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 50) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """The wanted entries with their bytes."""
+def _contexts(texts: DataFrame, wanted: DataFrame, span: int, words: bool) -> DataFrame:
+    """The wanted entries with their symbols, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             out: list[dict] = []  # wide goes along
-            for key, text, entries in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "wide": e["wide"], "ctx": text[e["lo"] : e["hi"] + span]} for e in entries]
+            read, first, _, _ = symbols(batch.column(1), words)
+            for key, base, entries in zip(batch.column(0).to_pylist(), first.tolist(), batch.column(2).to_pylist()):
+                out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "wide": e["wide"], "ctx": read[base + e["lo"] : base + e["hi"] + span].tobytes()} for e in entries]
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_pylist(out, _CONTEXT)
                     out = []
@@ -228,9 +252,11 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 _CONTEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("single", pa.bool_()), ("wide", pa.bool_()), ("ctx", pa.binary())])
 
 
-def _merge(contexts: DataFrame, span: int) -> DataFrame:
+def _merge(contexts: DataFrame, span: int, words: bool) -> DataFrame:
     """(key, lo, hi): runs of window starts that the merge finds repeated, for entries that occur once."""
 
+    kind = np.uint64 if words else np.uint8
+
     def merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(rows).combine_chunks()
         g, key, a, lo, hi = (whole.column(k).to_numpy() for k in range(5))
@@ -240,7 +266,7 @@ def _merge(contexts: DataFrame, span: int) -> DataFrame:
         keep[:] = False
         keep[firsts] = True
         i = np.flatnonzero(keep)
-        found = repeated_windows(g[i], a[i], lo[i], hi[i], [contexts[k] for k in i], span)
+        found = repeated_windows(g[i], a[i], lo[i], hi[i], [contexts[k] for k in i], span, kind)
         found &= whole.column(5).to_numpy()[i][:, None]
         edge = np.zeros((len(i), span + 3), np.int8)
         edge[:, 1:-1] = found
@@ -264,21 +290,23 @@ def _merge(contexts: DataFrame, span: int) -> DataFrame:
     return map_batches(contexts.repartition("g").sortWithinPartitions("g"), run, "key long, lo long, hi long")
 
 
-def _deal(contexts: DataFrame, span: int, buckets: int) -> DataFrame:
+def _deal(contexts: DataFrame, span: int, buckets: int, words: bool) -> DataFrame:
     """As _merge, for anchors with very many entries: each window goes to the bucket of its fingerprint, so that no task
     holds an anchor; a fingerprint that two places share is a repeat."""
 
+    kind = np.uint64 if words else np.uint8
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ctx = part.column(7).to_pylist()
                 lo, key, single = part.column(3).to_numpy(), part.column(1).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
-                raw = np.frombuffer(b"".join(ctx), np.uint8)
+                raw = np.frombuffer(b"".join(ctx), kind)
                 pw, inverse = powers(BASE, len(raw)), powers(BASE_INV, len(raw))
                 sums = np.zeros(len(raw) + 1, np.uint64)
                 np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pw[: len(raw)], out=sums[1:])
-                sizes = np.array([len(c) for c in ctx])
+                sizes = np.array([len(c) for c in ctx]) // raw.itemsize
                 begin = np.cumsum(sizes) - sizes
                 count = sizes - span + 1
                 row = np.repeat(np.arange(len(ctx)), count)
@@ -309,76 +337,97 @@ def _deal(contexts: DataFrame, span: int, buckets: int) -> DataFrame:
     return map_batches(dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), count, "key long, lo long, hi long")
 
 
-def _cut(rows: DataFrame, span: int) -> DataFrame:
-    """Remaining text, removed bytes and spans of texts (key, t, runs).  A cut may split a character: its bytes that stay
-    show as the replacement character in rest, while sha is of the bytes."""
+def _cut(rows: DataFrame, span: int, words: bool) -> DataFrame:
+    """Remaining text, removed bytes and spans (in bytes) of texts (key, t, runs).  A cut may split a character: its bytes
+    that stay show as the replacement character in rest, while sha is of the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             out = []
-            for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            _, first, starts, ends = symbols(batch.column(1), words)
+            for key, text, runs, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), first.tolist()):
                 spans: list[list[int]] = []
                 for lo, hi in sorted((r["lo"], r["hi"] + span) for r in runs):
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], hi)
                     else:
                         spans.append([lo, hi])
+                gone = sum(hi - lo for lo, hi in spans)
+                if words:
+                    spans = [[int(starts[at + lo]), int(ends[at + hi - 1])] for lo, hi in spans]
                 kept, at = [], 0
                 for lo, hi in spans:
                     kept.append(text[at:lo])
                     at = hi
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append({"key": key, "removed": len(text) - len(rest), "spans": [{"start": a, "end": b} for a, b in spans], "rest": rest.decode("utf-8", "replace"), "sha": hashlib.sha256(rest).hexdigest()})
+                out.append({"key": key, "removed": len(text) - len(rest), "symbols": gone, "spans": [{"start": a, "end": b} for a, b in spans], "rest": rest.decode("utf-8", "replace"), "sha": hashlib.sha256(rest).hexdigest()})
             if out:
                 yield pa.RecordBatch.from_pylist(out, _CUT)
 
-    return map_batches(rows, run, "key long, removed long, spans array<struct<start: long, end: long>>, rest string, sha string")
+    return map_batches(rows, run, "key long, removed long, symbols long, spans array<struct<start: long, end: long>>, rest string, sha string")
 
 
-_CUT = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rest", pa.string()), ("sha", pa.string())])
+_CUT = pa.schema([("key", pa.int64()), ("removed", pa.int64()), ("symbols", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("rest", pa.string()), ("sha", pa.string())])
 
 
-def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _n_words(text):
+    """Words of a text, as the operator counts them."""
+    return F.size(F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")).cast("long")
+
+
+def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", words: bool = False) -> tuple[DataFrame, DataFrame]:
     """What repeats, by text: (copies, cut).
 
-    copies: key (xxhash64 of a text), copies (rows with it).  A text of at least span bytes with several copies repeats as
-    a whole and has no row in cut.  cut: key, removed, spans, rest (text), sha (of the bytes) for texts that lose some bytes.
+    copies: key (xxhash64 of a text), copies (rows with it), size (bytes).  A text of at least span symbols with several
+    copies repeats as a whole and has no row in cut.  cut: key, removed (bytes), symbols (removed symbols), spans (bytes),
+    rest (text), sha (of the bytes) for texts that lose some bytes.
     """
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select(F.xxhash64("t").alias("key"), "t", F.octet_length("t").cast("long").alias("size"))
+    rows = docs.select(_text(text_col).alias("t")).select(F.xxhash64("t").alias("key"), "t", F.octet_length("t").cast("long").alias("size"))
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")))
-    total = copies.agg(F.sum("size").alias("s")).first()["s"] or 0
+    total = (copies.agg(F.sum("size").alias("s")).first()["s"] or 0) // (4 if words else 1)
     buckets = max(1, -(-2 * total // ((span - gram) * BUCKET)))
-    entries = materialize(_dictionary(_parse(rows, span, gram, buckets), span, buckets, GROUP_ROWS))
-    texts = rows.where(F.col("size") >= span)
-    merged = materialize(_merge(_contexts(texts, entries.where("not done and not wide"), span), span))
+    entries = materialize(_dictionary(_parse(rows, span, gram, buckets, words), span, buckets, GROUP_ROWS))
+    texts = rows.where(F.col("size") >= _least(span, words))
+    merged = materialize(_merge(_contexts(texts, entries.where("not done and not wide"), span, words), span, words))
+    used = [entries, merged]
     runs = entries.where("done").select("key", "lo", "hi").unionByName(merged)
     wide = entries.where("not done and wide")
     if not wide.isEmpty():
-        merged_wide = materialize(_deal(_contexts(texts, wide, span), span, buckets))
-        runs = runs.unionByName(merged_wide)
+        used.append(materialize(_deal(_contexts(texts, wide, span, words), span, buckets, words)))
+        runs = runs.unionByName(used[-1])
     partial = runs.join(copies.where("copies > 1").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    cut = materialize(_cut(texts.join(partial, "key").select("key", "t", "runs"), span))
-    discard(entries, merged)
+    cut = materialize(_cut(texts.join(partial, "key").select("key", "t", "runs"), span, words))
+    discard(*used)
     return copies, cut
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text") -> DataFrame:
+def _whole(copies: DataFrame, span: int, words: bool) -> DataFrame:
+    return copies.where((F.col("copies") > 1) & (F.col("size") >= _least(span, words))).select("key", F.lit(True).alias("all"))
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str = "text", words: bool = False) -> DataFrame:
     """All columns of docs, with text_col without what repeats, and __n_bytes, __n_removed, __spans, __sha.
 
     Null texts count as empty and stay null.  The remaining bytes are cut at byte level: where a cut splits a character,
-    the text shows the replacement character, while __sha is of the bytes.  A text shorter than span loses nothing.
-    Repeated rows are copies of one another.  An empty table gives no row.
+    the text shows the replacement character, while __sha is of the bytes.  With ``words``, span and gram count words, and a
+    cut goes from the start of its first word to the end of its last.  A text shorter than span loses nothing.  Repeated
+    rows are copies of one another and, from span on, lose the whole text.  An empty table gives no row.
     """
-    copies, cut = repeats(docs, span, gram, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    copies, cut = repeats(docs, span, gram, text_col, words)
+    text = _text(text_col)
     rows = docs.withColumn("__key", F.xxhash64(text)).withColumn("__n_bytes", F.octet_length(text).cast("long"))
-    whole = copies.where(f"copies > 1 and size >= {span}").select(F.col("key").alias("__key"), F.lit(True).alias("__whole"))
     part = cut.select(F.col("key").alias("__key"), "removed", "spans", "rest", "sha")
-    out = rows.join(whole, "__key", "left").join(part, "__key", "left")
+    out = rows.join(_whole(copies, span, words).withColumnsRenamed({"key": "__key", "all": "__whole"}), "__key", "left").join(part, "__key", "left")
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     full = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("__n_bytes").alias("end")))
     everything = F.col("__whole").isNotNull()
+    if words:
+        everything = F.when(everything, _n_words(text) >= span).otherwise(False)
     named = {
         text_col: F.when(everything, F.lit("")).when(F.col("sha").isNotNull(), F.col("rest")).otherwise(F.col(text_col)),
         "__n_removed": F.when(everything, F.col("__n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long"),
@@ -390,18 +439,22 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col
 
 
 def op3_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, by strings of 400 bytes, and passage_words: how many words of the document lie in passages of
+    over 50 words that also start elsewhere, many of which have fewer than 400 bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     copies, cut = repeats(docs)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
-    whole = copies.where(f"copies > 1 and size >= {SPAN}").select("key", F.lit(True).alias("all"))
-    out = rows.join(whole, "key", "left").join(cut.select("key", "removed", F.size("spans").alias("n"), "sha"), "key", "left")
-    every = F.col("all").isNotNull()
+    _, passages = repeats(docs, WORD_SPAN, WORD_GRAM, words=True)
+    text = _text("text")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"), _n_words(text).alias("n_words"))
+    rows = rows.join(copies.where("copies > 1").select("key", F.lit(True).alias("all")), "key", "left")
+    out = rows.join(cut.select("key", "removed", F.size("spans").alias("n"), "sha"), "key", "left").join(passages.select("key", "symbols"), "key", "left")
+    every = F.col("all").isNotNull() & (F.col("n_bytes") >= SPAN)
     return out.select(
         "doc_id", "n_bytes",
         F.when(every, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(every, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
         F.when(every, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
+        F.when(F.col("all").isNotNull() & (F.col("n_words") >= WORD_SPAN), F.col("n_words")).otherwise(F.coalesce("symbols", F.lit(0))).cast("long").alias("passage_words"),
     )
 
 

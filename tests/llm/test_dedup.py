@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,6 +144,56 @@ def test_repeats_against_all_windows(spark, monkeypatch, span, gram, limit):
     assert [r["text"] for r in got if r["doc_id"] == 900] == [None]
 
 
+def words_by_hand(texts, span):
+    """Removed bytes and spans of each text, by all windows of span words."""
+    found = [[(m.start(), m.end(), m.group().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in texts]
+    count = Counter(tuple(x[2] for x in f[k : k + span]) for f in found for k in range(len(f) - span + 1))
+    out = []
+    for b, f in zip(texts, found):
+        gone = np.zeros(len(b) + 1, bool)
+        marked = {j for k in range(len(f) - span + 1) if count[tuple(x[2] for x in f[k : k + span])] > 1 for j in range(k, k + span)}
+        for j in marked:
+            gone[f[j][0] : f[j + 1][0] if j + 1 in marked else f[j][1]] = True
+        if len(marked) == len(f) and texts.count(b) > 1 and f and len(f) >= span:
+            gone[: len(b)] = True
+        out.append((int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), len(marked)))
+    return out
+
+
+def planted(seed=0):
+    """Passages of 50 to 80 words, told apart only by case and white space, in documents of their own words."""
+    rows = []
+    for k in range(24):
+        n = 50 + k // 2 * 3 % 31
+        p = prose(6000 + k // 2, n)
+        p = p.replace(" ", "\n").upper() if k % 2 and k % 3 == 0 else p
+        rows.append((2000 + k, prose(7000 + k, 40) + " " + p + " " + prose(8000 + k, 60)))
+    return [*rows, (2100, prose(6000, 50)), (2101, prose(6000, 51)), (2102, " " + prose(6100, 51) + " "), (2103, " " + prose(6100, 51) + " ")]
+
+
+@pytest.mark.parametrize("span, gram, limit", [(51, 5, 65_536), (51, 5, 2), (12, 3, 65_536), (6, 5, 1)])
+def test_repeated_words_against_all_windows(spark, monkeypatch, span, gram, limit):
+    monkeypatch.setattr(bwt_dedup, "GROUP_ROWS", limit)
+    docs = awkward(spark, planted()).repartition(3)
+    rows = docs.collect()
+    want = words_by_hand([(r["text"] or "").encode() for r in rows], span)
+    got = bwt_dedup.remove_repeats(docs, span, gram, words=True).collect()
+    expected = sorted((r["doc_id"], g, s) for r, (g, s, _) in zip(rows, want))
+    assert sorted((r["doc_id"], r["__n_removed"], len(r["__spans"])) for r in got) == expected
+    if span == 51:
+        cut = {r["doc_id"] for r in got if r["__n_removed"]}
+        assert {2000 + k for k in range(24) if 50 + k // 2 * 3 % 31 > 50} <= cut and 2100 not in cut and {2102, 2103} <= cut
+
+
+def test_query_counts_words_of_passages(spark, tmp_path):
+    docs = awkward(spark, planted())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.collect()
+    texts = [(r["text"] or "").encode() for r in rows]
+    want = sorted((r["doc_id"], n, g, s, hashlib.sha256(k).hexdigest(), w) for r, (n, g, s, k), (_, _, w) in zip(rows, cut_by_hand(texts, 400), words_by_hand(texts, 51)))
+    assert sorted(map(tuple, bwt_dedup.op3_bwt_dedup(spark, str(tmp_path)).collect())) == want
+
+
 def test_repeats_of_an_empty_table(spark):
     out = bwt_dedup.remove_repeats(empty(spark))
     assert out.count() == 0 and out.columns[:4] == ["doc_id", "text", "lang", "source"]

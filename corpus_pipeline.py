@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.bwt_dedup import remove_repeats
+from quarry.llm.bwt_dedup import WORD_GRAM, WORD_SPAN, remove_repeats
 from quarry.llm.common import materialize, table
 from quarry.llm.gam_quality import fit_quality, keep_good
 from quarry.llm.jaccard_join import keep_one
@@ -34,8 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that stand elsewhere too go; the documents stay, and n_chars follows the text."""
-    out = remove_repeats(docs)
+    """Passages of over 50 words (A-Z in lower case, whatever stands between them) that stand elsewhere too go; the documents
+    stay, and n_chars follows the text.  By words, since such a passage often has fewer than 400 bytes.  Null and short
+    texts stay as they are; repeated rows count as copies of one another."""
+    out = remove_repeats(docs, WORD_SPAN, WORD_GRAM, words=True)
     if "n_chars" in docs.columns:
         same = F.col("__n_removed") == 0
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -1,12 +1,17 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-A text is a bag of units: its lower-cased words, stripped of outer marks, and the joins of neighbouring fragments of at
-most two characters, alone and with what stands beside them ("m oron", "i d i o t"), and
-the joins of two neighbouring words of at most WIDTH letters in all ("stu pid").  Units longer than WIDTH are cut into
-overlapping windows.  The kernel counts common subsequences of ORDER letters, each weighted by DECAY to the power of what
-it spans in both strings, so that inserted or dropped characters cost a factor and not the match.  Kernel values against
-the landmarks, whitened, are the features of a unit; the machine is trained on witnesses (the most telling unit of each
-labelled text, found anew after a first fit, as labels stand on texts); a text scores its highest unit, calibrated.
+A text is a bag of units: its lower-cased words, stripped of outer marks, and also without inner ones; the joins of
+neighbouring fragments of at most two characters, alone and with what stands beside them ("m oron", "i d i o t"); and the
+joins of two neighbouring words, without marks, of at most WIDTH letters in all ("stu pid").  Units longer than WIDTH are
+cut into overlapping windows.  The kernel counts common subsequences of ORDER letters, each weighted by DECAY to the power
+of what it spans in both strings, so that inserted or dropped characters cost a factor and not the match.  Kernel values
+against the landmarks, whitened, are the features of a unit; the machine is trained on witnesses (the most telling unit of
+each labelled text, found anew after a first fit, as labels stand on texts); a text scores its highest unit, or FLOOR where
+none is above it, calibrated.
+
+So units that can't be above FLOOR needn't be valued.  Sums over the threes of a unit bound its value (see Bound); for a join
+of two words they fall into the sums of each and products of a vector of the one with a vector of the other.  Whatever the
+bound leaves is valued by the kernel; no unit is lost.
 """
 
 from __future__ import annotations
@@ -33,45 +38,42 @@ ORDER, DECAY, WIDTH = 3, 0.6, 16
 MIN_PAIRS, GAP = 0.75, 2
 #: Weight of a made-up variant against a labelled text when values become probabilities.
 VARIANT_WEIGHT = 0.1
-#: Units whose value a worker keeps.  A cache only.
-CACHE = 1_200_000
+#: Units whose value a worker keeps (a cache only), and characters of text worked on at once.
+CACHE, CHUNK = 600_000, 4_000_000
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
-_known: dict[str, "Known"] = {}
+_known: dict[str, dict[str, float]] = {}
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 _BACKGROUND = -1e9
-#: Values below this count as it in the calibration.
-FLOOR = -2.0
+#: Values below this count as it; the machine's margin, below which the fit looks for no hard units.
+FLOOR, MARGIN = -0.5, -1.0
 
 
-def raw_units(text: str, pairs: bool = True) -> set[str]:
-    """The distinct words of a whole text, the joins of its fragments, and those of two neighbouring words up to WIDTH."""
-    words = text.lower().replace(", ", " ").replace(". ", " ").split()  # outer marks go anyway
-    out = set(words)
-    if pairs:
-        out.update([a + b for a, b in zip(words, words[1:]) if len(a) + len(b) <= WIDTH])
+def split(text: str) -> list[str]:
+    return text.lower().replace(", ", " ").replace(". ", " ").split()  # outer marks go anyway
+
+
+def fragment_joins(words: list[str]) -> set[str]:
+    """The joins of fragments of a whole text, but for those of two words within WIDTH, which all pairs have."""
+    out: set[str] = set()
     end = -1
     for k in [k for k, w in enumerate(words) if len(w) <= 2]:
         if k > end:  # a run of fragments begins
             end = k
             while end + 1 < len(words) and len(words[end + 1]) <= 2:
                 end += 1
-            if k:
-                out.update(words[k - 1] + join for join in _joins(words[k : min(end + 1, k + WIDTH)]))
-        joins = _joins(words[k : min(end + 1, k + WIDTH)])
-        out.update(joins[1:])
-        if end + 1 < len(words) and end < k + WIDTH:
-            out.add(joins[-1] + words[end + 1])
+            if k and (end > k or len(words[k - 1]) + 2 > WIDTH):
+                out.update([words[k - 1] + join for join in itertools.accumulate(words[k : min(end + 1, k + WIDTH)])])
+        if end > k or end + 1 < len(words) and len(words[end + 1]) + 2 > WIDTH:
+            joins = list(itertools.accumulate(words[k : min(end + 1, k + WIDTH)]))  # the first fragment with those that follow
+            out.update(joins[1:])
+            if end + 1 < len(words) and end < k + WIDTH:
+                out.add(joins[-1] + words[end + 1])
     return out
 
 
-def _joins(fragments: list[str]) -> list[str]:
-    """The joins of the first fragment with none, one, two ... of those that follow."""
-    return list(itertools.accumulate(fragments))
-
-
 def cleaned(raw: str) -> tuple[str, ...]:
     """The units of a word: without outer marks, and also without marks put between its letters."""
     if raw.isalpha():
@@ -81,17 +83,18 @@ def cleaned(raw: str) -> tuple[str, ...]:
     return tuple(u for u in ((outer, inner) if inner != outer else (outer,)) if len(u) >= ORDER)
 
 
-def units(text: str, pairs: bool = True) -> set[str]:
-    """The distinct units of a whole text."""
-    return {u for raw in raw_units(text, pairs) for u in cleaned(raw)}
-
+def letters(raw: str) -> str:
+    return raw if raw.isalpha() else _INNER.sub("", raw)
 
-class Known:
-    """What a worker has found of words so far: the value of each, and its unit where that isn't the word itself."""
 
-    def __init__(self) -> None:
-        self.value: dict[str, float] = {}
-        self.unit: dict[str, str] = {}
+def units(text: str, pairs: bool = True) -> set[str]:
+    """The distinct units of a whole text."""
+    words = split(text)
+    out = {u for raw in fragment_joins(words).union(words) for u in cleaned(raw)}
+    if pairs:
+        plain = [x for x in map(letters, words) if x]
+        out.update([a + b for a, b in zip(plain, plain[1:]) if ORDER <= len(a) + len(b) <= WIDTH])
+    return out
 
 
 def gapped(unit: str) -> list[str]:
@@ -107,10 +110,8 @@ def windows(unit: str) -> list[str]:
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(strings), width), np.int32)
-    for n in range(1, width + 1):
-        rows = [k for k, s in enumerate(strings) if len(s) == n]
-        if rows:
-            out[rows, :n] = np.frombuffer("".join([strings[k] for k in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), n)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    out[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
     return out
 
 
@@ -268,6 +269,74 @@ def holds_pairs(strings: list[str], marks: list[str]) -> np.ndarray:
     return near
 
 
+class Bound:
+    """Upper bounds of a machine's values, for many units at once.
+
+    A unit's value is bias + (sum of w k + sum of w k**4) / 2.  Three sums over its threes bound it: that of w k over all
+    landmarks, that over those with w > 0, and one that no single k exceeds (the largest weight of each three among the
+    landmarks).  They are divided by the norm of a unit of that length without repeated subsequences, the least there is."""
+
+    def __init__(self, model: "KernelModel"):
+        found = sorted(set("".join(model.landmarks)))
+        self.size = s = len(found) + 1
+        self.code = np.zeros(0x110000, np.int16)
+        self.code[[ord(c) for c in found]] = np.arange(1, s)
+        three = np.zeros((3, s, s, s))  # all weights, those above zero, the largest of one landmark
+        for t, w, norm in zip(model.landmarks, model.weights, model.norms):
+            own = np.zeros((s, s, s))
+            c = self.code[[ord(x) for x in t]]
+            for p in itertools.combinations(range(len(t)), ORDER):
+                own[tuple(c[list(p)])] += DECAY ** (p[-1] - p[0] + 1) / np.sqrt(norm)
+            three[0] += w * own
+            three[1] += max(w, 0) * own
+            three[2] = np.maximum(three[2], own)
+        self.last = np.ascontiguousarray(three.transpose(1, 2, 0, 3).reshape(s * s, 3 * s), np.float32)  # rows: the first two letters
+        self.first = np.ascontiguousarray(three.transpose(2, 3, 0, 1).reshape(s * s, 3 * s), np.float32)  # rows: the last two
+        self.bias = model.bias
+        # squared norm of n letters whose subsequences differ: each counts with the square of its weight
+        spans = [sum((n - d) * (d - 1) * DECAY ** (2 * d + 2) for d in range(2, n)) for n in range(WIDTH + 1)]
+        self.norm = np.sqrt(np.maximum(spans, 1e-12)).astype(np.float32)
+
+    def parts(self, strings: list[str], sides: bool) -> tuple[np.ndarray, ...]:
+        """For strings of at most WIDTH letters: the three sums of each; and, with sides, what each brings into joins: its
+        letters and its pairs on the left, its pairs and its letters on the right."""
+        sizes = np.array([len(x) for x in strings], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        sizes, n, s = sizes[order], len(strings), self.size
+        width = int(sizes[0]) if n else 0
+        codes = np.zeros((n, width), np.int64)
+        codes[np.arange(width)[None, :] < sizes[:, None]] = self.code[np.frombuffer("".join([strings[k] for k in order]).encode("utf-32-le"), np.uint32)]
+        total = np.zeros((n, 3), np.float32)
+        two = np.zeros((n, 3 * s), np.float32)  # by the third letter, for the pairs before it; divided by DECAY to its place
+        back = np.zeros((n if sides else 0, 3 * s), np.float32)  # by the letter before, for the pairs of this string
+        one, ahead = np.zeros((2, n if sides else 0, s), np.float32)
+        rows = np.arange(n)
+        for m in range(width):
+            k = int(np.searchsorted(-sizes, -m, side="left"))  # those with more than m letters
+            at = codes[:k, m]
+            for layer in range(3):
+                total[:k, layer] += two[rows[:k], layer * s + at] * np.float32(DECAY ** (m + 1))
+            for i in range(m):
+                pair = codes[:k, i] * s + at
+                two[:k] += self.last[pair] * np.float32(DECAY**-i)
+                if sides:
+                    back[:k] += self.first[pair] * np.float32(DECAY ** (m + 1))
+            if sides:
+                one[rows[:k], at] += np.float32(DECAY**-m)
+                ahead[rows[:k], at] += np.float32(DECAY ** (m + 1))
+        home = np.empty(n, np.int64)
+        home[order] = rows
+        if not sides:
+            return (total[home],)
+        fall = (DECAY ** sizes.astype(float)).astype(np.float32)[:, None]
+        return total[home], (one * fall)[home], (two * fall)[home].reshape(n, 3, s), back[home].reshape(n, 3, s), ahead[home]
+
+    def may_pass(self, total: np.ndarray, sizes: np.ndarray, floor: float) -> np.ndarray:
+        """Whether units with these sums may have a value above floor (with room for rounding)."""
+        every, plus, most = (total / self.norm[sizes][:, None]).T
+        return np.maximum(every, 0) + np.minimum(most * 1.001, 1) ** 3 * plus > 2 * (floor - self.bias) * 0.999 - 1e-3
+
+
 @dataclass
 class KernelModel:
     landmarks: list[str]
@@ -280,33 +349,87 @@ class KernelModel:
 
     def values(self, strings: list[str]) -> np.ndarray:
         """The machine's value of each unit, that of its highest window."""
-        out = np.full(len(strings), _BACKGROUND, np.float64)
-        pieces = sorted((w, k) for k, u in enumerate(strings) for w in windows(u))  # neighbours share prefixes
+        return self._highest(strings, None, _BACKGROUND)
+
+    def _highest(self, strings: list[str], bound: Bound | None, floor: float) -> np.ndarray:
+        """Values of units; with a bound, only of those that may be above floor, and floor for the others."""
+        out = np.full(len(strings), floor, np.float64)
+        pieces = [(w, k) for k, u in enumerate(strings) for w in windows(u)]
+        if bound and pieces:
+            texts = [w for w, _ in pieces]
+            ok = bound.may_pass(bound.parts(texts, False)[0], np.array([len(w) for w in texts]), floor)
+            pieces = [pieces[k] for k in np.flatnonzero(ok)]
+        pieces.sort()  # neighbours share prefixes
         for at in range(0, len(pieces), 65536):
             some = pieces[at : at + 65536]
             got = normalised([w for w, _ in some], self.landmarks, self.norms) @ self.weights + self.bias
             np.maximum.at(out, [k for _, k in some], got)
         return out
 
-    def best(self, texts: list[str], known: Known) -> list[tuple[float, str]]:
-        """Value and unit of the highest unit of each text (ties: the smaller unit); texts without a unit have the lowest
-        value and no unit."""
-        bags = [raw_units(t) for t in texts]
-        new = list(set().union(*bags).difference(known.value))
-        known.value.update(dict.fromkeys(new, _BACKGROUND))
-        of = [(raw, u) for raw in new for u in cleaned(raw)]
-        for (raw, u), v in zip(of, self.values([u for _, u in of]).tolist()):
-            if (-v, u) < (-known.value[raw], known.unit.get(raw, raw)):
-                known.value[raw] = v
-                known.unit.pop(raw, None)
-                if u != raw:
-                    known.unit[raw] = u
-        out = []
-        for bag in bags:
-            top = max(map(known.value.__getitem__, bag), default=_BACKGROUND)
-            out.append((top, min(known.unit.get(raw, raw) for raw in bag if known.value[raw] == top) if top > _BACKGROUND else ""))
-        if len(known.value) > CACHE:
-            known.__init__()
+    def _valued(self, strings: list[str], bound: Bound, floor: float, known: dict[str, float]) -> np.ndarray:
+        new = list(dict.fromkeys(u for u in strings if u not in known))
+        known.update(zip(new, self._highest(new, bound, floor).tolist()))
+        return np.array([known[u] for u in strings], np.float64)
+
+    def best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float = FLOOR) -> list[tuple[float, str]]:
+        """Value and unit of the highest unit of each text (ties: the smaller unit), or floor and no unit where none is above
+        it.  ``known`` keeps values of units between calls."""
+        out: list[tuple[float, str]] = []
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > CHUNK:
+                out += self._best(held, known, bound, floor)
+                held, size = [], 0
+        return out + self._best(held, known, bound, floor) if held else out
+
+    def _best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float) -> list[tuple[float, str]]:
+        bags = [split(t) for t in texts]
+        found: list[tuple[int, float, str]] = []  # text, value, unit above floor
+
+        def take(owners: np.ndarray, strings: list[str]) -> None:
+            value = self._valued(strings, bound, floor, known)
+            found.extend((int(owners[k]), float(value[k]), strings[k]) for k in np.flatnonzero(value > floor))
+
+        joins = [(k, u) for k, bag in enumerate(bags) for raw in fragment_joins(bag) for u in cleaned(raw)]
+        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins])
+        coded = pa.array(itertools.chain.from_iterable(bags), pa.string()).dictionary_encode()
+        ids, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        variants = [(k, u) for k, raw in enumerate(words) for u in cleaned(raw)]
+        value = self._valued([u for _, u in variants], bound, floor, known)
+        telling: dict[int, list[tuple[float, str]]] = {}
+        for k in np.flatnonzero(value > floor):
+            telling.setdefault(variants[k][0], []).append((float(value[k]), variants[k][1]))
+        if telling:
+            for p in np.flatnonzero(np.isin(ids, list(telling))):
+                found.extend((int(text[p]), v, u) for v, u in telling[int(ids[p])])
+        # joins of two neighbours
+        plain = [letters(w) for w in words]
+        sizes = np.array([len(x) for x in plain], np.int64)
+        short = np.flatnonzero(sizes < WIDTH)
+        row = np.zeros(len(plain), np.int64)
+        row[short] = np.arange(len(short))
+        total, one, two, back, ahead = bound.parts([plain[k] for k in short], True)
+        p = np.flatnonzero(sizes[ids] > 0)
+        a, b = p[:-1], p[1:]
+        both = sizes[ids[a]] + sizes[ids[b]]
+        ok = (text[a] == text[b]) & (both >= ORDER) & (both <= WIDTH)
+        a, b, both = a[ok], b[ok], both[ok]
+        for at in range(0, len(a), 20_000):
+            i, j = ids[a[at : at + 20_000]], ids[b[at : at + 20_000]]
+            x, y = row[i], row[j]
+            sums = total[x] + total[y] + (back[y] @ one[x][:, :, None])[:, :, 0] + (two[x] @ ahead[y][:, :, None])[:, :, 0]
+            use = np.flatnonzero(bound.may_pass(sums, both[at : at + 20_000], floor))
+            take(text[a[at + use]], [plain[i[k]] + plain[j[k]] for k in use])
+        if len(known) > CACHE:
+            known.clear()
+        out = [(floor, "")] * len(bags)
+        for k, v, u in found:
+            if (-v, u) < (-out[k][0], out[k][1]):
+                out[k] = (v, u)
         return out
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -419,9 +542,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
             model = fit_machine([*marks, *clean], insults, x, y, w)
 
             def score(batches: Iterator[pa.RecordBatch], model: KernelModel = model) -> Iterator[pa.RecordBatch]:
-                known = Known()
+                known, bound = {}, Bound(model)
                 for batch in batches:
-                    best = model.best(batch.column(0).fill_null("").to_pylist(), known)
+                    best = model.best(batch.column(0).fill_null("").to_pylist(), known, bound, MARGIN)
                     yield pa.RecordBatch.from_pydict({"y": batch.column(1), "v": pa.array([v for v, _ in best]), "u": pa.array([u for _, u in best], pa.string())})
 
             got = map_batches(rows, score, "y int, v double, u string").collect()
@@ -434,7 +557,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
             again = Counter(r["u"] for r in got if r["y"] and r["v"] > 0 and len(r["u"]) <= WIDTH)
             positive = first | again
             for r in got:
-                if not r["y"] and r["v"] > -1 and len(r["u"]) <= WIDTH and r["u"] not in positive:  # within the margin
+                if not r["y"] and r["v"] > MARGIN and len(r["u"]) <= WIDTH and r["u"] not in positive:  # within the margin
                     negative[r["u"]] += 10
                     mined.add(r["u"])
         return model
@@ -443,9 +566,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
 
 
 def score_toxicity(docs: DataFrame, model: KernelModel | float, columns: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``columns`` of every row, then score, predicted (1 if score >= threshold) and witness (its highest unit).
+    """``columns`` of every row, then score, predicted (1 if score >= threshold) and witness (its highest unit, empty where
+    none is above FLOOR).
 
-    Null and empty texts have no unit and score lowest.  Repeated rows stay.
+    Null and empty texts have no unit and score lowest, as do all texts without a unit above FLOOR.  Of units with one value
+    the smaller string is the witness.  Texts of any length are read whole.  Repeated rows stay.
     """
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("__scored_text"))
     names = [f.name for f in rows.schema.fields[:-1]]
@@ -455,14 +580,15 @@ def score_toxicity(docs: DataFrame, model: KernelModel | float, columns: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if stamp not in _known:
             _known.clear()
-        known = _known.setdefault(stamp, Known())
+        known = _known.setdefault(stamp, {})
+        bound = Bound(model) if isinstance(model, KernelModel) else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                if isinstance(model, float):
+                if bound is None:
                     score, best = np.full(batch.num_rows, model), [(0.0, "")] * batch.num_rows
                 else:
-                    best = model.best(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), known)
+                    best = model.best(batch.column(batch.num_columns - 1).fill_null("").to_pylist(), known, bound)
                     score = model.probability(np.array([v for v, _ in best]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([u for _, u in best], pa.string())], names=[*names, "score", "predicted", "witness"])
 

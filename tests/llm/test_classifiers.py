@@ -51,8 +51,45 @@ def test_every_unit_is_valued_by_the_kernel():
     model = sk.fit_machine(marks, marks, x, np.array([1.0] * 4 + [-1.0] * 3), np.ones(7))
     direct = sk.normalised(odd[:-1], marks, model.norms) @ model.weights + model.bias
     assert np.allclose(model.values(odd)[:-1], direct, atol=1e-4) and (model.values(odd) > sk._BACKGROUND).all()
-    got = model.best(["a stpid thing", "", "trash"], sk.Known())
-    assert got[0][1] == "stpid" and got[1] == (sk._BACKGROUND, "") and got[2][1] == "trash"
+    got = model.best(["a stpid thing", "", "trash", "clown trash clown"], {}, sk.Bound(model))
+    assert got[0][1] == "stpid" and got[1] == (sk.FLOOR, "") and got[2][1] == "trash" and got[3][1] in ("clown", "trash")
+
+
+def highest(model, text, floor):
+    """Value and unit of the highest of all units of a text, each valued by the kernel."""
+    found = sorted(sk.units(text))
+    value = model.values(found) if found else np.zeros(0)
+    top = max(value, default=floor)
+    return (float(top), found[int(np.argmax(value))]) if top > floor else (floor, "")
+
+
+def test_bound_loses_no_unit(spark):
+    docs, labels = labelled(spark)
+    model = sk.fit_toxicity(docs, labels)
+    bound = sk.Bound(model)
+    odd = ["blorg-face", "wretch\n-\nling wretchling", "b l o r g f a c e", "blorgfaceblorgfaceblorgface", "x blorgfac e", "$$$ %% __", "BLORGFACE.", "é" * 40, " ".join(prose(k, 3000) for k in range(3))]
+    texts = [r["text"] or "" for r in docs.collect()][:120] + odd
+    for floor in (sk.FLOOR, sk.MARGIN, -3.0):
+        got = model.best(texts, {}, bound, floor)
+        for text, (value, unit) in zip(texts, got):
+            want = highest(model, text, floor)
+            assert value == pytest.approx(want[0], abs=1e-4) and (unit == want[1] or abs(value - want[0]) < 1e-4), text[:80]
+
+
+def test_query_against_all_units(spark, tmp_path):
+    docs, labels = labelled(spark)
+    long = spark.createDataFrame([(950, prose(1, 20_000) + " wretchl ing"), (951, prose(1, 20_000))], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(long)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = sk.fit_toxicity(docs, labels)
+    got = sorted((r["doc_id"], r["score"], r["predicted"]) for r in sk.op2_string_kernel(spark, str(tmp_path)).collect())
+    values = sorted((r["doc_id"], highest(model, r["text"] or "", sk.FLOOR)[0]) for r in docs.collect())
+    want = [(k, float(model.probability(np.array([v]))[0])) for k, v in values]
+    assert [k for k, _, _ in got] == [k for k, _ in want]
+    assert np.allclose([s for _, s, _ in got], [s for _, s in want], atol=1e-3) and all(p == (s >= 0.3) for _, s, p in got)
+    scores = {k: s for k, s, _ in got}
+    assert scores[950] >= 0.3 > scores[951]
 
 
 def labelled(spark, n=400):

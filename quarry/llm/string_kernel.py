@@ -40,6 +40,8 @@ MIN_PAIRS, GAP = 0.75, 2
 VARIANT_WEIGHT = 0.1
 #: Units whose value a worker keeps (a cache only), and characters of text worked on at once.
 CACHE, CHUNK = 600_000, 4_000_000
+#: Strings bounded at once, and joins bounded at once.
+BLOCK, JOINS = 512, 2_048
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
@@ -300,12 +302,22 @@ class Bound:
     def parts(self, strings: list[str], sides: bool) -> tuple[np.ndarray, ...]:
         """For strings of at most WIDTH letters: the three sums of each; and, with sides, what each brings into joins: its
         letters and its pairs on the left, its pairs and its letters on the right."""
-        sizes = np.array([len(x) for x in strings], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        sizes, n, s = sizes[order], len(strings), self.size
-        width = int(sizes[0]) if n else 0
+        n, s = len(strings), self.size
+        order = sorted(range(n), key=lambda k: -len(strings[k]))
+        out = [np.zeros((n, 3), np.float32)]
+        if sides:
+            out += [np.zeros((n, s), np.float32), np.zeros((n, 3 * s), np.float32), np.zeros((n, 3 * s), np.float32), np.zeros((n, s), np.float32)]
+        for at in range(0, n, BLOCK):  # what a block works on stays in the processor's cache
+            some = order[at : at + BLOCK]
+            for whole, part in zip(out, self._block([strings[k] for k in some], sides)):
+                whole[some] = part
+        return tuple(x.reshape(n, 3, s) if x.shape[1] == 3 * s else x for x in out)
+
+    def _block(self, strings: list[str], sides: bool) -> list[np.ndarray]:
+        sizes = np.array([len(x) for x in strings], np.int64)  # falling
+        n, s, width = len(strings), self.size, int(sizes[0])
         codes = np.zeros((n, width), np.int64)
-        codes[np.arange(width)[None, :] < sizes[:, None]] = self.code[np.frombuffer("".join([strings[k] for k in order]).encode("utf-32-le"), np.uint32)]
+        codes[np.arange(width)[None, :] < sizes[:, None]] = self.code[np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)]
         total = np.zeros((n, 3), np.float32)
         two = np.zeros((n, 3 * s), np.float32)  # by the third letter, for the pairs before it; divided by DECAY to its place
         back = np.zeros((n if sides else 0, 3 * s), np.float32)  # by the letter before, for the pairs of this string
@@ -318,18 +330,18 @@ class Bound:
                 total[:k, layer] += two[rows[:k], layer * s + at] * np.float32(DECAY ** (m + 1))
             for i in range(m):
                 pair = codes[:k, i] * s + at
-                two[:k] += self.last[pair] * np.float32(DECAY**-i)
+                use = np.flatnonzero((codes[:k, i] != 0) & (at != 0))
+                pair = pair[use]
+                two[use] += self.last[pair] * np.float32(DECAY**-i)
                 if sides:
-                    back[:k] += self.first[pair] * np.float32(DECAY ** (m + 1))
+                    back[use] += self.first[pair] * np.float32(DECAY ** (m + 1))
             if sides:
                 one[rows[:k], at] += np.float32(DECAY**-m)
                 ahead[rows[:k], at] += np.float32(DECAY ** (m + 1))
-        home = np.empty(n, np.int64)
-        home[order] = rows
         if not sides:
-            return (total[home],)
+            return [total]
         fall = (DECAY ** sizes.astype(float)).astype(np.float32)[:, None]
-        return total[home], (one * fall)[home], (two * fall)[home].reshape(n, 3, s), back[home].reshape(n, 3, s), ahead[home]
+        return [total, one * fall, two * fall, back, ahead]
 
     def may_pass(self, total: np.ndarray, sizes: np.ndarray, floor: float) -> np.ndarray:
         """Whether units with these sums may have a value above floor (with room for rounding)."""
@@ -366,7 +378,8 @@ class KernelModel:
             np.maximum.at(out, [k for _, k in some], got)
         return out
 
-    def _valued(self, strings: list[str], bound: Bound, floor: float, known: dict[str, float]) -> np.ndarray:
+    def _valued(self, strings: list[str], bound: Bound | None, floor: float, known: dict[str, float]) -> np.ndarray:
+        """Values of units, from what is known or else as _highest gives them."""
         new = list(dict.fromkeys(u for u in strings if u not in known))
         known.update(zip(new, self._highest(new, bound, floor).tolist()))
         return np.array([known[u] for u in strings], np.float64)
@@ -389,17 +402,25 @@ class KernelModel:
         bags = [split(t) for t in texts]
         found: list[tuple[int, float, str]] = []  # text, value, unit above floor
 
-        def take(owners: np.ndarray, strings: list[str]) -> None:
+        def take(owners: np.ndarray, strings: list[str], bound: Bound | None) -> None:
             value = self._valued(strings, bound, floor, known)
             found.extend((int(owners[k]), float(value[k]), strings[k]) for k in np.flatnonzero(value > floor))
 
         joins = [(k, u) for k, bag in enumerate(bags) for raw in fragment_joins(bag) for u in cleaned(raw)]
-        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins])
+        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins], bound)
         coded = pa.array(itertools.chain.from_iterable(bags), pa.string()).dictionary_encode()
         ids, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        variants = [(k, u) for k, raw in enumerate(words) for u in cleaned(raw)]
-        value = self._valued([u for _, u in variants], bound, floor, known)
+        plain = [letters(w) for w in words]
+        sizes = np.array([len(x) for x in plain], np.int64)
+        short = np.flatnonzero((sizes > 0) & (sizes <= WIDTH))
+        row = np.zeros(len(plain), np.int64)
+        row[short] = np.arange(len(short))
+        total, one, two, back, ahead = bound.parts([plain[k] for k in short], True)
+        likely = short[bound.may_pass(total, sizes[short], floor) & (sizes[short] >= ORDER)].tolist()
+        variants = [(k, u) for k, raw in enumerate(words) if sizes[k] > WIDTH or not raw.isalpha() for u in cleaned(raw) if len(u) > WIDTH or u != plain[k]]
+        value = np.concatenate([self._valued([u for _, u in variants], bound, floor, known), self._valued([plain[k] for k in likely], None, floor, known)])
+        variants += [(k, plain[k]) for k in likely]
         telling: dict[int, list[tuple[float, str]]] = {}
         for k in np.flatnonzero(value > floor):
             telling.setdefault(variants[k][0], []).append((float(value[k]), variants[k][1]))
@@ -407,23 +428,21 @@ class KernelModel:
             for p in np.flatnonzero(np.isin(ids, list(telling))):
                 found.extend((int(text[p]), v, u) for v, u in telling[int(ids[p])])
         # joins of two neighbours
-        plain = [letters(w) for w in words]
-        sizes = np.array([len(x) for x in plain], np.int64)
-        short = np.flatnonzero(sizes < WIDTH)
-        row = np.zeros(len(plain), np.int64)
-        row[short] = np.arange(len(short))
-        total, one, two, back, ahead = bound.parts([plain[k] for k in short], True)
         p = np.flatnonzero(sizes[ids] > 0)
         a, b = p[:-1], p[1:]
         both = sizes[ids[a]] + sizes[ids[b]]
         ok = (text[a] == text[b]) & (both >= ORDER) & (both <= WIDTH)
         a, b, both = a[ok], b[ok], both[ok]
-        for at in range(0, len(a), 20_000):
-            i, j = ids[a[at : at + 20_000]], ids[b[at : at + 20_000]]
+        owners, joined = [], []
+        for at in range(0, len(a), JOINS):
+            i, j = ids[a[at : at + JOINS]], ids[b[at : at + JOINS]]
             x, y = row[i], row[j]
             sums = total[x] + total[y] + (back[y] @ one[x][:, :, None])[:, :, 0] + (two[x] @ ahead[y][:, :, None])[:, :, 0]
-            use = np.flatnonzero(bound.may_pass(sums, both[at : at + 20_000], floor))
-            take(text[a[at + use]], [plain[i[k]] + plain[j[k]] for k in use])
+            use = np.flatnonzero(bound.may_pass(sums, both[at : at + JOINS], floor))
+            owners.append(text[a[at + use]])
+            joined += [plain[i[k]] + plain[j[k]] for k in use]
+        if joined:
+            take(np.concatenate(owners), joined, None)  # the bound has left these
         if len(known) > CACHE:
             known.clear()
         out = [(floor, "")] * len(bags)
@@ -528,7 +547,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
         marks = spread(insults, max_landmarks)
         model = None
         mined: set[str] = set()
-        for _ in range(2):
+        for floor in (MARGIN, FLOOR):  # the second fit only needs what its calibration does
             hard = [u for u, ok in zip(negative, holds_pairs(list(negative), insults)) if ok or u in mined]
             alike = normalised(hard, marks, kernel(marks, marks, paired=True)).max(1) if hard else np.zeros(0)
             clean = [hard[k] for k in np.lexsort((hard, -alike))[: max_landmarks // 2]]
@@ -541,10 +560,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
                 x, y, w = [*x, "zzz"], np.append(y, -1.0), np.append(w, 1.0)
             model = fit_machine([*marks, *clean], insults, x, y, w)
 
-            def score(batches: Iterator[pa.RecordBatch], model: KernelModel = model) -> Iterator[pa.RecordBatch]:
+            def score(batches: Iterator[pa.RecordBatch], model: KernelModel = model, floor: float = floor) -> Iterator[pa.RecordBatch]:
                 known, bound = {}, Bound(model)
                 for batch in batches:
-                    best = model.best(batch.column(0).fill_null("").to_pylist(), known, bound, MARGIN)
+                    best = model.best(batch.column(0).fill_null("").to_pylist(), known, bound, floor)
                     yield pa.RecordBatch.from_pydict({"y": batch.column(1), "v": pa.array([v for v, _ in best]), "u": pa.array([u for _, u in best], pa.string())})
 
             got = map_batches(rows, score, "y int, v double, u string").collect()

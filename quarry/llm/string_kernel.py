@@ -41,7 +41,7 @@ VARIANT_WEIGHT = 0.1
 #: Units whose value a worker keeps (a cache only), and characters of text worked on at once.
 CACHE, CHUNK = 600_000, 4_000_000
 #: Strings bounded at once, and joins bounded at once.
-BLOCK, JOINS = 512, 2_048
+BLOCK, JOINS = 4_096, 2_048
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
@@ -292,8 +292,8 @@ class Bound:
             three[0] += w * own
             three[1] += max(w, 0) * own
             three[2] = np.maximum(three[2], own)
-        self.last = np.ascontiguousarray(three.transpose(1, 2, 0, 3).reshape(s * s, 3 * s), np.float32)  # rows: the first two letters
-        self.first = np.ascontiguousarray(three.transpose(2, 3, 0, 1).reshape(s * s, 3 * s), np.float32)  # rows: the last two
+        self.last = np.ascontiguousarray(three.transpose(2, 1, 0, 3).reshape(s, s, 3 * s), np.float32)  # [second][first, third]
+        self.first = np.ascontiguousarray(three.transpose(3, 2, 0, 1).reshape(s, s, 3 * s), np.float32)  # [third][second, first]
         self.bias = model.bias
         # squared norm of n letters whose subsequences differ: each counts with the square of its weight
         spans = [sum((n - d) * (d - 1) * DECAY ** (2 * d + 2) for d in range(2, n)) for n in range(WIDTH + 1)]
@@ -303,45 +303,54 @@ class Bound:
         """For strings of at most WIDTH letters: the three sums of each; and, with sides, what each brings into joins: its
         letters and its pairs on the left, its pairs and its letters on the right."""
         n, s = len(strings), self.size
-        order = sorted(range(n), key=lambda k: -len(strings[k]))
-        out = [np.zeros((n, 3), np.float32)]
-        if sides:
-            out += [np.zeros((n, s), np.float32), np.zeros((n, 3 * s), np.float32), np.zeros((n, 3 * s), np.float32), np.zeros((n, s), np.float32)]
-        for at in range(0, n, BLOCK):  # what a block works on stays in the processor's cache
+        sizes = np.fromiter(map(len, strings), np.int64, n)
+        codes = np.zeros((n, WIDTH), np.int8 if s < 128 else np.int32)
+        codes[np.arange(WIDTH)[None, :] < sizes[:, None]] = self.code[np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)]
+        order = np.lexsort(codes.T[::-1])
+        out = [np.zeros((n, w), np.float32) for w in ((3, s, 3 * s, 3 * s, s) if sides else (3,))]
+        for at in range(0, n, BLOCK):
             some = order[at : at + BLOCK]
-            for whole, part in zip(out, self._block([strings[k] for k in some], sides)):
-                whole[some] = part
+            self._block(codes[some], sizes[some], some, out)
         return tuple(x.reshape(n, 3, s) if x.shape[1] == 3 * s else x for x in out)
 
-    def _block(self, strings: list[str], sides: bool) -> list[np.ndarray]:
-        sizes = np.array([len(x) for x in strings], np.int64)  # falling
-        n, s, width = len(strings), self.size, int(sizes[0])
-        codes = np.zeros((n, width), np.int64)
-        codes[np.arange(width)[None, :] < sizes[:, None]] = self.code[np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)]
-        total = np.zeros((n, 3), np.float32)
-        two = np.zeros((n, 3 * s), np.float32)  # by the third letter, for the pairs before it; divided by DECAY to its place
-        back = np.zeros((n if sides else 0, 3 * s), np.float32)  # by the letter before, for the pairs of this string
-        one, ahead = np.zeros((2, n if sides else 0, s), np.float32)
-        rows = np.arange(n)
-        for m in range(width):
-            k = int(np.searchsorted(-sizes, -m, side="left"))  # those with more than m letters
-            at = codes[:k, m]
-            for layer in range(3):
-                total[:k, layer] += two[rows[:k], layer * s + at] * np.float32(DECAY ** (m + 1))
-            for i in range(m):
-                pair = codes[:k, i] * s + at
-                use = np.flatnonzero((codes[:k, i] != 0) & (at != 0))
-                pair = pair[use]
-                two[use] += self.last[pair] * np.float32(DECAY**-i)
-                if sides:
-                    back[use] += self.first[pair] * np.float32(DECAY ** (m + 1))
+    def _block(self, codes: np.ndarray, sizes: np.ndarray, home: np.ndarray, out: list[np.ndarray]) -> None:
+        """parts() of strings sorted by their codes: each distinct prefix is worked on once."""
+        s, sides = self.size, len(out) > 1
+        total, one, two = np.zeros((1, 3), np.float32), np.zeros((1, s), np.float32), np.zeros((1, 3 * s), np.float32)
+        back, ahead, seen = two, one, one  # one and two are divided by DECAY to the place of their last letter
+        node, live = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        for m in range(WIDTH + 1):
+            done = live[sizes[live] == m]
+            if len(done):
+                at, fall = node[done], np.float32(DECAY**m)
+                for whole, part in zip(out, (total[at], one[at] * fall, two[at] * fall, back[at], ahead[at]) if sides else (total[at],)):
+                    whole[home[done]] = part
+            live = live[sizes[live] > m]
+            if not len(live):
+                return
+            rows = codes[live, : m + 1]
+            fresh = np.ones(len(live), bool)
+            fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+            first = live[fresh]
+            by = np.argsort(codes[first, m], kind="stable")
+            parent, last = node[first[by]], codes[first[by], m]
+            rank = np.empty(len(first), np.int64)
+            rank[by] = np.arange(len(first))
+            node[live] = rank[np.cumsum(fresh) - 1]
+            total, one, two = total[parent], one[parent], two[parent]
             if sides:
-                one[rows[:k], at] += np.float32(DECAY**-m)
-                ahead[rows[:k], at] += np.float32(DECAY ** (m + 1))
-        if not sides:
-            return [total]
-        fall = (DECAY ** sizes.astype(float)).astype(np.float32)[:, None]
-        return [total, one * fall, two * fall, back, ahead]
+                back, ahead, seen = back[parent], ahead[parent], seen[parent]
+            gain = np.float32(DECAY ** (m + 1))
+            cuts = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1, [len(last)]])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if c := int(last[x]):  # no other letter counts
+                    total[x:y] += two[x:y, c::s] * gain
+                    two[x:y] += one[x:y] @ self.last[c]
+                    one[x:y, c] += np.float32(DECAY**-m)
+                    if sides:
+                        back[x:y] += (seen[x:y] @ self.first[c]) * gain
+                        ahead[x:y, c] += gain
+                        seen[x:y, c] += 1
 
     def may_pass(self, total: np.ndarray, sizes: np.ndarray, floor: float) -> np.ndarray:
         """Whether units with these sums may have a value above floor (with room for rounding)."""
@@ -408,8 +417,9 @@ class KernelModel:
 
         joins = [(k, u) for k, bag in enumerate(bags) for raw in fragment_joins(bag) for u in cleaned(raw)]
         take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins], bound)
-        coded = pa.array(itertools.chain.from_iterable(bags), pa.string()).dictionary_encode()
-        ids, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for bag in bags for w in bag], np.int64)
+        words = list(number)
         text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         plain = [letters(w) for w in words]
         sizes = np.array([len(x) for x in plain], np.int64)

@@ -34,6 +34,8 @@ SPAN, GRAM = 400, 40
 WORD_SPAN, WORD_GRAM = 51, 5
 #: Bytes parsed at once, contexts merged at once (an anchor's are never parted), anchors of one bucket.
 PARSE_BYTES, MERGE_ROWS, BUCKET = 1 << 19, 8_192, 250_000
+#: Entries of one bucket that one task reads whole; of larger buckets, contexts are counted as rows, with partial counts.
+HEAVY = 1_000_000
 #: Entries of one anchor that one task merges; of more, their windows are dealt out by fingerprint instead.
 GROUP_ROWS = 65_536
 _PLACE = 30
@@ -219,8 +221,36 @@ def _dictionary(parsed: DataFrame, span: int, buckets: int, limit: int) -> DataF
             none = pa.array(np.zeros(n, np.int64))
             yield pa.RecordBatch.from_pydict({"key": pa.array(k[begin]), "g": none, "a": none, "lo": pa.array(first[begin]), "hi": pa.array(last[end]), "done": pa.array(np.ones(n, bool)), "single": pa.array(np.zeros(n, bool)), "wide": pa.array(np.zeros(n, bool))})
 
-    spread = parsed.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return map_batches(spread, run, "key long, g long, a long, lo long, hi long, done boolean, single boolean, wide boolean")
+    heavy = materialize(parsed.groupBy("bucket").agg(F.sum(F.octet_length("g")).alias("n")).where(F.col("n") > 8 * HEAVY).select("bucket"))
+    several = not heavy.isEmpty()
+    light = parsed.join(heavy, "bucket", "left_anti") if several else parsed
+    spread = light.select("bucket", *"gckalh").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    out = map_batches(spread, run, _ENTRIES)
+    return out.unionByName(_counted(parsed.join(heavy, "bucket", "left_semi"), limit)) if several else out
+
+
+_ENTRIES = "key long, g long, a long, lo long, hi long, done boolean, single boolean, wide boolean"
+
+
+def _counted(parsed: DataFrame, limit: int) -> DataFrame:
+    """What _dictionary gives, for buckets of very many entries: no task holds an anchor or a context, since counts are
+    partial and what is joined to them is written first, so that a skewed join can be split."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.select(["g", "c", "k", "a", "l", "h"]).to_pylist():
+                cells = [np.frombuffer(r[n], np.int64 if n in "gck" else np.uint32).astype(np.int64) for n in "gckalh"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["g", "c", "key", "a", "lo", "hi"])
+
+    rows = map_batches(parsed, unpack, "g long, c long, key long, a long, lo long, hi long")
+    rows = materialize(rows.groupBy("g", "c", "key", "lo").agg(F.min("a").alias("a"), F.min("hi").alias("hi")))  # a text came from several tasks
+    contexts = materialize(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "lo", "a", "hi")).alias("one")))
+    shared = materialize(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1"))
+    merge = contexts.join(shared, "g").select("one.key", "g", "one.a", "one.lo", "one.hi", F.lit(False).alias("done"), (F.col("times") == 1).alias("single"), (F.col("entries") > limit).alias("wide"))
+    again = materialize(contexts.where("times > 1").select("g", "c"))
+    none = F.lit(0).cast("long")
+    done = rows.join(again, ["g", "c"], "left_semi").select("key", none.alias("g"), none.alias("a"), "lo", "hi", F.lit(True).alias("done"), F.lit(False).alias("single"), F.lit(False).alias("wide"))
+    return merge.unionByName(done)
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 50) -> Iterator[pa.RecordBatch]:
@@ -333,8 +363,20 @@ def _deal(contexts: DataFrame, span: int, buckets: int, words: bool) -> DataFram
             use = (np.bincount(run)[run] > 1) & (single == 1)
             yield pa.RecordBatch.from_pydict({"key": pa.array(key[use]), "lo": pa.array(start[use]), "hi": pa.array(start[use])})
 
-    dealt = map_batches(contexts, windows, "bucket long, h binary, k binary, p binary, s binary")
-    return map_batches(dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), count, "key long, lo long, hi long")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.select(["h", "k", "p", "s"]).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["h"], np.int64)), pa.array(np.frombuffer(r["k"], np.int64)), pa.array(np.frombuffer(r["p"], np.int64)), pa.array(np.frombuffer(r["s"], np.uint8).astype(bool))], names=["h", "key", "lo", "single"])
+
+    dealt = materialize(map_batches(contexts, windows, "bucket long, h binary, k binary, p binary, s binary"))
+    heavy = materialize(dealt.groupBy("bucket").agg(F.sum(F.octet_length("h")).alias("n")).where(F.col("n") > 8 * HEAVY).select("bucket"))
+    light = dealt.join(heavy, "bucket", "left_anti").select("bucket", *"hkps")
+    out = map_batches(light.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket"), count, "key long, lo long, hi long")
+    # in buckets of very many windows no task holds a fingerprint
+    rows = map_batches(dealt.join(heavy, "bucket", "left_semi"), unpack, "h long, key long, lo long, single boolean")
+    rows = materialize(rows.groupBy("h", "key", "lo").agg(F.max("single").alias("single")))
+    again = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    return out.unionByName(rows.where("single").join(again, "h", "left_semi").select("key", "lo", F.col("lo").alias("hi")))
 
 
 def _cut(rows: DataFrame, span: int, words: bool) -> DataFrame:
@@ -391,7 +433,9 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str =
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")))
     total = (copies.agg(F.sum("size").alias("s")).first()["s"] or 0) // (4 if words else 1)
     buckets = max(1, -(-2 * total // ((span - gram) * BUCKET)))
-    entries = materialize(_dictionary(_parse(rows, span, gram, buckets, words), span, buckets, GROUP_ROWS))
+    parsed = materialize(_parse(rows, span, gram, buckets, words))
+    entries = materialize(_dictionary(parsed, span, buckets, GROUP_ROWS))
+    discard(parsed)
     texts = rows.where(F.col("size") >= _least(span, words))
     merged = materialize(_merge(_contexts(texts, entries.where("not done and not wide"), span, words), span, words))
     used = [entries, merged]

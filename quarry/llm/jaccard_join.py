@@ -33,6 +33,8 @@ TILE = 512
 GROUP_ROWS = 16_384
 #: Rows (of three short fields) up to which a side is broadcast; beyond, a bitmap thins the other side before the join.
 BROADCAST_ROWS = 250_000
+#: Parts into which rows of large groups are dealt where there are more large groups than that.
+SALTS = 32
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -254,10 +256,15 @@ def tiled(rows: DataFrame, group: str, num: int, den: int, limit: int | None = N
     equal and neighbouring bands meet) and by a hash into parts of about limit rows; a row goes to the tiles of its part
     with every part of the bands it meets.  So no task holds a group, however large."""
     limit = limit or GROUP_ROWS
-    parts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("__parts"))
+    large = materialize(rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("__parts")).where("__parts > 1"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num))).cast("long")
-    own = F.pmod(F.xxhash64("size", *[c for c in ("key", "id") if c in rows.columns]), F.col("__parts")).cast("int")
-    marked = rows.join(parts, group).withColumn("__band", band).withColumn("__own", own)
+    mixed = F.xxhash64("size", *[c for c in ("key", "id") if c in rows.columns])
+    if large.count() <= BROADCAST_ROWS:  # rows stay where they are: no task gets a group
+        marked = rows.join(F.broadcast(large), group, "left")
+    else:
+        salted = large.select(group, "__parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        marked = rows.withColumn("__salt", F.pmod(mixed, F.lit(SALTS)).cast("int")).join(salted, [group, "__salt"], "left")
+    marked = marked.withColumn("__parts", F.coalesce("__parts", F.lit(1))).withColumn("__band", band).withColumn("__own", F.pmod(mixed, F.col("__parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("__parts") - 1)
     name = lambda low, high, a, b: F.concat_ws("/", group, low, high, a, b)
     same = F.transform(others, lambda q: name(F.col("__band"), F.col("__band"), F.least("__own", q), F.greatest("__own", q)))
@@ -356,7 +363,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     groups = materialize(_groups(spread, buckets, num, den).distinct())
     likely = materialize(_unite(groups, maps, num, den))
     roots = components(likely)
-    placed = roots.join(reps.select(F.col("key").alias("node"), "rep", "size"), "node").select("root", F.col("rep").alias("id"), "size", F.col("node").alias("key"))
+    placed = materialize(roots.join(reps.select(F.col("key").alias("node"), "rep", "size"), "node").select("root", F.col("rep").alias("id"), "size", F.col("node").alias("key")))
     wanted = materialize(tiled(placed, "root", num, den).select("tile", "id", "key"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     if wanted.count() <= BROADCAST_ROWS:
@@ -370,8 +377,9 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     whole = components(links.unionByName(same))
     sizes = nodes.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"))
     out = sizes.join(whole.select(F.col("node").alias(id_col), "root"), id_col, "left")
-    discard(groups, likely)
-    return out.select(id_col, "n_shingles", F.coalesce("root", id_col).alias("component_id"))
+    found = materialize(out.select(id_col, "n_shingles", F.coalesce("root", id_col).alias("component_id")))
+    discard(tagged, groups, likely, placed, wanted, links)
+    return found
 
 
 def _repeats(nodes: DataFrame) -> bool:
@@ -381,12 +389,15 @@ def _repeats(nodes: DataFrame) -> bool:
 
 def keep_one(docs: DataFrame, num: int = NUM, den: int = DEN, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, without those that another document of their component stands for: the
-    smallest id stays.  Of rows that repeat an id one stays; rows with a null id or without a word all stay."""
-    found = materialize(jaccard_components(docs, num, den, n, id_col, text_col))
+    smallest id stays.  Of rows that repeat an id the one with the smallest hash of all its columns stays; rows with a null
+    id or without a word all stay."""
+    found = jaccard_components(docs, num, den, n, id_col, text_col)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     if _repeats(found.select(F.col(id_col).alias("id"))):
-        kept = kept.where(f"{id_col} is not null").dropDuplicates([id_col]).unionByName(kept.where(f"{id_col} is null"))
+        whole = F.struct(*docs.columns)
+        one = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("__row"))
+        kept = one.select("__row.*").unionByName(kept.where(F.col(id_col).isNull()))
     return kept
 
 

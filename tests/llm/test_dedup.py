@@ -171,6 +171,26 @@ def planted(seed=0):
     return [*rows, (2100, prose(6000, 50)), (2101, prose(6000, 51)), (2102, " " + prose(6100, 51) + " "), (2103, " " + prose(6100, 51) + " ")]
 
 
+def test_buckets_of_very_many_entries(spark, monkeypatch):
+    """The same result where no task reads a bucket whole, with anchors merged and with windows dealt out."""
+    docs = awkward(spark, passages()).repartition(3)
+    want = sorted(map(str, bwt_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(bwt_dedup, "HEAVY", 20)
+    assert sorted(map(str, bwt_dedup.remove_repeats(docs).collect())) == want
+    monkeypatch.setattr(bwt_dedup, "GROUP_ROWS", 2)
+    assert sorted(map(str, bwt_dedup.remove_repeats(docs).collect())) == want
+
+
+def test_tiles_of_many_large_groups(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3, k, 10 + k % 4) for k in range(300)] + [(9, 900, 5), (9, 901, 5)], "g long, key long, size long")
+    count = lambda: sorted((r["g"], r["tile"], r["key"]) for r in jaccard_join.tiled(rows, "g", 80, 100, 20).collect())
+    few = count()
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    assert count() == few and {k for _, _, k in few} == {*range(300), 900, 901}
+    meet = {(g, a) for g, t, a in few}
+    assert len(meet) == 302
+
+
 @pytest.mark.parametrize("span, gram, limit", [(51, 5, 65_536), (51, 5, 2), (12, 3, 65_536), (6, 5, 1)])
 def test_repeated_words_against_all_windows(spark, monkeypatch, span, gram, limit):
     monkeypatch.setattr(bwt_dedup, "GROUP_ROWS", limit)

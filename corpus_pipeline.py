@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bwt_dedup import WORD_GRAM, WORD_SPAN, remove_repeats
-from quarry.llm.common import materialize, table
+from quarry.llm.common import discard, materialize, table
 from quarry.llm.gam_quality import fit_quality, keep_good
 from quarry.llm.jaccard_join import keep_one
 from quarry.llm.string_tiling import decontaminate
@@ -66,5 +66,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)  # what a stage wrote goes when the next one has read it
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BASE, BASE_INV, discard, map_batches, materialize, mix64, powers, table, utf8, words_of
+from quarry.llm.common import BASE, BASE_INV, discard, likely_in, map_batches, materialize, mix64, powers, table, utf8, words_of
 from quarry.llm.jaccard_join import by_group
 
 SPAN, GRAM = 400, 40
@@ -267,6 +267,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int, words: bool) -> Da
         for batch in _few(batches):
             out: list[dict] = []  # wide goes along
             read, first, _, _ = symbols(batch.column(1), words)
+            read = read.astype(np.uint32) if words else read  # half of a word's hash; a window has many words
             for key, base, entries in zip(batch.column(0).to_pylist(), first.tolist(), batch.column(2).to_pylist()):
                 out += [{"g": e["g"], "key": key, "a": e["a"], "lo": e["lo"], "hi": e["hi"], "single": e["single"], "wide": e["wide"], "ctx": read[base + e["lo"] : base + e["hi"] + span].tobytes()} for e in entries]
                 if len(out) > 5000:
@@ -276,7 +277,8 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int, words: bool) -> Da
                 yield pa.RecordBatch.from_pylist(out, _CONTEXT)
 
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("g", "a", "lo", "hi", "single", "wide")).alias("entries"))  # of one text
-    return map_batches(texts.select("key", "t").join(lists, "key"), run, "g long, key long, a long, lo long, hi long, single boolean, wide boolean, ctx binary")
+    texts = likely_in(texts.select("key", "t"), "key", wanted.select("key"))  # most texts have none: they aren't shuffled
+    return map_batches(texts.join(lists, "key"), run, "g long, key long, a long, lo long, hi long, single boolean, wide boolean, ctx binary")
 
 
 _CONTEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("single", pa.bool_()), ("wide", pa.bool_()), ("ctx", pa.binary())])
@@ -285,7 +287,7 @@ _CONTEXT = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("a", pa.int64()),
 def _merge(contexts: DataFrame, span: int, words: bool) -> DataFrame:
     """(key, lo, hi): runs of window starts that the merge finds repeated, for entries that occur once."""
 
-    kind = np.uint64 if words else np.uint8
+    kind = np.uint32 if words else np.uint8
 
     def merged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(rows).combine_chunks()
@@ -324,7 +326,7 @@ def _deal(contexts: DataFrame, span: int, buckets: int, words: bool) -> DataFram
     """As _merge, for anchors with very many entries: each window goes to the bucket of its fingerprint, so that no task
     holds an anchor; a fingerprint that two places share is a repeat."""
 
-    kind = np.uint64 if words else np.uint8
+    kind = np.uint32 if words else np.uint8
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -444,8 +446,9 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str =
     if not wide.isEmpty():
         used.append(materialize(_deal(_contexts(texts, wide, span, words), span, buckets, words)))
         runs = runs.unionByName(used[-1])
-    partial = runs.join(copies.where("copies > 1").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    cut = materialize(_cut(texts.join(partial, "key").select("key", "t", "runs"), span, words))
+    partial = materialize(runs.join(copies.where("copies > 1").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
+    used.append(partial)
+    cut = materialize(_cut(likely_in(texts, "key", partial.select("key")).join(partial, "key").select("key", "t", "runs"), span, words))
     discard(*used)
     return copies, cut
 

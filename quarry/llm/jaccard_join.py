@@ -357,8 +357,8 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
 
     # one representative id for each set
     named = nodes.where("key is not null and id is not null")
-    reps = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
-    maps = reps.where("bits is not null").select("key", "bits")
+    reps = materialize(named.groupBy("key").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")))
+    maps = named.where("bits is not null").groupBy("key").agg(F.max("bits").alias("bits"))
     spread = _postings(docs.where(F.col(id_col).isNotNull()), text_col, n, num, den, hot, buckets)
     groups = materialize(_groups(spread, buckets, num, den).distinct())
     likely = materialize(_unite(groups, maps, num, den))
@@ -378,7 +378,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     sizes = nodes.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"))
     out = sizes.join(whole.select(F.col("node").alias(id_col), "root"), id_col, "left")
     found = materialize(out.select(id_col, "n_shingles", F.coalesce("root", id_col).alias("component_id")))
-    discard(tagged, groups, likely, placed, wanted, links)
+    discard(tagged, reps, groups, likely, placed, wanted, links)
     return found
 
 

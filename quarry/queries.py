@@ -5,10 +5,6 @@ All run on whole tables.  Queries of the search operators are the vectors whose
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +16,7 @@ from quarry.operators.hnsw import build, search, sweep
 from quarry.operators.knn import distances_to, knn, nearest
 from quarry.operators.selection import candidate_lists, select_neighbors
 from quarry.sources import tables
+from quarry.sources.shared import checkpoints, new_path
 from quarry.streaming import log as wal
 
 K = 10
@@ -374,8 +371,7 @@ def insert_idempotent(spark, d):
     """A collection that gets the same batches twice, and a checkpoint between."""
     from quarry.streaming.collection import Collection
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    c = Collection.create(spark, f"{root.rstrip('/')}/collection-{uuid.uuid4().hex}", 64)
+    c = Collection.create(spark, new_path(spark, "collection"), 64)
     base = _base(spark, d).select(F.col("id").alias("ext_id"), "vec")
     c.insert(base.where("ext_id % 2 = 0"), "even")
     c.insert(base.where("ext_id % 2 = 0"), "even")
@@ -385,6 +381,40 @@ def insert_idempotent(spark, d):
     return c.vectors().agg(F.count(F.lit(1)).alias("vectors"), F.sum("ext_id").alias("ids")).withColumn("next_seq", F.lit(c.recovery()["next_seq"]).cast("long"))
 
 
+@query("SELECT vec_id AS ext_id, embedding[1] AS first, CAST('m' || vec_id AS VARCHAR) AS metadata FROM embeddings WHERE vec_id % 7 <> 0")
+def batches_after_checkpoint(spark, d):
+    """Batches offered again after checkpoints add nothing, deletes neither, and metadata stays."""
+    from quarry.streaming.collection import Collection
+
+    root = new_path(spark, "collection")
+    c = Collection.create(spark, root, 64)
+    base = _base(spark, d).select(F.col("id").alias("ext_id"), "vec", F.concat(F.lit("m"), F.col("id")).alias("metadata"))
+    gone = base.where("ext_id % 7 = 0").select("ext_id")
+    for _ in range(2):
+        c.insert(base, "all")
+        c.delete(gone, "gone")
+        c.checkpoint()
+        c = Collection(spark, root)
+    c.verify()
+    return c.vectors().select("ext_id", F.col("vec")[0].alias("first"), F.col("metadata").cast("string").alias("metadata"))
+
+
+@query("SELECT vec_id AS ext_id, embedding[1] AS first FROM embeddings WHERE vec_id % 4 <> 3")
+def torn_tail_then_insert(spark, d):
+    """A log whose last batch is torn: opening cuts it off, and what is inserted then is there."""
+    from quarry.streaming.collection import Collection
+
+    root = new_path(spark, "collection")
+    c = Collection.create(spark, root, 64)
+    base = _base(spark, d).select(F.col("id").alias("ext_id"), "vec")
+    added = c.insert(base.where("ext_id % 4 < 2"), "first")
+    torn = c.log().withColumns({"seq": F.col("seq") + added, "ext_id": F.col("ext_id") + 3})  # its checksums don't hold
+    torn.write.parquet(f"{root}/log/v=0/batch=00000001-torn")
+    c = Collection(spark, root)
+    c.insert(base.where("ext_id % 4 = 2"), "second")
+    return Collection(spark, root).vectors().select("ext_id", F.col("vec")[0].alias("first"))
+
+
 @query(f"WITH {_knn(_L2, base='(SELECT u.* FROM u JOIN embeddings e ON e.vec_id = u.id WHERE e.label = 3)')} {_ROWS}")
 def filtered_knn(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -454,7 +484,7 @@ def hnsw_search(spark, d):
 def hnsw_sweep(spark, d):
     from quarry.plans.sweep import recall_sweep
 
-    _checkpoints(spark)
+    checkpoints(spark)
     base = _base(spark, d)
     return recall_sweep(base, _asked(base), K, (10, 40, 160), params=GraphParams(m=16, ef_construction=100))
 
@@ -464,16 +494,14 @@ def snapshot_round_trip(spark, d):
     """Answers that change when graphs are written and read again: none."""
     from quarry.plans.sweep import round_trip
 
-    _checkpoints(spark)
+    checkpoints(spark)
     base = _base(spark, d)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    return round_trip(base, _asked(base), path, K, 64, params=GraphParams(m=8, ef_construction=40), shards=2).select("qid", "id")
+    return round_trip(base, _asked(base), new_path(spark, "graph"), K, 64, params=GraphParams(m=8, ef_construction=40), shards=2).select("qid", "id")
 
 
 @query("""SELECT 'total' AS what, count(*) AS n FROM embeddings""")
 def hnsw_node_count(spark, d):
-    _checkpoints(spark)
+    checkpoints(spark)
     nodes, _, _ = build(_base(spark, d), GraphParams(m=16, ef_construction=60), shards=2)
     return nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("what"), "n")
 
@@ -481,7 +509,7 @@ def hnsw_node_count(spark, d):
 @query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS n FROM embeddings WHERE vec_id < 0")
 def hnsw_violations(spark, d):
     """None, for each policy of selection."""
-    _checkpoints(spark)
+    checkpoints(spark)
     base, out = _base(spark, d), None
     for policy in ({}, {"keep_pruned": False}, {"heuristic": False}):
         nodes, edges, meta = build(base, GraphParams(m=8, ef_construction=40, **policy), shards=1)
@@ -496,13 +524,6 @@ def fvecs_round_trip(spark, d):
     from quarry.sources.vecs import register, write_vecs
 
     register(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}.fvecs"
+    path = new_path(spark) + ".fvecs"
     write_vecs(_base(spark, d), path)
     return spark.read.format("fvecs").load(path).select("id", F.col("vec")[0].alias("first"), F.size("vec").alias("dim"))
-
-
-def _checkpoints(spark) -> None:
-    """checkpoint() needs a folder; one of its own only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.mkdtemp(prefix="quarry-"), "checkpoints"))

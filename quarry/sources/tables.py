@@ -67,7 +67,8 @@ def first_n(df: DataFrame, n: int) -> DataFrame:
 
 def split_tail(df: DataFrame, warmup: int) -> tuple[DataFrame, DataFrame]:
     """(measured, warm-up): the last ids warm up, at most half of all."""
-    n = (df.agg(F.max("id")).first()[0] or -1) + 1
+    last = df.agg(F.max("id")).first()[0]
+    n = 0 if last is None else last + 1
     w = min(warmup, n // 2)
     return df.where(F.col("id") < n - w), df.where(F.col("id") >= n - w)
 

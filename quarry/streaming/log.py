@@ -71,9 +71,10 @@ def require_intact(log: DataFrame, snapshot_seq: int) -> DataFrame:
 
 
 def applied(snapshot: DataFrame, log: DataFrame, snapshot_seq: int) -> DataFrame:
-    """(ext_id, level, vec) of the snapshot with the later inserts and without what later deletes name."""
+    """(ext_id, level, vec, metadata) of the snapshot with the later inserts and without what later deletes name."""
     later = log.where(F.col("seq") > snapshot_seq)
-    added = later.where("op = 'insert'").select("seq", "ext_id", "level", "vec")
-    both = snapshot.select(F.lit(0).cast("long").alias("seq"), "ext_id", "level", "vec").unionByName(added)
+    meta = lambda df: (F.col("metadata") if "metadata" in df.columns else F.lit(None)).cast("binary").alias("metadata")
+    added = later.where("op = 'insert'").select("seq", "ext_id", "level", "vec", meta(later))
+    both = snapshot.select(F.lit(0).cast("long").alias("seq"), "ext_id", "level", "vec", meta(snapshot)).unionByName(added)
     gone = later.where("op = 'delete'").groupBy("ext_id").agg(F.max("seq").alias("gone"))
-    return both.join(gone, "ext_id", "left").where("gone is null or seq > gone").select("ext_id", "level", "vec")
+    return both.join(gone, "ext_id", "left").where("gone is null or seq > gone").select("ext_id", "level", "vec", "metadata")

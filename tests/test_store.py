@@ -81,13 +81,76 @@ def test_unfinished_and_torn_batches(spark, tmp_path):
     assert c.vectors().count() == 3
     torn = c.log().withColumn("seq", F.col("seq") + 3).withColumn("ext_id", F.col("ext_id") + 3)
     torn.write.mode("overwrite").parquet(f"{root}/log/v=0/batch=00000002-torn")  # its checksums don't hold
-    assert Collection(spark, root).vectors().count() == 3
-    assert Collection(spark, root).repair() == 3
+    assert Collection(spark, root, repair=False).vectors().count() == 3
+    assert Collection(spark, root, repair=False).repair() == 3
     c = Collection(spark, root)
+    assert c.dropped == 0
     c.insert(rows(spark, range(3, 6)), "b")
     assert sorted(r["ext_id"] for r in c.vectors().collect()) == list(range(6))
 
 
+def test_open_repairs_a_torn_log_before_writing(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    c = Collection.create(spark, root, 4)
+    c.insert(rows(spark, range(4)), "a")
+    half = c.log().withColumn("crc", F.when(F.col("seq") >= 3, F.col("crc") + 1).otherwise(F.col("crc"))).collect()
+    log_of = f"{root}/log/v=0/batch=00000000-a"
+    spark.createDataFrame(half, wal.LOG).coalesce(1).write.mode("overwrite").parquet(log_of)
+    c = Collection(spark, root)
+    assert c.dropped == 2 and c.vectors().count() == 2
+    assert c.insert(rows(spark, range(10, 13)), "b") == 3
+    assert c.insert(rows(spark, range(4)), "a") == 2 and c.insert(rows(spark, range(4)), "a") == 0  # what was cut off
+    assert sorted(r["ext_id"] for r in Collection(spark, root).vectors().collect()) == [0, 1, 2, 3, 10, 11, 12]
+
+
+def test_a_truncated_file_ends_the_log(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    c = Collection.create(spark, root, 4, sync="every:2")
+    c.insert(rows(spark, range(3)), "a")
+    c.insert(rows(spark, range(3, 6)), "b")
+    for file in (tmp_path / "c/log/v=0/batch=00000001-b").glob("*.parquet"):
+        file.write_bytes(file.read_bytes()[:40])
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    c = Collection(spark, root)
+    assert c.dropped == 1 and c.vectors().count() == 3
+    assert c.insert(rows(spark, range(3, 6)), "b") == 3 and Collection(spark, root).vectors().count() == 6
+
+
+def test_batches_stay_known_and_snapshots_are_verified(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    c = Collection.create(spark, root, 4, sync="never")
+    c.insert(rows(spark, range(5)).withColumn("metadata", F.lit(b"m")), "a")
+    assert c.delete(spark.createDataFrame([(0,)], "ext_id long"), "d") == 1
+    c.checkpoint()
+    c = Collection(spark, root)
+    assert c.insert(rows(spark, range(5)), "a") == 0 == c.delete(spark.createDataFrame([(1,)], "ext_id long"), "d")
+    assert c.verify() == 4 and {bytes(r["metadata"]) for r in c.vectors().collect()} == {b"m"}
+    c.snapshot().withColumn("level", F.lit(7)).collect()
+    hurt = spark.createDataFrame(c.snapshot().withColumn("level", F.lit(7)).collect(), c.snapshot().schema)
+    hurt.write.mode("overwrite").parquet(f"{root}/snapshot/v=1")
+    with pytest.raises(VectorError, match="checksum"):
+        Collection(spark, root).verify()
+
+
+def test_split_of_one_row(spark):
+    from quarry.sources.tables import split_tail
+
+    one = spark.createDataFrame([(0, [1.0])], "id long, vec array<float>")
+    measured, warm = split_tail(one, 5)
+    assert (measured.count(), warm.count()) == (1, 0)
+    assert [x.count() for x in split_tail(one.where("id < 0"), 5)] == [0, 0]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quarry.sources.shared import shared_root
+
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    with pytest.raises(ValueError, match="share"):
+        shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     rows(spark, range(6)).write.parquet(f"{tmp_path}/in")
     c = Collection.create(spark, f"file://{tmp_path}/c", 4)

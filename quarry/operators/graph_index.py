@@ -126,8 +126,34 @@ class Graph:
             self.insert(i, self.params.level_of(i if keys is None else keys[i]))
         return self
 
-    def _between(self, c: int, chosen: list[int]) -> np.ndarray:
-        return self.distances(self.vectors[c], chosen)
+    def _select(self, near: list[tuple[float, int]], m: int) -> list[int]:
+        """select_neighbors() with the distances among all candidates at hand: those of a new choice to all others are
+        taken in one step."""
+        near = sorted(near)
+        if not self.params.heuristic or len(near) <= 1:
+            return [c for _, c in near[:m]]
+        ids = [c for _, c in near]
+        dist = [d for d, _ in near]
+        rows = self.vectors[ids]
+        self.computed += len(ids) * (len(ids) - 1) // 2
+        among = rows @ rows.T
+        if self.metric == "l2":
+            own = among.diagonal()
+            among = own[:, None] + own[None, :] - 2 * among
+        else:
+            among = 1 - among if self.metric == "cosine" else -among
+        closest = np.full(len(ids), np.inf)
+        chosen: list[int] = []
+        pruned: list[int] = []
+        for k, c in enumerate(ids):
+            if len(chosen) == m:
+                break
+            if closest[k] < dist[k]:
+                pruned.append(c)
+            else:
+                chosen.append(c)
+                np.minimum(closest, among[k], out=closest)
+        return chosen + pruned[: m - len(chosen)] if self.params.keep_pruned else chosen
 
     def insert(self, node: int, level: int) -> None:
         self.levels.append(level)
@@ -145,7 +171,7 @@ class Graph:
             start = self.search_layer(query, start, 1, layer)
         for layer in range(min(level, top), -1, -1):
             start = self.search_layer(query, start, self.params.ef_construction, layer)
-            chosen = select_neighbors(start, self.params.m, self._between, self.params.heuristic, self.params.keep_pruned)
+            chosen = self._select(start, self.params.m)
             links = self.layers[layer]
             links[node] = list(chosen)
             cap = self.params.max_degree(layer)
@@ -155,18 +181,19 @@ class Graph:
                 else:
                     some = [*links[c], node]
                     dist = self.distances(self.vectors[c], some)
-                    links[c] = select_neighbors(list(zip(dist.tolist(), some)), cap, self._between, self.params.heuristic, self.params.keep_pruned)
+                    links[c] = self._select(list(zip(dist.tolist(), some)), cap)
         if level > top:
             self.entry = node
 
-    def search_layer(self, query: np.ndarray, start: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
+    def search_layer(self, query: np.ndarray, start: list[tuple[float, int]], ef: int, layer: int, passing: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The ef nearest found by a beam from start, sorted.  It stops when the nearest candidate is strictly farther than
-        the worst result and the results are full."""
+        the worst result and the results are full.  With ``passing`` (by node) the beam walks over all nodes, but only those
+        that pass become results."""
         links = self.layers[layer]
         seen = {c for _, c in start}
         todo = list(start)
         heapq.heapify(todo)
-        best = [(-d, -c) for d, c in start]
+        best = [(-d, -c) for d, c in start if passing is None or passing[c]]
         heapq.heapify(best)
         while len(best) > ef:
             heapq.heappop(best)
@@ -179,23 +206,25 @@ class Graph:
                 continue
             seen.update(fresh)
             for d, x in zip(self.distances(query, fresh).tolist(), fresh):
+                if len(best) >= ef and (d, x) >= (-best[0][0], -best[0][1]):
+                    continue
+                heapq.heappush(todo, (d, x))
+                if passing is not None and not passing[x]:
+                    continue
                 if len(best) < ef:
                     heapq.heappush(best, (-d, -x))
-                elif (d, x) < (-best[0][0], -best[0][1]):
-                    heapq.heapreplace(best, (-d, -x))
                 else:
-                    continue
-                heapq.heappush(todo, (d, x))
+                    heapq.heapreplace(best, (-d, -x))
         return sorted((-d, -c) for d, c in best)
 
-    def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        """The k nearest found with a beam of max(ef, k); an empty graph or k = 0 gives nothing."""
+    def search(self, query: np.ndarray, k: int, ef: int, passing: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest found with a beam of max(ef, k), among those that pass; an empty graph or k = 0 gives nothing."""
         if self.entry is None or k <= 0:
             return []
         start = [(float(self.distances(query, [self.entry])[0]), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
             start = self.search_layer(query, start, 1, layer)
-        return self.search_layer(query, start, max(ef, k), 0)[:k]
+        return self.search_layer(query, start, max(ef, k), 0, passing)[:k]
 
     def edges(self) -> list[tuple[int, int, int, int]]:
         """(layer, source, position, target)."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,12 +17,13 @@ from quarry.operators.graph_index import Graph, GraphParams
 from quarry.operators.knn import matrix, query_blocks, top
 from quarry.types import MetricKind, VectorError
 
-#: Vectors of one shard: what one task builds a graph of.
-SHARD_ROWS = 100_000
+#: Vectors of one shard: what one task builds a graph of, at most; and at least, where there are more cores than shards.
+SHARD_ROWS, LEAST_ROWS = 4_096, 256
 
 
 def shard_count(base: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-    return max(1, -(-base.count() // shard_rows))
+    n = base.count()
+    return max(1, -(-n // shard_rows), min(base.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
 
 
 def _sharded(base: DataFrame, shards: int) -> DataFrame:
@@ -79,6 +81,8 @@ def build(base: DataFrame, params: GraphParams | None = None, metric: str | Metr
     return nodes, edges, meta
 
 
+#: What a shard finds: seconds and distances computed for the query in this shard, and the repeat.
+FOUND = "ef int, qid long, id long, dist float, computed long, seconds double, repeat int"
 _CELLS = {"a": pa.int64(), "layer": pa.int32(), "pos": pa.int32(), "b": pa.int64()}
 
 
@@ -137,31 +141,38 @@ def search_built(base: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame],
                 g = Graph.from_parts(x.astype(np.float64), params, kind.name.lower(), mine.column(3).to_pylist(), links, place.get(entry))
                 yield _answers(g, ids, x, qids, qx, k, ef, kind)
 
-        part = parts.mapInArrow(run, "ef int, qid long, id long, dist float, computed long")
+        part = parts.mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
     order = W.partitionBy("qid").orderBy("dist", "id")
     return top(found, order, k).select("qid", "rank", "id", "dist", "computed")
 
 
-def _answers(g: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, ef: int, kind: MetricKind) -> pa.RecordBatch:
+def _answers(g: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, ef: int, kind: MetricKind, passing: np.ndarray | None = None, repeat: int = 0) -> pa.RecordBatch:
     """What a beam finds for each query, with the reference kernel's distances."""
-    out: list[tuple[int, int, float, int]] = []
+    out: list[tuple] = []
     for qid, q in zip(qids.tolist(), qx):
-        before = g.computed
-        rows = [c for _, c in g.search(q.astype(np.float64), k, ef)]
+        before, began = g.computed, time.perf_counter()
+        rows = [c for _, c in g.search(q.astype(np.float64), k, ef, passing)]
+        seconds = time.perf_counter() - began
         dist = distances_np(x[rows], q, kind) if rows else []
-        out += [(qid, int(ids[c]), float(d), g.computed - before) for c, d in zip(rows, dist)]
-    return pa.RecordBatch.from_pydict({"ef": pa.array([ef] * len(out), pa.int32()), "qid": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "dist": pa.array([o[2] for o in out], pa.float32()), "computed": pa.array([o[3] for o in out], pa.int64())})
+        out += [(ef, qid, int(ids[c]), float(d), g.computed - before, seconds, repeat) for c, d in zip(rows, dist)]
+    return _found(out)
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"ef": pa.int32(), "qid": pa.int64(), "id": pa.int64(), "dist": pa.float32(), "computed": pa.int64(), "seconds": pa.float64(), "repeat": pa.int32()}
+    return pa.RecordBatch.from_pydict({n: pa.array([r[c] for r in rows], t) for c, (n, t) in enumerate(kinds.items())})
 
 
 def search(base: DataFrame, queries: DataFrame, k: int, ef: int, params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None) -> DataFrame:
     """(qid, rank, id, dist, computed): k nearest that beams of max(ef, k) find in all shards, with the reference kernel's
     distances; computed counts the distances computed for the query."""
-    return sweep(base, queries, k, [ef], params, metric, shards).drop("ef")
+    return sweep(base, queries, k, [ef], params, metric, shards).select("qid", "rank", "id", "dist", "computed")
 
 
-def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None) -> DataFrame:
-    """As search for several beams on the same graphs, with the beam as column ef."""
+def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None, repeats: int = 1, warmup: int = 0) -> DataFrame:
+    """As search for several beams on the same graphs, with the beam as column ef; and repeat, and seconds: what the query
+    took in the slowest shard.  Each beam first answers the first ``warmup`` queries without a record of them."""
     params, kind, spark = params or GraphParams(), MetricKind.parse(metric), base.sparkSession
     shards = shards or shard_count(base)
     found = None
@@ -175,11 +186,64 @@ def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: G
             for _, ids, x in _shards(batches, kind):
                 g = _graph(ids, x, params, kind)
                 for ef in efs:
-                    yield _answers(g, ids, x, qids, qx, k, ef, kind)
+                    for q in qx[:warmup]:
+                        g.search(q.astype(np.float64), k, ef)
+                    for r in range(repeats):
+                        yield _answers(g, ids, x, qids, qx, k, ef, kind, repeat=r)
 
-        part = _sharded(base, shards).mapInArrow(run, "ef int, qid long, id long, dist float, computed long")
+        part = _sharded(base, shards).mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], "ef int, qid long, rank int, id long, dist float, computed long")
-    order = W.partitionBy("ef", "qid").orderBy("dist", "id")
-    return top(found, order, k).select("ef", "qid", "rank", "id", "dist", "computed")
+        return spark.createDataFrame([], "ef int, qid long, rank int, id long, dist float, computed long, repeat int, seconds double")
+    one = W.partitionBy("ef", "repeat", "qid")  # at most k rows of each shard
+    return top(found.withColumn("seconds", F.max("seconds").over(one)), one.orderBy("dist", "id"), k).select("ef", "qid", "rank", "id", "dist", "computed", "repeat", "seconds")
+
+
+def filtered_search(base: DataFrame, queries: DataFrame, k: int, ef: int, passing: Column | str, mode: str = "in_filter", params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None) -> DataFrame:
+    """(qid, rank, id, dist, computed): as search, among the rows of base (id, vec, and whatever the filter names) that pass.
+
+    in_filter: beams walk over all nodes and collect those that pass.  post_filter: a beam widened by the share that passes
+    in the shard finds neighbours of any kind, and those that don't pass go; widened again, up to the whole shard, where
+    fewer than k are left."""
+    if mode not in ("in_filter", "post_filter"):
+        raise VectorError(f"mode must be in_filter or post_filter, not {mode!r}")
+    params, kind, spark = params or GraphParams(), MetricKind.parse(metric), base.sparkSession
+    shards = shards or shard_count(base)
+    condition = F.expr(passing) if isinstance(passing, str) else passing
+    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "vec", F.coalesce(condition, F.lit(False)).alias("ok"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    found = None
+    for qids, qx in query_blocks(queries):
+        held = spark.sparkContext.broadcast((qids, normalize_np(qx) if kind is MetricKind.COSINE else qx))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qids, qx = held.value
+            flags: dict[int, bool] = {}
+
+            def seen() -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    flags.update(zip(b.column(1).to_pylist(), b.column(3).to_pylist()))
+                    yield b.select([0, 1, 2])
+
+            for _, ids, x in _shards(seen(), kind):
+                g = _graph(ids, x, params, kind)
+                ok = np.array([flags.pop(i) for i in ids.tolist()], bool)
+                if mode == "in_filter":
+                    yield _answers(g, ids, x, qids, qx, k, ef, kind, ok)
+                    continue
+                for qid, q in zip(qids.tolist(), qx):
+                    before, beam = g.computed, min(len(ids), int(max(ef, k) / max(ok.mean(), 1 / len(ids))) + 1)
+                    while True:
+                        near = [c for _, c in g.search(q.astype(np.float64), beam, beam) if ok[c]][:k]
+                        if len(near) == k or beam >= len(ids):
+                            break
+                        beam = min(len(ids), 2 * beam)
+                    dist = distances_np(x[near], q, kind) if near else []
+                    yield _found([(ef, qid, int(ids[c]), float(d), g.computed - before, 0.0, 0) for c, d in zip(near, dist)])
+
+        part = rows.mapInArrow(run, FOUND)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "qid long, rank int, id long, dist float, computed long")
+    order = W.partitionBy("qid").orderBy("dist", "id")
+    return top(found, order, k).select("qid", "rank", "id", "dist", "computed")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.graph_index import GraphParams
+from quarry.operators.hnsw import filtered_search
 from quarry.operators.knn import distances_to, knn, top
 from quarry.types import VectorError
 
@@ -30,6 +32,33 @@ def widened_beam(ef: int, tombstoned: float) -> int:
     return int(whole) + (whole > int(whole))
 
 
+#: Share of dead rows past which graphs are built anew without them.
+REBUILD_SHARE = 0.2
+
+
+def approximate_filtered(base: DataFrame, queries: DataFrame, k: int, ef: int, predicate: Column | str, tombstones: DataFrame | None = None, metric: str = "l2", params: GraphParams | None = None, shards: int | None = None) -> DataFrame:
+    """(qid, rank, id, dist) among the live rows of base (id, vec, ...) that pass, by the strategy for the share that passes.
+
+    Tombstones (id) of up to REBUILD_SHARE of the rows stay in the graphs, as nodes to walk over that are no results, under
+    a beam widened for them; of more, the graphs are built without them."""
+    rows = base
+    dead = 0.0
+    if tombstones is not None:
+        rows = base.join(tombstones.select("id", F.lit(True).alias("__dead")).distinct(), "id", "left")
+        n = rows.agg(F.avg(F.col("__dead").isNotNull().cast("double")).alias("dead")).first()["dead"] or 0.0
+        if n > REBUILD_SHARE:
+            rows = rows.where("__dead is null")
+        else:
+            dead = n
+    condition = F.coalesce(F.expr(predicate) if isinstance(predicate, str) else predicate, F.lit(False))
+    passing = condition & F.col("__dead").isNull() if tombstones is not None else condition
+    share = rows.agg(F.avg(passing.cast("double")).alias("s")).first()["s"] or 0.0
+    mode = strategy(share)
+    if mode == "brute_force":
+        return filtered_knn(rows, queries, k, passing, metric)
+    return filtered_search(rows, queries, k, widened_beam(max(ef, k), dead), passing, mode, params, metric, shards).drop("computed")
+
+
 def live(base: DataFrame, tombstones: DataFrame) -> DataFrame:
     return base.join(tombstones.select("id"), "id", "left_anti")
 

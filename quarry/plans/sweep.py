@@ -40,6 +40,26 @@ def recall_sweep(base: DataFrame, queries: DataFrame, k: int = 10, efs: tuple[in
     return out
 
 
+def bench(base: DataFrame, queries: DataFrame, k: int = 10, efs: tuple[int, ...] = EF, metric: str = "l2", params: GraphParams | None = None, shards: int = 1, repeats: int = 3, warmup: int = 10) -> DataFrame:
+    """One row a beam: ef, recall, computed (distances a query), qps, p50, p95, p99 (seconds a query, nearest rank), of the
+    repeat with the upper median qps; spread of the repeats' qps; same_recall, whether all repeats found the same.
+
+    Queries a second are those of one searcher: queries over the sum of their seconds.  Warm-up queries don't count."""
+    exact = knn(base, queries, k, metric).checkpoint()
+    found = sweep(base, queries, k, list(efs), params, metric, shards, repeats, warmup).checkpoint()
+    hits = found.join(exact.where(F.col("rank") < k).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").groupBy("ef", "repeat", "qid")
+    per = hits.agg(F.max("seconds").alias("seconds"), F.sum("computed").alias("c"), F.count("rank").alias("n"), F.count("hit").alias("hits"))
+    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by seconds)")  # noqa: E731  of the queries of a run
+    runs = per.groupBy("ef", "repeat").agg(
+        (F.sum("hits") / (F.count(F.lit(1)) * k)).alias("recall"), F.avg(F.col("c") / F.col("n")).alias("computed"), (F.count(F.lit(1)) / F.sum("seconds")).alias("qps"),
+        rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"),
+    )
+    listed = runs.groupBy("ef").agg(F.array_sort(F.collect_list(F.struct("qps", "recall", "computed", "p50", "p95", "p99"))).alias("r"), F.count_distinct("recall").alias("kinds"))  # a few repeats
+    median = F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int"))
+    spread = (F.element_at("r", -1)["qps"] - F.element_at("r", 1)["qps"]) / median["qps"]
+    return listed.select("ef", median.alias("m"), spread.alias("spread"), (F.col("kinds") == 1).alias("same_recall")).select("ef", "m.recall", "m.computed", "m.qps", "m.p50", "m.p95", "m.p99", "spread", "same_recall")
+
+
 def timed(run, repeats: int = 1) -> list[float]:
     """Seconds of each repeat of an action."""
     out = []

@@ -12,7 +12,7 @@ from quarry.functions.kernels import level_of, normalize
 from quarry.functions.validate import violations as vector_violations
 from quarry.operators import graph, truth, variants
 from quarry.operators.graph_index import GraphParams
-from quarry.operators.hnsw import build, search, sweep
+from quarry.operators.hnsw import build, filtered_search, search, sweep
 from quarry.operators.knn import distances_to, knn, nearest
 from quarry.operators.selection import candidate_lists, select_neighbors
 from quarry.sources import tables
@@ -474,6 +474,50 @@ def hnsw_search_exhaustive(spark, d):
     return search(base, _asked(base), K, max(1, base.count()), GraphParams(m=16, ef_construction=100), shards=1).drop("computed")
 
 
+@query("SELECT vec_id AS qid, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def hnsw_recall_floor(spark, d):
+    """Whether a beam of 64 finds at least 8 of the 10 exact neighbours of each query."""
+    base = _base(spark, d)
+    ours = search(base, _asked(base), K, 64, GraphParams(m=16, ef_construction=100))
+    exact = knn(base, _asked(base), K).select("qid", "id")
+    return ours.join(exact, ["qid", "id"], "left_semi").groupBy("qid").agg((F.count(F.lit(1)) >= 8).alias("enough"))
+
+
+@query("SELECT CAST(unnest([10, 40, 160]) AS INTEGER) AS ef, TRUE AS sound")
+def sweep_report(spark, d):
+    """Throughput, percentiles and repeats of a sweep, held against what must be true of them."""
+    from quarry.plans.sweep import bench
+
+    checkpoints(spark)
+    base = _base(spark, d)
+    rows = bench(base, _asked(base), K, (10, 40, 160), params=GraphParams(m=16, ef_construction=100), shards=8)
+    return rows.select("ef", (F.col("same_recall") & (F.col("recall") >= 0.7) & (F.col("qps") > 0) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99")) & (F.col("spread") >= 0)).alias("sound"))
+
+
+@query(f"WITH {_knn(_L2, base='(SELECT u.* FROM u JOIN embeddings e ON e.vec_id = u.id WHERE e.label < 4)')} SELECT mode, r.* FROM ({_ROWS}) r, (SELECT unnest(['in_filter', 'post_filter']) AS mode)")
+def filtered_search_exhaustive(spark, d):
+    """Both filtered searches, with a beam as wide as the base."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    labelled = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    asked, n = _asked(tables.vectors(rows)), max(1, rows.count())
+    out = None
+    for mode in ("in_filter", "post_filter"):
+        found = filtered_search(labelled, asked, K, n, "label < 4", mode, GraphParams(m=16, ef_construction=100), shards=2).drop("computed").select(F.lit(mode).alias("mode"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT vec_id AS qid, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def filtered_search_with_tombstones(spark, d):
+    """Whether a filtered beam over graphs with dead rows finds at least 8 of the 10 exact live neighbours that pass."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    labelled = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    asked, dead = _asked(tables.vectors(rows)), labelled.where("id % 10 = 1").select("id")
+    ours = variants.approximate_filtered(labelled, asked, K, 64, "label < 5", dead, params=GraphParams(m=16, ef_construction=100))
+    exact = variants.filtered_knn(variants.live(labelled, dead), asked, K, "label < 5").select("qid", "id")
+    return ours.join(exact, ["qid", "id"], "left_semi").groupBy("qid").agg((F.count(F.lit(1)) >= 8).alias("enough"))
+
+
 @query()
 def hnsw_search(spark, d):
     base = _base(spark, d)

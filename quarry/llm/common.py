@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import new_path
+
 #: Rows in one Arrow batch handed to Python.  Bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
 
@@ -31,12 +31,8 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return new_path(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -366,11 +366,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     placed = materialize(roots.join(reps.select(F.col("key").alias("node"), "rep", "size"), "node").select("root", F.col("rep").alias("id"), "size", F.col("node").alias("key")))
     wanted = materialize(tiled(placed, "root", num, den).select("tile", "id", "key"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    if wanted.count() <= BROADCAST_ROWS:
-        members = rows.join(F.broadcast(wanted), "id")
-    else:
-        members = likely_in(rows, "id", wanted).join(wanted, "id")
-    members = members.select("tile", "id", "t", "key")
+    members = likely_in(rows, "id", wanted).join(wanted, "id").select("tile", "id", "t", "key")
     links = materialize(_verify(members, n, num, den))
     # copies of a set, and what the links unite; ids that repeat bring their sets together
     same = named.join(reps.where("copies > 1").select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))

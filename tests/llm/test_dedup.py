@@ -247,7 +247,10 @@ def vectors(spark, n=400):
     return rows, spark.createDataFrame([(*x, "c", 1) for x in rows], "vec_id long, embedding array<float>, label int, id string, a int")
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("lot", [8, 1])
+def test_embeddings_against_all_pairs(spark, monkeypatch, lot):
+    monkeypatch.setattr(embedding_dedup, "LOT_BLOCKS", lot)
+    monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", 32)
     rows, df = vectors(spark)
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df.repartition(3), shard_rows=64).collect()}
     assert embedding_dedup.near_duplicates(df, shard_rows=64).count() == len(rows)
@@ -270,6 +273,7 @@ def test_embeddings_against_all_pairs(spark):
                     p, q = find(a), find(b)
                     up[max(p, q)] = min(p, q)
     assert {i: got[i]["n_links"] for i in good} == links
+    assert all(got[i]["recall"] >= 0.99 and got[i]["beam"] > 0 for i in good) and got[5000]["recall"] is None
     assert {i: got[i]["component_id"] for i in good} == {i: find(i) for i in good}
     for bad in (5000, 5001, 5002, 5003, 5004, 5006):
         assert (got[bad]["n_links"], got[bad]["component_id"], got[bad]["kept"]) == (0, bad, True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BASE, BASE_INV, discard, likely_in, map_batches, materialize, mix64, powers, table, utf8, words_of
+from quarry.llm.common import BASE, BASE_INV, discard, likely_in, map_batches, materialize, mix64, powers, table, tidy, utf8, words_of
 from quarry.llm.jaccard_join import by_group
 
 SPAN, GRAM = 400, 40
@@ -440,6 +440,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str =
     discard(parsed)
     texts = rows.where(F.col("size") >= _least(span, words))
     merged = materialize(_merge(_contexts(texts, entries.where("not done and not wide"), span, words), span, words))
+    tidy(docs.sparkSession)
     used = [entries, merged]
     runs = entries.where("done").select("key", "lo", "hi").unionByName(merged)
     wide = entries.where("not done and wide")
@@ -448,6 +449,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col: str =
         runs = runs.unionByName(used[-1])
     partial = materialize(runs.join(copies.where("copies > 1").select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
     used.append(partial)
+    tidy(docs.sparkSession)
     cut = materialize(_cut(likely_in(texts, "key", partial.select("key")).join(partial, "key").select("key", "t", "runs"), span, words))
     discard(*used)
     return copies, cut

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -46,18 +49,39 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what materialize() wrote for these frames."""
+    """Delete what materialize() wrote for these frames, and have Spark delete shuffle files that nothing refers to."""
     for df in frames:
         path = getattr(df, "_quarry_path", None)
         if path:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if frames:
+        tidy(frames[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark's cleaner deletes shuffle files once the driver's collector finds that nothing refers to them; a long job of
+    many steps would else keep those of every step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _release() -> None:
+    """Give back what a worker that lives on has freed."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def crc32_text(ids: DataFrame | object) -> object:

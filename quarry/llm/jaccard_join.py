@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Forest, components, discard, likely_in, map_batches, materialize, mix64, ngram_hashes, partitions, table, unite, utf8, words_of
+from quarry.llm.common import Forest, components, discard, likely_in, map_batches, materialize, mix64, ngram_hashes, partitions, table, tidy, unite, utf8, words_of
 
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Frequent tokens that come last in the order: at most so many, the most frequent ones.  Any order gives all links.
@@ -362,6 +362,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     spread = _postings(docs.where(F.col(id_col).isNotNull()), text_col, n, num, den, hot, buckets)
     groups = materialize(_groups(spread, buckets, num, den).distinct())
     likely = materialize(_unite(groups, maps, num, den))
+    tidy(spark)
     roots = components(likely)
     placed = materialize(roots.join(reps.select(F.col("key").alias("node"), "rep", "size"), "node").select("root", F.col("rep").alias("id"), "size", F.col("node").alias("key")))
     wanted = materialize(tiled(placed, "root", num, den).select("tile", "id", "key"))
@@ -370,6 +371,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, n: int =
     links = materialize(_verify(members, n, num, den))
     # copies of a set, and what the links unite; ids that repeat bring their sets together
     same = named.join(reps.where("copies > 1").select("key", "rep"), "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    tidy(spark)
     whole = components(links.unionByName(same))
     sizes = nodes.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"))
     out = sizes.join(whole.select(F.col("node").alias(id_col), "root"), id_col, "left")

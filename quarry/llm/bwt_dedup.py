@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BASE, BASE_INV, discard, likely_in, map_batches, materialize, mix64, powers, table, tidy, utf8, words_of
+from quarry.llm.common import BASE, BASE_INV, discard, likely_in, likely_split, map_batches, materialize, mix64, powers, table, tidy, utf8, words_of
 from quarry.llm.jaccard_join import by_group
 
 SPAN, GRAM = 400, 40
@@ -471,7 +471,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col
     text = _text(text_col)
     rows = docs.withColumn("__key", F.xxhash64(text)).withColumn("__n_bytes", F.octet_length(text).cast("long"))
     part = cut.select(F.col("key").alias("__key"), "removed", "spans", "rest", "sha")
-    out = rows.join(_whole(copies, span, words).withColumnsRenamed({"key": "__key", "all": "__whole"}), "__key", "left").join(part, "__key", "left")
+    whole = _whole(copies, span, words).withColumnsRenamed({"key": "__key", "all": "__whole"})
+    # most texts lose nothing: they aren't shuffled
+    some, others = likely_split(rows, "__key", part.select("__key").unionByName(whole.select("__key")))
+    out = some.join(whole, "__key", "left").join(part, "__key", "left")
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     full = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("__n_bytes").alias("end")))
     everything = F.col("__whole").isNotNull()
@@ -484,7 +487,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, text_col
         "__sha": F.when(everything, F.sha2(F.lit(""), 256)).when(F.col("sha").isNotNull(), F.col("sha")).otherwise(F.sha2(text, 256)),
     }
     keep = [c for c in docs.columns if c != text_col]
-    return out.select(*keep, "__n_bytes", *[v.alias(k) for k, v in named.items()]).select(*docs.columns, "__n_bytes", "__n_removed", "__spans", "__sha")
+    same = {text_col: F.col(text_col), "__n_removed": F.lit(0).cast("long"), "__spans": empty, "__sha": F.sha2(text, 256)}
+    out = out.select(*keep, "__n_bytes", *[v.alias(k) for k, v in named.items()]).unionByName(others.select(*keep, "__n_bytes", *[v.alias(k) for k, v in same.items()]))
+    return out.select(*docs.columns, "__n_bytes", "__n_removed", "__spans", "__sha")
 
 
 def op3_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,16 +261,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def likely_in(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """The rows whose key may be among wanted's (same column name): a semi-join by a hashed bitmap, before a real join.
+def likely_split(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among wanted's, rows whose key is not): by a hashed bitmap, so that the second needn't be joined.
 
-    The broadcast bitmap has at most ``bits`` bits (4 MB), however many keys there are; when it fills, more rows pass."""
+    The broadcast bitmap has at most ``bits`` bits (4 MB), however many keys there are; when it fills, more rows are in the
+    first.  Null keys are in the second."""
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     part, pos = F.floor(place / 32768).cast("int"), F.pmod(place, F.lit(32768)).cast("int")
-    maps = wanted.select(part.alias("__part"), pos.cast("long").alias("__pos")).groupBy("__part").agg(F.bitmap_construct_agg("__pos").alias("__map"))
+    maps = wanted.where(F.col(key).isNotNull()).select(part.alias("__part"), pos.cast("long").alias("__pos")).groupBy("__part").agg(F.bitmap_construct_agg("__pos").alias("__map"))
     byte = F.conv(F.hex(F.expr("substring(__map, __pos div 8 + 1, 1)")), 16, 10).cast("int")
-    marked = rows.withColumn("__part", part).withColumn("__pos", pos).join(F.broadcast(maps), "__part")
-    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1, __pos % 8)")) != 0).select(*rows.columns)
+    marked = rows.withColumn("__part", part).withColumn("__pos", pos).join(F.broadcast(maps), "__part", "left")
+    likely = F.coalesce((byte.bitwiseAND(F.expr("shiftleft(1, __pos % 8)")) != 0) & F.col(key).isNotNull(), F.lit(False))
+    return marked.where(likely).select(*rows.columns), marked.where(~likely).select(*rows.columns)
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose key may be among wanted's (same column name): a semi-join by a hashed bitmap, before a real join."""
+    return likely_split(rows, key, wanted, bits)[0]
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

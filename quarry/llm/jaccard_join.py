@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Forest, components, discard, likely_in, map_batches, materialize, mix64, ngram_hashes, partitions, table, tidy, unite, utf8, words_of
+from quarry.llm.common import Forest, components, discard, likely_in, likely_split, map_batches, materialize, mix64, ngram_hashes, partitions, table, tidy, unite, utf8, words_of
 
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Frequent tokens that come last in the order: at most so many, the most frequent ones.  Any order gives all links.
@@ -391,7 +391,8 @@ def keep_one(docs: DataFrame, num: int = NUM, den: int = DEN, n: int = SHINGLE,
     id or without a word all stay."""
     found = jaccard_components(docs, num, den, n, id_col, text_col)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    some, others = likely_split(docs, id_col, gone)  # most texts stay: they aren't shuffled
+    kept = some.join(gone, id_col, "left_anti").select(*docs.columns).unionByName(others)
     if _repeats(found.select(F.col(id_col).alias("id"))):
         whole = F.struct(*docs.columns)
         one = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("__row"))

@@ -178,6 +178,10 @@ class TrieBPE:
             row = [self.added[p[1:]]] if p[0] == "\0" else ids[plain[p]]
             self.memo[p] = (len(row), " ".join(map(str, row)), " ".join([self.name[i] for i in row]))
 
+    def forget(self) -> None:
+        """Give up the caches: workers outlive a stage, and the next one needs their memory."""
+        self.memo, self.old, self.beside = {}, {}, {}
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
         self.learn({p for words in split for p in words})
@@ -216,6 +220,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_pydict({id_col: part.column(0), "token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), "decoded": pa.array(names, pa.string())})
+        bpe.forget()
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
     return map_batches(rows, run, f"{rows.schema[0].simpleString().replace(':', ' ')}, token_ids array<int>, decoded string")

@@ -24,7 +24,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones, rejects go.
 
-    Labelled rows come from the documents at hand, so the stage stands on its own input."""
+    Labelled rows come from the documents at hand, so the stage stands on its own input.  Null texts are scored as empty;
+    repeated rows are judged alike; where nothing could be learned, all stay."""
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -45,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that tile a benchmark item go."""
+    """Documents that tile a benchmark item go.  Null and empty texts tile nothing and stay; repeated rows are judged alike."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

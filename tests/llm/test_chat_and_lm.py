@@ -114,3 +114,78 @@ def test_frequent_words_are_exact_whatever_the_batches(spark):
 
     thrice = class_lm.tokens_of(pa.array([" ".join(f"w{k}" for k in range(1, 4000, 2))]))[0]
     assert np.isin(one, thrice).all()
+
+
+def brute_scores(rows, n_core):
+    """The model by dictionaries, one token at a time: {doc_id: score}."""
+    import pyarrow as pa
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % class_lm.FOLDS == class_lm.HELD_OUT
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in rows}
+    train = [words[i] for i in words if not fold(i)]
+    count = Counter(w for ws in train for w in ws)
+    number = {w: int(class_lm.tokens_of(pa.array([w]))[0][0]) for ws in words.values() for w in ws if w}
+    ranked = sorted((w for w in count if w), key=lambda w: (-count[w], np.uint64(number[w]).astype(np.int64)))
+    core = sorted(ranked[:n_core], key=number.__getitem__)
+    last = len(core) + class_lm.TYPES
+
+    def symbol(w):
+        if w is None:
+            return last
+        b = w.encode()
+        return core.index(w) if w in core else len(core) + (b[-1] * 257 + (b[-2] if len(b) > 1 else 0) * 31) % class_lm.TYPES
+
+    pairs = np.zeros((last + 1, last + 1))
+    for ws in train:
+        for a, b in zip([None, *ws], ws):
+            pairs[symbol(a), symbol(b)] += 1
+    cls = exchange(pairs)
+    k = cls[-1] + 1
+    old = {w: int(cls[symbol(w)]) for ws in words.values() for w in ws}
+    n = np.zeros((k, k))
+    for ws in train:
+        for a, b in zip([None, *ws], ws):
+            n[old[a], old[b]] += 1
+    mutual = lambda a, b: math.log((n[a, b] + 0.1) * (n + 0.1).sum() / ((n[a] + 0.1).sum() * (n[:, b] + 0.1).sum()))
+    new = dict(old)
+    for w in ranked[n_core:]:
+        gain = np.zeros(k - 1)
+        gain[old[w]] = class_lm.PRIOR
+        for ws in train:
+            for p, v in enumerate(ws):
+                if v == w:
+                    gain += [mutual(old[ws[p - 1] if p else None], c) + mutual(c, old[ws[p + 1]]) for c in range(k - 1)]
+        new[w] = int(np.argmax(gain))
+    moves, tokens, ones = np.full((k, k), 0.1), np.zeros(k), np.zeros(k)
+    for ws in train:
+        for a, b in zip([None, *ws], ws):
+            moves[new[a], new[b]] += 1
+    for w, c in count.items():
+        tokens[new[w]] += c
+        ones[new[w]] += c == 1
+    unseen = np.clip((ones + 0.5) / (tokens + 1), 1e-9, 0.5)
+    unseen[-1] = 1e-9
+    bottom = tokens.sum() + 0.5 * (len(count) + 1)
+    out = {}
+    for i, ws in words.items():
+        total = 0.0
+        for a, b in zip([None, *ws], ws):
+            c, m = new[b], count[b]
+            emit = m * (1 - unseen[c]) / tokens[c] if m else unseen[c]
+            total += math.log10(class_lm.LAMBDA * moves[new[a], c] / moves[new[a]].sum() * emit + (1 - class_lm.LAMBDA) * (m + 0.5) / bottom / (1 if m else k))
+        out[i] = total
+    return out, sum(new[w] != old[w] for w in new)
+
+
+def test_scores_against_a_model_by_dictionaries(spark, monkeypatch):
+    """Words without a symbol of their own get classes by their contexts; blocks and buckets of any size give the same."""
+    monkeypatch.setattr(class_lm, "WORDS", 12)
+    rows = [(i, prose(i, 30) + f" rare{i % 7} ZZ{i}") for i in range(60)] + [(100, None), (101, ""), (102, "ba"), (103, prose(3, 30) + " rare3 zz3")]
+    expected, moved = brute_scores(rows, 12)
+    assert moved > 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, bucket in ((class_lm.BLOCK_BYTES, class_lm.BUCKET), (3000, 40)):
+        monkeypatch.setattr(class_lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(class_lm, "BUCKET", bucket)
+        got = {r["doc_id"]: r["score"] for r in score_texts(docs).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-6 for i in got)

@@ -369,6 +369,22 @@ def test_tiling_against_all_runs(spark):
     assert text[spans[0]["spans"][0]["start"] : spans[0]["spans"][-1]["end"]].decode().lower() == prose(70, 40)
 
 
+def test_tiles_of_texts_that_repeat_themselves(spark):
+    """The search for each longest match gives the tiles of the seed list, and keeps to the length of the texts."""
+    r = np.random.default_rng(3)
+    for k in range(200):
+        item, doc = (r.integers(1, 2 + k % 4, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in r.integers(1, 60, 2))
+        width = min(len(item), 3)
+        seeds = [(i, d) for i in range(len(item) - width + 1) for d in range(len(doc) - width + 1) if np.array_equal(item[i : i + width], doc[d : d + width])]
+        assert string_tiling.tiles_by_search(item, doc, width) == string_tiling.tiles_of(item, doc, seeds, width)
+    phrase = "one phrase that is said over and over "
+    docs = spark.createDataFrame([(1, phrase * 3000), (2, prose(8)), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", phrase * 400), ("b", prose(9)), (None, phrase)], "item_id string, text string")
+    got = {(x["doc_id"], x["item_id"], x["n_covered"]) for x in string_tiling.find_leaks(docs, items).collect()}
+    assert got == {(1, "a", 3200), (1, None, 8)}
+    assert [x["doc_id"] for x in string_tiling.decontaminate(docs, items).collect()] == [2, 3]
+
+
 def test_tiling_in_blocks_and_empty_tables(spark, monkeypatch):
     docs = awkward(spark, leak_docs())
     bench = spark.createDataFrame(BENCH, "item_id long, text string")

@@ -1,12 +1,14 @@
 import itertools
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from helpers import awkward, empty, prose
 
 from quarry.llm import string_kernel as sk
-from quarry.llm.gam_quality import FEATURES, fit_additive, fit_quality, keep_good, score_quality, text_features
+from quarry.llm.gam_quality import FEATURES, fit_additive, fit_quality, keep_good, op9_gam_quality, score_quality, text_features
 from quarry.llm.training import held_out
 
 
@@ -175,6 +177,52 @@ def test_features_of_odd_texts():
     assert text_features(pa.array([], pa.string())).shape == (0, len(FEATURES))
 
 
+def plain_features(text):
+    """The features of one text, word by word."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(FEATURES)
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    words = [m[0].lower() for m in found]
+    lines = [tuple(w for _, w in g) for _, g in itertools.groupby(zip((raw[: m.start()].count(b"\n") for m in found), words), key=lambda x: x[0])]
+    is_letter = lambda c: chr(c).isalpha() and c < 128 or c >= 128
+    is_symbol = lambda c: 32 < c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-!|"
+    of = lambda kind: sum(map(kind, raw))
+    n, size, per = len(words), len(raw), lambda a, b: a / max(b, 1)
+    space = of(lambda c: c == 32 or 9 <= c <= 13)
+    share = lambda kind: per(sum(1 for m in found if kind(m[0])), n)
+    return [
+        math.log2(n + 1), math.log2(size + 1), per(size - space, n), per(of(lambda c: 65 <= c <= 90), of(is_letter)), per(of(lambda c: 48 <= c <= 57), size),
+        per(raw.count(b"!"), n), per(of(lambda c: chr(c) in ".,;:?'\"()-"), n), per(of(is_symbol), n), per(raw.count(b"|"), n), per(of(lambda c: c >= 128), size),
+        per(space, size), math.log2(len(lines) + 1), per(n, len(lines)), per(sum(a == b for a, b in zip(words, words[1:])), n), per(len(set(words)), n),
+        per(max(Counter(words).values(), default=0), n), per(len(set(zip(words, words[1:]))), n - 1), per(len(set(lines)), len(lines)),
+        share(lambda w: is_symbol(w[-1])), share(lambda w: not any(map(is_letter, w))), share(lambda w: len(w) > 15), share(lambda w: len(w) <= 2),
+        share(lambda w: 65 <= w[0] <= 90), share(lambda w: chr(w[-1]) in ".?!"),
+    ]
+
+
+def test_quality_query_against_a_plain_reading(spark, tmp_path):
+    """Every row of the query equals features read word by word and tables looked up one at a time."""
+    docs, labels = labelled(spark)
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(960, "A a, B!\n\nA a, B!\nSHOUT || <> é≠ 12\t" + prose(2, 9000)), (961, "\n \n")], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = fit_quality(docs, labels)
+    assert model.tables
+
+    def score(text):
+        x = plain_features(text)
+        place = lambda cuts, j: sum(c <= x[j] for c in cuts)
+        total = model.intercept + sum(values[place(cuts, j)] for j, (cuts, values) in enumerate(zip(model.cuts, model.tables)))
+        total += sum(values[place(model.pair_cuts[a], a), place(model.pair_cuts[b], b)] for a, b, values in model.pairs)
+        return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+    want = sorted((r["doc_id"], score(r["text"])) for r in docs.collect())
+    got = sorted((r["doc_id"], r["score"], r["predicted"]) for r in op9_gam_quality(spark, str(tmp_path)).collect())
+    assert [k for k, _, _ in got] == [k for k, _ in want]
+    assert np.allclose([v for _, v, _ in got], [v for _, v in want], atol=1e-9) and all(p == (v >= 0.7) for _, v, p in got)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))

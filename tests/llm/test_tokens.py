@@ -84,6 +84,8 @@ def test_encode_tables(spark):
 
     digests = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"]) for r in encode_digests(docs, WORD).collect())
     assert digests == sorted((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in want)
+    decoded = {i: hashlib.sha256(bpe.library.decode(x, skip_special_tokens=False).encode()).hexdigest() for i, x in want}
+    assert all(r["decoded_sha256"] == decoded[str(r["doc_id"])] for r in encode_digests(docs, WORD).collect())
     assert encode_digests(empty(spark), WORD).count() == 0
 
 

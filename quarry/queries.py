@@ -524,6 +524,19 @@ def hnsw_search(spark, d):
     return search(base, _asked(base), K, 64, GraphParams(m=16, ef_construction=100))
 
 
+@query("SELECT vec_id AS qid, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def hnsw_search_recall(spark, d):
+    """Whether the search finds at least 8 of the 10 exact neighbours of each query."""
+    exact = _neighbours(spark, d).select("qid", "id")
+    return hnsw_search(spark, d).join(exact, ["qid", "id"], "left_semi").groupBy("qid").agg((F.count(F.lit(1)) >= 8).alias("enough"))
+
+
+@query("SELECT CAST(unnest([10, 40, 160]) AS INTEGER) AS ef, TRUE AS enough")
+def hnsw_sweep_recall(spark, d):
+    """Whether each beam of the sweep reaches its floor of recall."""
+    return hnsw_sweep(spark, d).select(F.col("ef").cast("int").alias("ef"), (F.col("recall") >= F.when(F.col("ef") < 40, 0.7).otherwise(0.9)).alias("enough"))
+
+
 @query()
 def hnsw_sweep(spark, d):
     from quarry.plans.sweep import recall_sweep

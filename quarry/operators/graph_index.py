@@ -6,6 +6,7 @@ the graph, so a graph is built by one task from one block; a larger collection h
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import math
@@ -82,6 +83,7 @@ class Graph:
     layers: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int | None = None
     computed: int = 0
+    _reached: dict[int, np.ndarray] = field(default_factory=dict, repr=False)  # see whole()
 
     @classmethod
     def from_parts(cls, vectors: np.ndarray, params: GraphParams, metric: str, levels: list[int], edges: list[tuple[int, int, int, int]], entry: int | None) -> Graph:
@@ -157,6 +159,7 @@ class Graph:
 
     def insert(self, node: int, level: int) -> None:
         self.levels.append(level)
+        self._reached.clear()
         top = len(self.layers) - 1
         while len(self.layers) <= level:
             self.layers.append({})
@@ -217,14 +220,54 @@ class Graph:
                     heapq.heapreplace(best, (-d, -x))
         return sorted((-d, -c) for d, c in best)
 
-    def search(self, query: np.ndarray, k: int, ef: int, passing: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k nearest found with a beam of max(ef, k), among those that pass; an empty graph or k = 0 gives nothing."""
+    def search(self, query: np.ndarray, k: int, ef: int, passing: np.ndarray | None = None, slack: float = 0.0) -> list[tuple[float, int]]:
+        """The k nearest found with a beam of max(ef, k), among those that pass; an empty graph or k = 0 gives nothing.
+        What the beam holds at most ``slack`` farther than the last of them is added, for callers that round."""
         if self.entry is None or k <= 0:
             return []
         start = [(float(self.distances(query, [self.entry])[0]), self.entry)]
         for layer in range(len(self.layers) - 1, 0, -1):
             start = self.search_layer(query, start, 1, layer)
-        return self.search_layer(query, start, max(ef, k), 0, passing)[:k]
+        if max(ef, k) >= len(self.layers[0]):
+            return self.whole(query, start[0], k, passing, slack)
+        found = self.search_layer(query, start, max(ef, k), 0, passing)
+        return found[: bisect.bisect_right(found, (found[k - 1][0] + slack, len(self.layers[0])))] if slack and len(found) > k else found[:k]
+
+    def whole(self, query: np.ndarray, start: tuple[float, int], k: int, passing: np.ndarray | None = None, slack: float = 0.0) -> list[tuple[float, int]]:
+        """As search_layer on layer 0 with a beam as wide as the graph, cut as search cuts.  Such a beam never stops early, so
+        it walks to whatever edges lead to, in any order; where they lead no further it starts again at the first node left."""
+        nodes = self._walk(start[1])
+        if passing is not None:
+            nodes = nodes[passing[nodes]]
+        dist = self.distances(query, nodes)
+        self.computed += len(self.layers[0]) - 1 - len(nodes)  # the walk is on all nodes, the start's distance is known
+        if 0 < k < len(nodes):
+            some = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1] + slack)
+            nodes, dist = nodes[some], dist[some]
+        order = np.lexsort((nodes, dist))
+        found = list(zip(dist[order].tolist(), nodes[order].tolist()))
+        return found if slack else found[:k]
+
+    def _walk(self, start: int) -> np.ndarray:
+        """All nodes of layer 0 in the order of a walk along its edges from start."""
+        if start not in self._reached:
+            n = len(self.layers[0])
+            if -1 not in self._reached:
+                links = np.full((n, max(1, max(map(len, self.layers[0].values()), default=1))), -1, np.int64)
+                for node, row in self.layers[0].items():
+                    links[node, : len(row)] = row
+                self._reached[-1] = links
+            links, seen, steps, fresh = self._reached[-1], np.zeros(n + 1, bool), [], np.array([start])
+            seen[n] = True  # where -1 points
+            while len(fresh):
+                seen[fresh] = True
+                steps.append(fresh)
+                ahead = links[fresh].ravel()
+                fresh = np.unique(ahead[~seen[ahead]])
+                if not len(fresh):
+                    fresh = np.flatnonzero(~seen)[:1]
+            self._reached[start] = np.concatenate(steps)
+        return self._reached[start]
 
     def edges(self) -> list[tuple[int, int, int, int]]:
         """(layer, source, position, target)."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kernels import distances_np, normalize_np
 from quarry.operators.graph_index import Graph, GraphParams
-from quarry.operators.knn import matrix, query_blocks, top
+from quarry.operators.knn import best_of, matrix, query_blocks, top
 from quarry.types import MetricKind, VectorError
 
 #: Vectors of one shard: what one task builds a graph of, at most; and at least, where there are more cores than shards.
@@ -26,9 +26,15 @@ def shard_count(base: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
     return max(1, -(-n // shard_rows), min(base.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
 
 
-def _sharded(base: DataFrame, shards: int) -> DataFrame:
-    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "vec")
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "id")
+def bounded(base: DataFrame, shards: int | None) -> int:
+    """The shards asked for, or more where a graph would have over SHARD_ROWS vectors."""
+    return max(shards, -(-base.count() // SHARD_ROWS)) if shards else shard_count(base)
+
+
+def _sharded(base: DataFrame, shards: int, *more: Column) -> DataFrame:
+    """Rows by shard and id, a partition a shard."""
+    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "vec", *more)
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id")
 
 
 def _shards(batches: Iterator[pa.RecordBatch], kind: MetricKind) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -139,7 +145,7 @@ def search_built(base: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame],
                 place = {int(v): p for p, v in enumerate(ids)}
                 links = [(la, place.get(a, -1), p, place.get(b, -1)) for a, b, la, p in zip(*(other.column(c).to_pylist() for c in (2, 3, 4, 5)))]
                 g = Graph.from_parts(x.astype(np.float64), params, kind.name.lower(), mine.column(3).to_pylist(), links, place.get(entry))
-                yield _answers(g, ids, x, qids, qx, k, ef, kind)
+                yield _Shard.of(g, ids, x, k, kind).answers(qids, qx, ef)
 
         part = parts.mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
@@ -147,16 +153,85 @@ def search_built(base: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame],
     return top(found, order, k).select("qid", "rank", "id", "dist", "computed")
 
 
-def _answers(g: Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, ef: int, kind: MetricKind, passing: np.ndarray | None = None, repeat: int = 0) -> pa.RecordBatch:
-    """What a beam finds for each query, with the reference kernel's distances."""
-    out: list[tuple] = []
-    for qid, q in zip(qids.tolist(), qx):
-        before, began = g.computed, time.perf_counter()
-        rows = [c for _, c in g.search(q.astype(np.float64), k, ef, passing)]
-        seconds = time.perf_counter() - began
-        dist = distances_np(x[rows], q, kind) if rows else []
-        out += [(ef, qid, int(ids[c]), float(d), g.computed - before, seconds, repeat) for c, d in zip(rows, dist)]
-    return _found(out)
+def _members(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, cuts): the rows of each distinct vector, in order of its first row; cuts[c] : cuts[c + 1] are those of c."""
+    held = np.ascontiguousarray(x + np.float32(0))  # -0.0 is 0.0
+    _, first, which = np.unique(held.view(np.dtype((np.void, held.dtype.itemsize * held.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    which = place[which]
+    rows = np.argsort(which, kind="stable")
+    return rows, np.searchsorted(which[rows], np.arange(len(first) + 1))
+
+
+class _Shard:
+    """A shard and its graph.  Equal vectors are one node, with the first one's id: among many copies a beam, and the links
+    of a node, would hold nothing else."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kind: MetricKind, params: GraphParams, passing: np.ndarray | None = None):
+        rows, cuts = _members(x)
+        self._set(_graph(ids[rows[cuts[:-1]]], x[rows[cuts[:-1]]], params, kind), ids, x, k, kind, rows, cuts, passing)
+
+    @classmethod
+    def of(cls, g: Graph, ids: np.ndarray, x: np.ndarray, k: int, kind: MetricKind) -> _Shard:
+        """With a graph that is there, whose nodes are the rows."""
+        shard = cls.__new__(cls)
+        shard._set(g, ids, x, k, kind, np.arange(len(x)), np.arange(len(x) + 1), None)
+        return shard
+
+    def _set(self, g: Graph, ids: np.ndarray, x: np.ndarray, k: int, kind: MetricKind, rows: np.ndarray, cuts: np.ndarray, passing: np.ndarray | None) -> None:
+        self.g, self.ids, self.x, self.k, self.kind = g, ids, x, k, kind
+        of = lambda c: rows[cuts[c] : cuts[c + 1]] if passing is None else (r := rows[cuts[c] : cuts[c + 1]])[passing[r]]
+        self.rows = [of(c)[:k].tolist() for c in range(len(cuts) - 1)]  # of equal vectors, the smallest ids come first
+        self.passing = None if passing is None else np.array([len(r) > 0 for r in self.rows], bool)
+        self.scale = float((x.astype(np.float64) ** 2).sum(1).max(initial=0))
+
+    def slack(self, q: np.ndarray) -> float:
+        """By how much distances can differ that are equal once narrowed."""
+        own = float((q.astype(np.float64) ** 2).sum())
+        return 4e-7 * (own + self.scale if self.kind is MetricKind.L2 else np.sqrt(own * self.scale) + 1)
+
+    def ranked(self, q: np.ndarray, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest rows of some nodes, by the reference kernel's distance and id."""
+        rows = [r for c in nodes for r in self.rows[c]]
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        dist, ids = distances_np(self.x[rows], q, self.kind), self.ids[rows]
+        order = np.lexsort((ids, dist))[: self.k]
+        return ids[order], dist[order]
+
+    def answers(self, qids: np.ndarray, qx: np.ndarray, ef: int, repeat: int = 0, complete: bool = False) -> pa.RecordBatch:
+        """What a beam finds for each query; with complete, one that is widened while rows are missing from its answer."""
+        out: list[tuple] = []
+        for at in range(0, len(qids), 1024):
+            lot = qx[at : at + 1024]
+            exact = best_of(lot, self.ids, self.x, self.k, self.kind) if complete and self.k > 0 else None
+            for qid, q in zip(qids[at : at + 1024].tolist(), lot):
+                before, began, beam, q64 = self.g.computed, time.perf_counter(), ef, q.astype(np.float64)
+                want = next(exact)[1] if exact else None
+                while True:
+                    ids, dist = self.ranked(q, [c for _, c in self.g.search(q64, self.k, beam, self.passing, self.slack(q))])
+                    if want is None or beam >= len(self.rows) or np.array_equal(ids, want):
+                        break
+                    beam = min(len(self.rows), 2 * max(beam, self.k))
+                out += [(ef, qid, i, d, self.g.computed - before, time.perf_counter() - began, repeat) for i, d in zip(ids.tolist(), dist.tolist())]
+        return _found(out)
+
+    def widened(self, qids: np.ndarray, qx: np.ndarray, ef: int) -> pa.RecordBatch:
+        """What is left of a beam without a filter once rows that don't pass go, widened while fewer than k are."""
+        out: list[tuple] = []
+        n = len(self.rows)
+        for qid, q in zip(qids.tolist(), qx):
+            before, beam = self.g.computed, min(n, int(max(ef, self.k) / max(self.passing.mean(), 1 / n)) + 1)
+            while True:
+                whole = beam >= n  # then the filter may cut before the sort
+                near = [c for _, c in self.g.search(q.astype(np.float64), self.k if whole else beam, beam, self.passing if whole else None, self.slack(q)) if self.passing[c]]
+                ids, dist = self.ranked(q, near)
+                if len(ids) == self.k or whole:
+                    break
+                beam = min(n, 2 * beam)
+            out += [(ef, qid, i, d, self.g.computed - before, 0.0, 0) for i, d in zip(ids.tolist(), dist.tolist())]
+        return _found(out)
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,18 +239,21 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[c] for r in rows], t) for c, (n, t) in enumerate(kinds.items())})
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, ef: int, params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int, ef: int, params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None, complete: bool = False) -> DataFrame:
     """(qid, rank, id, dist, computed): k nearest that beams of max(ef, k) find in all shards, with the reference kernel's
-    distances; computed counts the distances computed for the query."""
-    return sweep(base, queries, k, [ef], params, metric, shards).select("qid", "rank", "id", "dist", "computed")
+    distances; computed counts the distances computed for the query.
+
+    A graph has at most SHARD_ROWS vectors, so large bases have more shards than asked for.  A beam as wide as its graph is
+    exact.  Narrower ones miss some neighbours; with ``complete`` an exact check of each query in each shard (matrix
+    products; not counted in computed) says which of them do, and those are doubled until they miss none."""
+    return sweep(base, queries, k, [ef], params, metric, shards, complete=complete).select("qid", "rank", "id", "dist", "computed")
 
 
-def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None, repeats: int = 1, warmup: int = 0) -> DataFrame:
+def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: GraphParams | None = None, metric: str | MetricKind = "l2", shards: int | None = None, repeats: int = 1, warmup: int = 0, complete: bool = False) -> DataFrame:
     """As search for several beams on the same graphs, with the beam as column ef; and repeat, and seconds: what the query
     took in the slowest shard.  Each beam first answers the first ``warmup`` queries without a record of them."""
     params, kind, spark = params or GraphParams(), MetricKind.parse(metric), base.sparkSession
-    shards = shards or shard_count(base)
-    found = None
+    shards, found = bounded(base, shards), None
     for qids, qx in query_blocks(queries):
         if kind is MetricKind.COSINE:
             qx = normalize_np(qx)
@@ -184,12 +262,12 @@ def sweep(base: DataFrame, queries: DataFrame, k: int, efs: list[int], params: G
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qids, qx = held.value
             for _, ids, x in _shards(batches, kind):
-                g = _graph(ids, x, params, kind)
+                shard = _Shard(ids, x, k, kind, params)
                 for ef in efs:
                     for q in qx[:warmup]:
-                        g.search(q.astype(np.float64), k, ef)
+                        shard.g.search(q.astype(np.float64), k, ef)
                     for r in range(repeats):
-                        yield _answers(g, ids, x, qids, qx, k, ef, kind, repeat=r)
+                        yield shard.answers(qids, qx, ef, r, complete)
 
         part = _sharded(base, shards).mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
@@ -208,10 +286,9 @@ def filtered_search(base: DataFrame, queries: DataFrame, k: int, ef: int, passin
     if mode not in ("in_filter", "post_filter"):
         raise VectorError(f"mode must be in_filter or post_filter, not {mode!r}")
     params, kind, spark = params or GraphParams(), MetricKind.parse(metric), base.sparkSession
-    shards = shards or shard_count(base)
+    shards = bounded(base, shards)
     condition = F.expr(passing) if isinstance(passing, str) else passing
-    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.col("id").cast("long").alias("id"), "vec", F.coalesce(condition, F.lit(False)).alias("ok"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "id")
+    rows = _sharded(base, shards, F.coalesce(condition, F.lit(False)).alias("ok"))
     found = None
     for qids, qx in query_blocks(queries):
         held = spark.sparkContext.broadcast((qids, normalize_np(qx) if kind is MetricKind.COSINE else qx))
@@ -226,20 +303,8 @@ def filtered_search(base: DataFrame, queries: DataFrame, k: int, ef: int, passin
                     yield b.select([0, 1, 2])
 
             for _, ids, x in _shards(seen(), kind):
-                g = _graph(ids, x, params, kind)
-                ok = np.array([flags.pop(i) for i in ids.tolist()], bool)
-                if mode == "in_filter":
-                    yield _answers(g, ids, x, qids, qx, k, ef, kind, ok)
-                    continue
-                for qid, q in zip(qids.tolist(), qx):
-                    before, beam = g.computed, min(len(ids), int(max(ef, k) / max(ok.mean(), 1 / len(ids))) + 1)
-                    while True:
-                        near = [c for _, c in g.search(q.astype(np.float64), beam, beam) if ok[c]][:k]
-                        if len(near) == k or beam >= len(ids):
-                            break
-                        beam = min(len(ids), 2 * beam)
-                    dist = distances_np(x[near], q, kind) if near else []
-                    yield _found([(ef, qid, int(ids[c]), float(d), g.computed - before, 0.0, 0) for c, d in zip(near, dist)])
+                shard = _Shard(ids, x, k, kind, params, np.array([flags.pop(i) for i in ids.tolist()], bool))
+                yield shard.answers(qids, qx, ef) if mode == "in_filter" else shard.widened(qids, qx, ef)
 
         part = rows.mapInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)

@@ -170,3 +170,29 @@ def test_each_violation(spark):
     none = spark.createDataFrame([], NODES)
     assert graph.violations(none, edges.where("src < 0"), None).count() == 0
     assert graph.total_stats(graph.layer_stats(none, edges.where("src < 0"))).first()["asymmetry_ratio"] == 0.0
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder with embeddings that graphs find hard: no clusters, and one vector with 300 copies."""
+    x = data(3000, 64, seed=5)
+    x[700:1000] = x[700]
+    path = str(tmp_path_factory.mktemp("many"))
+    frame(spark, x).selectExpr("id AS vec_id", "vec AS embedding", "CAST(id % 10 AS INT) AS label").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+def test_recall_floor_holds_for_each_query(spark, many):
+    from quarry import queries
+
+    assert sorted(map(tuple, queries.QUERIES["hnsw_recall_floor"](spark, many).collect())) == [(q, True) for q in range(0, 3000, 50)]
+
+
+def test_complete_search_has_every_neighbour(spark):
+    x = data(500, 16)
+    x[200:300] = x[200]
+    b = frame(spark, x)
+    q = b.where("id % 25 = 0").withColumnRenamed("id", "qid")
+    for metric in ("l2", "cosine", "dot"):
+        got = search(b, q, 5, 1, GraphParams(m=2, ef_construction=4), metric, 2, complete=True).drop("computed")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn(b, q, 5, metric).collect()))

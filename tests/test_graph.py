@@ -202,3 +202,34 @@ def test_search_query_finds_most_of_each_querys_neighbours(spark, many):
     from quarry import queries
 
     assert sorted(map(tuple, queries.QUERIES["hnsw_search_recall"](spark, many).collect())) == [(q, True) for q in range(0, 3000, 50)]
+
+
+def test_a_beam_as_wide_as_the_graph_holds_every_node():
+    g = Graph(np.array([[0.0], [1.0], [100.0], [101.0]]))
+    g.levels, g.layers, g.entry = [0] * 4, [{0: [1], 1: [0], 2: [3], 3: [2]}], 0
+    assert [c for _, c in g.search(np.array([100.0]), 3, 4)] == [2, 3, 1]
+    assert [c for _, c in g.search(np.array([100.0]), 3, 4, np.array([True, True, False, True]))] == [3, 1, 0]
+
+
+def test_a_wide_beam_equals_the_beam_by_heap():
+    x = data(600).astype(float)
+    g = Graph(x, GraphParams(m=8, ef_construction=40)).build()
+    for q in data(10, seed=3).astype(float):
+        before = g.computed
+        wide = g.search(q, 20, 600)
+        between, start = g.computed, [(float(g.distances(q, [g.entry])[0]), g.entry)]
+        for layer in range(len(g.layers) - 1, 0, -1):
+            start = g.search_layer(q, start, 1, layer)
+        assert wide == g.search_layer(q, start, 600, 0)[:20] and between - before == g.computed - between
+
+
+def test_graphs_are_bounded_whatever_shards_are_asked_for(spark, monkeypatch):
+    from quarry.operators import hnsw
+
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    x = data(350)
+    b = frame(spark, x)
+    q = b.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    got = search(b, q, 5, 350, GraphParams(m=8, ef_construction=40), shards=1)
+    assert hnsw.bounded(b, 1) == 4 and hnsw.bounded(b, 9) == 9
+    assert sorted(map(tuple, got.drop("computed").collect())) == sorted(map(tuple, knn(b, q, 5).collect()))

@@ -233,3 +233,19 @@ def test_graphs_are_bounded_whatever_shards_are_asked_for(spark, monkeypatch):
     got = search(b, q, 5, 350, GraphParams(m=8, ef_construction=40), shards=1)
     assert hnsw.bounded(b, 1) == 4 and hnsw.bounded(b, 9) == 9
     assert sorted(map(tuple, got.drop("computed").collect())) == sorted(map(tuple, knn(b, q, 5).collect()))
+
+
+@pytest.mark.parametrize("mode", ["in_filter", "post_filter"])
+def test_filtered_whole_beams_are_exact_on_bounded_graphs(spark, monkeypatch, mode):
+    from quarry.operators import hnsw
+
+    asked, sharded = [], hnsw._sharded
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    monkeypatch.setattr(hnsw, "_sharded", lambda base, shards, *more: asked.append(shards) or sharded(base, shards, *more))
+    x = data(350)
+    x[100:180] = x[100]
+    b = frame(spark, x)
+    q = b.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    got = hnsw.filtered_search(b, q, 5, 350, "id % 3 = 1", mode, GraphParams(m=8, ef_construction=40), shards=2)
+    assert sorted(map(tuple, got.drop("computed").collect())) == sorted(map(tuple, knn(b.where("id % 3 = 1"), q, 5).collect()))
+    assert asked == [4]

@@ -19,7 +19,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +40,8 @@ MIN_PAIRS, GAP = 0.75, 2
 VARIANT_WEIGHT = 0.1
 #: Units whose value a worker keeps (a cache only), and characters of text worked on at once.
 CACHE, CHUNK = 600_000, 4_000_000
-#: Strings bounded at once, and joins bounded at once.
-BLOCK, JOINS = 4_096, 2_048
+#: Strings bounded at once, joins bounded at once, and strings valued at once.
+BLOCK, JOINS, LOT = 8_192, 512, 2_048
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
@@ -61,7 +61,7 @@ def fragment_joins(words: list[str]) -> set[str]:
     """The joins of fragments of a whole text, but for those of two words within WIDTH, which all pairs have."""
     out: set[str] = set()
     end = -1
-    for k in [k for k, w in enumerate(words) if len(w) <= 2]:
+    for k in [k for k, n in enumerate(map(len, words)) if n <= 2]:
         if k > end:  # a run of fragments begins
             end = k
             while end + 1 < len(words) and len(words[end + 1]) <= 2:
@@ -201,13 +201,17 @@ def prefix_kernel(s: list[str], t: list[str]) -> np.ndarray:
     return out
 
 
-def normalised(s: list[str], t: list[str], norm_t: np.ndarray) -> np.ndarray:
+def squared_norms(s: list[str]) -> np.ndarray:
+    return np.concatenate([kernel(part, part, paired=True) for at in range(0, len(s), LOT) for part in [s[at : at + LOT]]] or [np.zeros(0, np.float32)])
+
+
+def normalised(s: list[str], t: list[str], norm_t: np.ndarray, norm_s: np.ndarray | None = None) -> np.ndarray:
     """Mean of the normalised kernel and its fourth power: both near misses and exact matches stand out."""
     out = np.empty((len(s), len(t)), np.float32)
-    for at in range(0, len(s), 2048):
-        part = s[at : at + 2048]
-        own = kernel(part, part, paired=True)
-        k = prefix_kernel(part, t) / np.sqrt(np.maximum(own, 1e-12)[:, None] * norm_t[None, :])
+    own = squared_norms(s) if norm_s is None else norm_s
+    for at in range(0, len(s), LOT):
+        part = s[at : at + LOT]
+        k = prefix_kernel(part, t) / np.sqrt(np.maximum(own[at : at + LOT], 1e-12)[:, None] * norm_t[None, :])
         out[at : at + len(part)] = (k + k * k * k * k) / 2
     return out
 
@@ -276,7 +280,8 @@ class Bound:
 
     A unit's value is bias + (sum of w k + sum of w k**4) / 2.  Three sums over its threes bound it: that of w k over all
     landmarks, that over those with w > 0, and one that no single k exceeds (the largest weight of each three among the
-    landmarks).  They are divided by the norm of a unit of that length without repeated subsequences, the least there is."""
+    landmarks).  They are divided by the norm of a unit of that length without repeated subsequences, the least there is; and
+    for what is left then, by its own."""
 
     def __init__(self, model: "KernelModel"):
         found = sorted(set("".join(model.landmarks)))
@@ -352,9 +357,9 @@ class Bound:
                         ahead[x:y, c] += gain
                         seen[x:y, c] += 1
 
-    def may_pass(self, total: np.ndarray, sizes: np.ndarray, floor: float) -> np.ndarray:
-        """Whether units with these sums may have a value above floor (with room for rounding)."""
-        every, plus, most = (total / self.norm[sizes][:, None]).T
+    def may_pass(self, total: np.ndarray, sizes: np.ndarray | None, floor: float, own: np.ndarray | None = None) -> np.ndarray:
+        """Whether units with these sums, and sizes or squared norms, may have a value above floor (with room for rounding)."""
+        every, plus, most = (total / (self.norm[sizes] if own is None else np.sqrt(np.maximum(own, 1e-12)))[:, None]).T
         return np.maximum(every, 0) + np.minimum(most * 1.001, 1) ** 3 * plus > 2 * (floor - self.bias) * 0.999 - 1e-3
 
 
@@ -372,25 +377,38 @@ class KernelModel:
         """The machine's value of each unit, that of its highest window."""
         return self._highest(strings, None, _BACKGROUND)
 
-    def _highest(self, strings: list[str], bound: Bound | None, floor: float) -> np.ndarray:
-        """Values of units; with a bound, only of those that may be above floor, and floor for the others."""
+    def _highest(self, strings: list[str], bound: Bound | None, floor: float, total: np.ndarray | None = None) -> np.ndarray:
+        """Values of units; with a bound, only of those that may be above floor, and floor for the others.  ``total``: the
+        bound's sums, for units of at most WIDTH letters that it has left at their length."""
         out = np.full(len(strings), floor, np.float64)
         pieces = [(w, k) for k, u in enumerate(strings) for w in windows(u)]
-        if bound and pieces:
-            texts = [w for w, _ in pieces]
-            ok = bound.may_pass(bound.parts(texts, False)[0], np.array([len(w) for w in texts]), floor)
-            pieces = [pieces[k] for k in np.flatnonzero(ok)]
-        pieces.sort()  # neighbours share prefixes
-        for at in range(0, len(pieces), 65536):
-            some = pieces[at : at + 65536]
-            got = normalised([w for w, _ in some], self.landmarks, self.norms) @ self.weights + self.bias
-            np.maximum.at(out, [k for _, k in some], got)
+        texts, owner = [w for w, _ in pieces], np.array([k for _, k in pieces], np.int64)
+        if bound and texts:
+            left = np.arange(len(texts))
+            if total is None:
+                total = bound.parts(texts, False)[0]
+                left = np.flatnonzero(bound.may_pass(total, np.array([len(w) for w in texts]), floor))
+            own = squared_norms([texts[k] for k in left])
+            ok = bound.may_pass(total[left], None, floor, own)
+            left, own = left[ok], own[ok]
+            texts, owner = [texts[k] for k in left], owner[left]
+        else:
+            own = squared_norms(texts)
+        order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)  # neighbours share prefixes
+        texts, owner, own = [texts[k] for k in order], owner[order], own[order]
+        for at in range(0, len(texts), 65536):
+            some = slice(at, at + 65536)
+            got = normalised(texts[some], self.landmarks, self.norms, own[some]) @ self.weights + self.bias
+            np.maximum.at(out, owner[some], got)
         return out
 
-    def _valued(self, strings: list[str], bound: Bound | None, floor: float, known: dict[str, float]) -> np.ndarray:
+    def _valued(self, strings: list[str], bound: Bound | None, floor: float, known: dict[str, float], total: np.ndarray | None = None) -> np.ndarray:
         """Values of units, from what is known or else as _highest gives them."""
-        new = list(dict.fromkeys(u for u in strings if u not in known))
-        known.update(zip(new, self._highest(new, bound, floor).tolist()))
+        new: dict[str, int] = {}
+        for k, u in enumerate(strings):
+            if u not in known:
+                new.setdefault(u, k)
+        known.update(zip(new, self._highest(list(new), bound, floor, None if total is None else total[list(new.values())]).tolist()))
         return np.array([known[u] for u in strings], np.float64)
 
     def best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float = FLOOR) -> list[tuple[float, str]]:
@@ -411,14 +429,14 @@ class KernelModel:
         bags = [split(t) for t in texts]
         found: list[tuple[int, float, str]] = []  # text, value, unit above floor
 
-        def take(owners: np.ndarray, strings: list[str], bound: Bound | None) -> None:
-            value = self._valued(strings, bound, floor, known)
+        def take(owners: np.ndarray, strings: list[str], total: np.ndarray | None = None) -> None:
+            value = self._valued(strings, bound, floor, known, total)
             found.extend((int(owners[k]), float(value[k]), strings[k]) for k in np.flatnonzero(value > floor))
 
         joins = [(k, u) for k, bag in enumerate(bags) for raw in fragment_joins(bag) for u in cleaned(raw)]
-        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins], bound)
-        number: dict[str, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for bag in bags for w in bag], np.int64)
+        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins])
+        number: dict[str, int] = defaultdict(itertools.count().__next__)
+        ids = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(bags)), np.int64)
         words = list(number)
         text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         plain = [letters(w) for w in words]
@@ -429,7 +447,7 @@ class KernelModel:
         total, one, two, back, ahead = bound.parts([plain[k] for k in short], True)
         likely = short[bound.may_pass(total, sizes[short], floor) & (sizes[short] >= ORDER)].tolist()
         variants = [(k, u) for k, raw in enumerate(words) if sizes[k] > WIDTH or not raw.isalpha() for u in cleaned(raw) if len(u) > WIDTH or u != plain[k]]
-        value = np.concatenate([self._valued([u for _, u in variants], bound, floor, known), self._valued([plain[k] for k in likely], None, floor, known)])
+        value = np.concatenate([self._valued([u for _, u in variants], bound, floor, known), self._valued([plain[k] for k in likely], bound, floor, known, total[row[likely]])])
         variants += [(k, plain[k]) for k in likely]
         telling: dict[int, list[tuple[float, str]]] = {}
         for k in np.flatnonzero(value > floor):
@@ -443,16 +461,17 @@ class KernelModel:
         both = sizes[ids[a]] + sizes[ids[b]]
         ok = (text[a] == text[b]) & (both >= ORDER) & (both <= WIDTH)
         a, b, both = a[ok], b[ok], both[ok]
-        owners, joined = [], []
+        owners, joined, sums_of = [], [], []
         for at in range(0, len(a), JOINS):
             i, j = ids[a[at : at + JOINS]], ids[b[at : at + JOINS]]
             x, y = row[i], row[j]
-            sums = total[x] + total[y] + (back[y] @ one[x][:, :, None])[:, :, 0] + (two[x] @ ahead[y][:, :, None])[:, :, 0]
+            sums = total[x] + total[y] + np.einsum("nij,nj->ni", back[y], one[x]) + np.einsum("nij,nj->ni", two[x], ahead[y])
             use = np.flatnonzero(bound.may_pass(sums, both[at : at + JOINS], floor))
             owners.append(text[a[at + use]])
             joined += [plain[i[k]] + plain[j[k]] for k in use]
+            sums_of.append(sums[use])
         if joined:
-            take(np.concatenate(owners), joined, None)  # the bound has left these
+            take(np.concatenate(owners), joined, np.concatenate(sums_of))
         if len(known) > CACHE:
             known.clear()
         out = [(floor, "")] * len(bags)
@@ -516,8 +535,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_00
     without a unit that tells them apart, the result is the smoothed share of label 1, which every text then scores.
     """
     rows = map_batches(labelled(docs, labels, label, max_train_rows, id_col, text_col), _signed, "t string, y int, h long")
-    # near copies count once, else every word of a copied text would tell
-    rows = rows.groupBy("h").agg(F.min(F.struct("t", "y")).alias("r")).select("r.t", "r.y").persist()
+    # near copies count once, else every word of a copied text would tell; texts of one task share the work on their words
+    rows = rows.groupBy("h").agg(F.min(F.struct("t", "y")).alias("r")).select("r.t", "r.y").coalesce(docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         n0, n1 = shares.get(0, 0), shares.get(1, 0)

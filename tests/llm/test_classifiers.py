@@ -230,3 +230,19 @@ def test_additive_model_learns_an_interaction():
     model = fit_additive(x, y, rounds=20)
     assert ((model.score(x) > 0.5) == y).mean() > 0.9
     assert (1, 0) in {(a, b) for a, b, _ in model.pairs}
+
+
+def test_a_units_own_norm_leaves_fewer_to_value_and_loses_none():
+    marks = ["moron", "idiot", "stupid"]
+    model = sk.KernelModel(marks, sk.kernel(marks, marks, paired=True), marks, np.array([1.5, 1.5, 1.5]), -1.5)
+    rng = np.random.default_rng(4)
+    strings = sorted({"".join(c * int(rng.choice([0, 1, 1, 2])) for c in m + str(rng.choice(marks))[: int(rng.integers(0, 4))]) for m in marks for _ in range(1000)} | set(marks))
+    strings = [x for x in strings if sk.ORDER <= len(x) <= sk.WIDTH]
+    bound, floor = sk.Bound(model), -0.5
+    total, own = bound.parts(strings, False)[0], sk.squared_norms(strings)
+    by_length = bound.may_pass(total, np.array([len(x) for x in strings]), floor)
+    by_norm = bound.may_pass(total, None, floor, own)
+    value = model.values(strings)
+    assert by_norm.sum() < by_length.sum() and not (by_norm & ~by_length).any() and by_norm[value > floor].all()
+    np.testing.assert_allclose(model._highest(strings, bound, floor), np.maximum(value, floor), atol=1e-5)
+    np.testing.assert_allclose(model._highest([x for x, ok in zip(strings, by_length) if ok], bound, floor, total[by_length]), np.maximum(value[by_length], floor), atol=1e-5)

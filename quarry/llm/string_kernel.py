@@ -41,7 +41,9 @@ VARIANT_WEIGHT = 0.1
 #: Units whose value a worker keeps (a cache only), and characters of text worked on at once.
 CACHE, CHUNK = 600_000, 4_000_000
 #: Strings bounded at once, joins bounded at once, and strings valued at once.
-BLOCK, JOINS, LOT = 8_192, 512, 2_048
+BLOCK, JOINS, LOT = 16_384, 1_024, 2_048
+#: Letters that have at most this share of a bound's weight are bounded together, in CLASSES classes.
+RARE, CLASSES = 0.06, 3
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
@@ -276,7 +278,8 @@ def holds_pairs(strings: list[str], marks: list[str]) -> np.ndarray:
 
 
 class Bound:
-    """Upper bounds of a machine's values, for many units at once.
+    """Upper bounds of a machine's values, for many units at once.  Letters of little weight share classes, and a three of
+    classes has the largest weight of its letters' threes.
 
     A unit's value is bias + (sum of w k + sum of w k**4) / 2.  Three sums over its threes bound it: that of w k over all
     landmarks, that over those with w > 0, and one that no single k exceeds (the largest weight of each three among the
@@ -285,18 +288,29 @@ class Bound:
 
     def __init__(self, model: "KernelModel"):
         found = sorted(set("".join(model.landmarks)))
-        self.size = s = len(found) + 1
+        s = len(found) + 1
         self.code = np.zeros(0x110000, np.int16)
         self.code[[ord(c) for c in found]] = np.arange(1, s)
-        three = np.zeros((3, s, s, s))  # all weights, those above zero, the largest of one landmark
+        single = np.zeros((3, s, s, s))  # all weights, those above zero, the largest of one landmark
         for t, w, norm in zip(model.landmarks, model.weights, model.norms):
             own = np.zeros((s, s, s))
             c = self.code[[ord(x) for x in t]]
             for p in itertools.combinations(range(len(t)), ORDER):
                 own[tuple(c[list(p)])] += DECAY ** (p[-1] - p[0] + 1) / np.sqrt(norm)
-            three[0] += w * own
-            three[1] += max(w, 0) * own
-            three[2] = np.maximum(three[2], own)
+            single[0] += w * own
+            single[1] += max(w, 0) * own
+            single[2] = np.maximum(single[2], own)
+        share = single[1].sum((1, 2)) + single[1].sum((0, 2)) + single[1].sum((0, 1))
+        by = np.argsort(share[1:], kind="stable") + 1
+        rare = int((np.cumsum(share[by]) <= RARE * share.sum()).sum())
+        group = np.zeros(s, np.int64)
+        group[by[:rare]] = 1 + np.arange(rare) * CLASSES // max(rare, 1)
+        group[np.sort(by[rare:])] = group.max() + 1 + np.arange(s - 1 - rare)
+        self.size = s = len(np.unique(group))
+        group = np.unique(group, return_inverse=True)[1]  # fewer rare letters than classes leave numbers free
+        self.code = group[self.code].astype(np.int16)
+        three = np.full((3, s, s, s), -np.inf)
+        np.maximum.at(three, (slice(None), group[:, None, None], group[None, :, None], group[None, None, :]), single)
         self.last = np.ascontiguousarray(three.transpose(2, 1, 0, 3).reshape(s, s, 3 * s), np.float32)  # [second][first, third]
         self.first = np.ascontiguousarray(three.transpose(3, 2, 0, 1).reshape(s, s, 3 * s), np.float32)  # [third][second, first]
         self.bias = model.bias
@@ -342,9 +356,9 @@ class Bound:
             rank = np.empty(len(first), np.int64)
             rank[by] = np.arange(len(first))
             node[live] = rank[np.cumsum(fresh) - 1]
-            total, one, two = total[parent], one[parent], two[parent]
+            total, one, two = total.take(parent, 0), one.take(parent, 0), two.take(parent, 0)
             if sides:
-                back, ahead, seen = back[parent], ahead[parent], seen[parent]
+                back, ahead, seen = back.take(parent, 0), ahead.take(parent, 0), seen.take(parent, 0)
             gain = np.float32(DECAY ** (m + 1))
             cuts = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1, [len(last)]])
             for x, y in zip(cuts[:-1], cuts[1:]):
@@ -425,56 +439,103 @@ class KernelModel:
                 held, size = [], 0
         return out + self._best(held, known, bound, floor) if held else out
 
+    @staticmethod
+    def _runs(ids: np.ndarray, text: np.ndarray, sizes: np.ndarray, raws: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of fragments that have joins other than those of two words within WIDTH: first and last place, whether the
+        text has a word before and after, and whether it is of two, without marks, as are the words beside it, and all its
+        joins are within WIDTH."""
+        size = raws[ids]
+        bits = size <= 2
+        on = np.zeros(len(ids) + 1, bool)  # whether a run goes on from one place to the next
+        on[1:-1] = bits[1:] & bits[:-1] & (text[1:] == text[:-1])
+        begin, end = np.flatnonzero(bits & ~on[:-1]), np.flatnonzero(bits & ~on[1:])
+        before, after = np.maximum(begin - 1, 0), np.minimum(end + 1, len(ids) - 1)
+        left, right = (before < begin) & (text[before] == text[begin]), (after > end) & (text[after] == text[end])
+        wide = np.maximum(np.where(left, size[before], 0), np.where(right, size[after], 0))
+        clean = (sizes == raws)[ids]
+        simple = (end == begin + 1) & (wide + 4 <= WIDTH) & clean[begin] & clean[end] & (clean[before] | ~left) & (clean[after] | ~right)
+        use = (end > begin) | (wide + 2 > WIDTH)
+        return begin[use], end[use], left[use], right[use], simple[use]
+
     def _best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float) -> list[tuple[float, str]]:
         bags = [split(t) for t in texts]
         found: list[tuple[int, float, str]] = []  # text, value, unit above floor
-
-        def take(owners: np.ndarray, strings: list[str], total: np.ndarray | None = None) -> None:
-            value = self._valued(strings, bound, floor, known, total)
-            found.extend((int(owners[k]), float(value[k]), strings[k]) for k in np.flatnonzero(value > floor))
-
-        joins = [(k, u) for k, bag in enumerate(bags) for raw in fragment_joins(bag) for u in cleaned(raw)]
-        take(np.array([k for k, _ in joins], np.int64), [u for _, u in joins])
+        flat = list(itertools.chain.from_iterable(bags))
         number: dict[str, int] = defaultdict(itertools.count().__next__)
-        ids = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(bags)), np.int64)
+        ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         words = list(number)
         text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        plain = [letters(w) for w in words]
-        sizes = np.array([len(x) for x in plain], np.int64)
+        del bags
+        plain = [w if w.isalpha() else _INNER.sub("", w) for w in words]
+        sizes, raws = (np.fromiter(map(len, x), np.int64, len(x)) for x in (plain, words))
+        # joins of fragments: of two without marks, and with a word beside them, they are joins of two; others go one by one
+        begin, end, left, right, simple = self._runs(ids, text, sizes, raws)
+        seen: dict[str, int] = defaultdict(itertools.count().__next__)
+        owners, places = [], []
+        for k in np.flatnonzero(~simple).tolist():
+            for raw in fragment_joins(flat[begin[k] - left[k] : end[k] + 1 + right[k]]):
+                for u in cleaned(raw):
+                    owners.append(begin[k])
+                    places.append(seen[u])
+        del flat
+        value = self._valued(list(seen), bound, floor, known)
+        if (value > floor).any():
+            strings, places = list(seen), np.array(places, np.int64)
+            found.extend((int(text[owners[k]]), float(value[places[k]]), strings[places[k]]) for k in np.flatnonzero(value[places] > floor))
+        begin, left, right = begin[simple], left[simple], right[simple]
+        twos, two_of = np.unique(ids[begin] * len(words) + ids[begin + 1], return_inverse=True) if len(begin) else (begin, begin)
+        two_of = two_of + len(words)
+        plain += [plain[k // len(words)] + plain[k % len(words)] for k in twos.tolist()]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, plain[len(words) :]), np.int64, len(twos))])
         short = np.flatnonzero((sizes > 0) & (sizes <= WIDTH))
         row = np.zeros(len(plain), np.int64)
         row[short] = np.arange(len(short))
-        total, one, two, back, ahead = bound.parts([plain[k] for k in short], True)
-        likely = short[bound.may_pass(total, sizes[short], floor) & (sizes[short] >= ORDER)].tolist()
-        variants = [(k, u) for k, raw in enumerate(words) if sizes[k] > WIDTH or not raw.isalpha() for u in cleaned(raw) if len(u) > WIDTH or u != plain[k]]
+        total, one, two, back, ahead = bound.parts([plain[k] for k in short.tolist()], True)
+        likely = short[bound.may_pass(total, sizes[short], floor) & (sizes[short] >= ORDER) & (short < len(words))].tolist()
+        marked = np.flatnonzero((sizes[: len(words)] > WIDTH) | (sizes[: len(words)] < raws)).tolist()
+        variants = [(k, u) for k in marked for u in cleaned(words[k]) if len(u) > WIDTH or u != plain[k]]
         value = np.concatenate([self._valued([u for _, u in variants], bound, floor, known), self._valued([plain[k] for k in likely], bound, floor, known, total[row[likely]])])
         variants += [(k, plain[k]) for k in likely]
         telling: dict[int, list[tuple[float, str]]] = {}
         for k in np.flatnonzero(value > floor):
             telling.setdefault(variants[k][0], []).append((float(value[k]), variants[k][1]))
         if telling:
-            for p in np.flatnonzero(np.isin(ids, list(telling))):
+            hit = np.zeros(len(plain), bool)
+            hit[list(telling)] = True
+            for p in np.flatnonzero(hit[ids]):
                 found.extend((int(text[p]), v, u) for v, u in telling[int(ids[p])])
-        # joins of two neighbours
+        # joins of two neighbours, each different one once
         p = np.flatnonzero(sizes[ids] > 0)
-        a, b = p[:-1], p[1:]
-        both = sizes[ids[a]] + sizes[ids[b]]
-        ok = (text[a] == text[b]) & (both >= ORDER) & (both <= WIDTH)
-        a, b, both = a[ok], b[ok], both[ok]
-        owners, joined, sums_of = [], [], []
-        for at in range(0, len(a), JOINS):
-            i, j = ids[a[at : at + JOINS]], ids[b[at : at + JOINS]]
+        p, after = p[:-1], p[1:]
+        both = sizes[ids[p]] + sizes[ids[after]]
+        ok = (text[p] == text[after]) & (both >= ORDER) & (both <= WIDTH)
+        place = np.concatenate([p[ok], begin[left], begin[right]])
+        a = np.concatenate([ids[p[ok]], ids[begin[left] - 1], two_of[right]])
+        b = np.concatenate([ids[after[ok]], two_of[left], ids[begin[right] + 2]])
+        pairs = np.sort(a * len(plain) + b)
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        kept, sums_of = [], []
+        for at in range(0, len(pairs), JOINS):
+            i, j = np.divmod(pairs[at : at + JOINS], len(plain))
             x, y = row[i], row[j]
-            sums = total[x] + total[y] + np.einsum("nij,nj->ni", back[y], one[x]) + np.einsum("nij,nj->ni", two[x], ahead[y])
-            use = np.flatnonzero(bound.may_pass(sums, both[at : at + JOINS], floor))
-            owners.append(text[a[at + use]])
-            joined += [plain[i[k]] + plain[j[k]] for k in use]
+            sums = total.take(x, 0) + total.take(y, 0) + np.einsum("nij,nj->ni", back.take(y, 0), one.take(x, 0)) + np.einsum("nij,nj->ni", two.take(x, 0), ahead.take(y, 0))
+            use = np.flatnonzero(bound.may_pass(sums, sizes[i] + sizes[j], floor))
+            kept.append(pairs[at + use])
             sums_of.append(sums[use])
-        if joined:
-            take(np.concatenate(owners), joined, np.concatenate(sums_of))
+        if kept:
+            kept = np.concatenate(kept)
+            joined = [plain[i] + plain[j] for i, j in zip(*(x.tolist() for x in np.divmod(kept, len(plain))))]
+            value = self._valued(joined, bound, floor, known, np.concatenate(sums_of))
+            above = np.flatnonzero(value > floor)
+            hit = np.zeros((2, len(plain)), bool)
+            hit[0, kept[above] // len(plain)] = hit[1, kept[above] % len(plain)] = True
+            of = {int(kept[k]): (float(value[k]), joined[k]) for k in above}
+            for k in np.flatnonzero(hit[0, a] & hit[1, b]).tolist():
+                if got := of.get(int(a[k]) * len(plain) + int(b[k])):
+                    found.append((int(text[place[k]]), *got))
         if len(known) > CACHE:
             known.clear()
-        out = [(floor, "")] * len(bags)
+        out = [(floor, "")] * len(texts)
         for k, v, u in found:
             if (-v, u) < (-out[k][0], out[k][1]):
                 out[k] = (v, u)

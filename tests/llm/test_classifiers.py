@@ -246,3 +246,21 @@ def test_a_units_own_norm_leaves_fewer_to_value_and_loses_none():
     assert by_norm.sum() < by_length.sum() and not (by_norm & ~by_length).any() and by_norm[value > floor].all()
     np.testing.assert_allclose(model._highest(strings, bound, floor), np.maximum(value, floor), atol=1e-5)
     np.testing.assert_allclose(model._highest([x for x, ok in zip(strings, by_length) if ok], bound, floor, total[by_length]), np.maximum(value[by_length], floor), atol=1e-5)
+
+
+def test_units_are_valued_once_a_block_and_none_is_lost(monkeypatch):
+    marks = ["moron", "idiot", "stupid", "véquté", "jázßñ"]
+    model = sk.KernelModel(marks, sk.kernel(marks, marks, paired=True), marks, np.array([1.5, 1.5, 1.5, 0.05, 0.02]), -1.5)
+    bound, floor = sk.Bound(model), -0.5
+    assert bound.size < 1 + len(set("".join(marks)))  # rare letters share classes
+    rng = np.random.default_rng(5)
+    pieces = ["mo", "r", "on", "mor", "i", "d", "ot", "id", "iot", "stu", "pid", "st", "up", "-", "o.", "_", "$$", "(mor", "o-n)", "vé", "qu", "té", "já", "zßñ", "worthwhileness", "counterweights", "unquestionable-", "extraordinarinesses", "table", "\n", "ab'c", "of"]
+    texts = [" ".join(rng.choice(pieces, int(rng.integers(0, 12)))) for _ in range(1500)] + ["", "-", "i", "id", "i d", "mo ron", "mo r on", "x mo ro n y"]
+    for text, (value, unit) in zip(texts, model.best(texts, {}, bound, floor)):
+        want = highest(model, text, floor)
+        assert value == pytest.approx(want[0], abs=1e-4) and (unit == want[1] or abs(value - want[0]) < 1e-4), text
+    asked, inner = [], sk.KernelModel._valued
+    monkeypatch.setattr(sk.KernelModel, "_valued", lambda self, strings, *rest: asked.append(len(strings)) or inner(self, strings, *rest))
+    once = model.best(texts, {}, bound, floor), sum(asked)
+    asked.clear()
+    assert (model.best(texts * 5, {}, bound, floor), sum(asked)) == (once[0] * 5, once[1])

@@ -14,7 +14,6 @@ that wrote them delivered its count, so that a lost or repeated task cannot leav
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, shared_dir, table
+from quarry.llm.common import BASE, BASE_INV, MULT, map_batches, mix64, powers, shared_dir, table, utf8
 
 NULL_ID = np.iinfo(np.int64).min
 #: Chunks whose ids a worker keeps before it starts anew.  A cache only.
 CACHE = 1_000_000
-_memo: dict[str, dict[str, bytes]] = {}
+#: Bytes of text whose chunks are looked up at once.
+BLOCK = 1 << 20
+_memo: dict[tuple[str, str], "Chunks"] = {}
 
 
 @lru_cache(maxsize=2)
@@ -61,54 +62,202 @@ def id_bytes(path: str) -> np.ndarray:
     return out
 
 
-#: A space before white space: there a pre-token may cross the space.
-_RUN = re.compile(r" \s")
-#: A comma or full stop that doesn't follow a letter or digit: it may belong to a longer pre-token.
-_MARKS = re.compile(r"(?:\W|_|^)[,.]")
+#: Bytes that are white space, and that are letters or digits, in ASCII.
+_SPACE, _WORD = (np.array([k < 128 and test(chr(k)) for k in range(256)]) for test in (str.isspace, str.isalnum))
+
+
+class Chunks:
+    """Chunks that a worker has encoded, with their ids: a table of 64-bit hashes with linear probing.
+
+    What is found by its hash is held against the chunk's own bytes, so that equal hashes never pass for equal chunks."""
+
+    #: Kinds of chunks: a space before white space (a pre-token may cross it), a comma or full stop first, a letter or digit last.
+    RUN, MARK, WORD = 1, 2, 4
+
+    def __init__(self, path: str, dtype: np.dtype):
+        self.path, self.known = path, 0
+        self.slots = np.zeros(1 << 20, np.int32)  # number + 1 of a chunk, or 0
+        self.hash, self.kind = np.zeros(1, np.uint64), np.zeros(1, np.uint8)
+        self.raw, self.ids = np.zeros(1, np.uint8), np.zeros(1, dtype)
+        self.raw_end, self.ids_end = np.zeros(1, np.int64), np.zeros(1, np.int64)  # of the chunks before each
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, numbers of ids and ids of chunks that stand side by side from the first start to the last end, and which
+        of them have the hash of another one; new chunks are encoded."""
+        raw, ends, starts = raw[starts[0] : ends[-1]], ends - starts[0], starts - starts[0]
+        sizes = ends - starts
+        power, inverse = _powers(len(raw))
+        sums = np.cumsum((raw + np.uint64(1)) * power)
+        before = np.concatenate([np.zeros(1, np.uint64), sums[ends[:-1] - 1]])
+        hashes = mix64((sums[ends - 1] - before) * inverse[starts] + sizes.astype(np.uint64) * MULT)
+        at = self._slot(hashes)
+        if len(fresh := np.flatnonzero(at < 0)):
+            _, first, where = np.unique(hashes[fresh], return_index=True, return_inverse=True)
+            first = fresh[first]
+            at[fresh] = self.known + where
+            self._add(raw, starts[first], ends[first], hashes[first])
+        begin = self.raw_end.take(at)
+        wrong = self.raw_end.take(at + 1) - begin != sizes
+        begin -= starts
+        place = np.repeat(begin, sizes)
+        place += np.arange(len(raw))
+        differ = np.flatnonzero(self.raw.take(place, mode="clip") != raw)
+        if len(differ):
+            wrong[np.searchsorted(ends, differ, side="right")] = True
+        begin = self.ids_end.take(at)
+        count = self.ids_end.take(at + 1) - begin
+        after = np.cumsum(count)
+        begin -= after - count
+        place = np.repeat(begin, count)
+        place += np.arange(len(place))
+        return self.kind.take(at), count, self.ids.take(place), wrong
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks with these hashes, -1 where there is none."""
+        last = len(self.slots) - 1
+        place = (hashes & np.uint64(last)).astype(np.int64)
+        at = self.slots.take(place).astype(np.int64) - 1
+        todo = np.flatnonzero((at >= 0) & (self.hash.take(at, mode="clip") != hashes))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & last
+            at[todo] = self.slots[place[todo]].astype(np.int64) - 1
+            todo = todo[(at[todo] >= 0) & (self.hash.take(at[todo], mode="clip") != hashes[todo])]
+        return at
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        last = len(self.slots) - 1
+        place = (hashes & np.uint64(last)).astype(np.int64)
+        while len(place):
+            free = self.slots[place] == 0
+            self.slots[place[free]] = numbers[free] + 1
+            left = self.slots[place] != numbers + 1
+            place, numbers = (place[left] + 1) & last, numbers[left]
+
+    def _add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        n, old, tok = len(starts), self.known, tokenizer(self.path)
+        whole, sizes = raw.tobytes(), ends - starts
+        texts = [whole[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        first, second, final = raw[starts], raw[np.minimum(starts + 1, len(raw) - 1)], raw[ends - 1]
+        blank, word = (sizes == 1) | _SPACE[second], _WORD[final]
+        for k in np.flatnonzero((first == 32) & (sizes > 1) & (second > 127)).tolist():
+            blank[k] = texts[k][1].isspace()
+        for k in np.flatnonzero(final > 127).tolist():
+            word[k] = texts[k][-1].isalnum()
+        run = (first == 32) & blank
+        kinds = run * self.RUN + ((first == 44) | (first == 46)) * self.MARK + word * self.WORD
+        # Chunks side by side encode as each alone; their ends are where the bytes of the ids have summed to theirs.
+        lengths, counts, found = id_bytes(self.path), np.zeros(n, np.int64), []
+        spaced, alone = np.flatnonzero((first == 32) & ~run), np.flatnonzero((first != 32) | run)
+        for at in range(0, len(spaced), 500):
+            some = spaced[at : at + 500]
+            ids = np.array(tok.encode_batch_fast(["".join([texts[k] for k in some.tolist()])], add_special_tokens=False)[0].ids, self.ids.dtype)
+            counts[some] = np.diff(np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes[some])) + 1, prepend=0)
+            found.append(ids)
+        rows = [e.ids for e in tok.encode_batch_fast([texts[k] for k in alone.tolist()], add_special_tokens=False)]
+        counts[alone] = [len(x) for x in rows]
+        found.append(np.array(list(chain.from_iterable(rows)), self.ids.dtype))
+        order = np.concatenate([spaced, alone])
+        begin = np.empty(n, np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        self.ids, self.ids_end = self._append(self.ids, self.ids_end, np.concatenate(found), begin, counts)
+        self.raw, self.raw_end = self._append(self.raw, self.raw_end, raw, starts, sizes)
+        self.hash, self.kind = _room(self.hash, old + n), _room(self.kind, old + n)
+        self.hash[old : old + n], self.kind[old : old + n] = hashes, kinds
+        self.known = old + n
+        if 2 * self.known > len(self.slots):
+            self.slots = np.zeros(1 << (4 * self.known).bit_length(), np.int32)
+            self._put(self.hash[: self.known], np.arange(self.known))
+        else:
+            self._put(hashes, np.arange(old, old + n))
+
+    def _append(self, values: np.ndarray, ends: np.ndarray, more: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values with those of ``more`` from each begin on behind them, and where the values of each chunk end."""
+        old, total, after = self.known, int(ends[self.known]), np.cumsum(sizes)
+        values, ends = _room(values, total + int(after[-1])), _room(ends, old + len(sizes) + 1)
+        values[total : total + after[-1]] = more[np.repeat(begin - after + sizes, sizes) + np.arange(after[-1])]
+        ends[old + 1 : old + len(sizes) + 1] = total + after
+        return values, ends
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one at least twice as long that begins with it, if it has fewer than size places."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+_power: list[np.ndarray] = [powers(BASE, 0), powers(BASE_INV, 0)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of hashes, and of its inverse."""
+    if n > 4 * BLOCK:  # one very long chunk
+        return powers(BASE, n)[:n], powers(BASE_INV, n)[:n]
+    if n > len(_power[0]):
+        _power[:] = powers(BASE, 2 * n), powers(BASE_INV, 2 * n)
+    return _power[0][:n], _power[1][:n]
 
 
 def encode_texts(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
-    """The ids of each whole text as packed integers, as the library's encode(text, add_special_tokens=False).
+    """encode_column() of a list, as the packed ids of each text."""
+    ids, ends = encode_column(path, pa.array(texts, pa.large_string()), dtype)
+    raw, cuts = ids.tobytes(), (ends * dtype.itemsize).tolist()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def encode_column(path: str, texts: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all whole texts (null: empty), as the library's encode(text, add_special_tokens=False), and n + 1 offsets.
 
-    Where pre-tokens never cross a space that stands before another character, the distinct chunks of the batch are
-    encoded once each and kept; texts with runs of spaces, outer spaces or what looks like a special token go whole.
+    Where pre-tokens never cross a space that stands before another character, the distinct chunks between such spaces are
+    encoded once each and kept; texts with runs of spaces or what looks like a special token go whole.  Chunks also begin at
+    commas and full stops, in texts where these only stand after letters and digits, so that a pre-token starts there.
     """
-    tok = tokenizer(path)
-    pack = lambda rows: [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(rows, add_special_tokens=False)]
-    if not splits_at_spaces(path):
-        return pack(texts)
-    memo = _memo.setdefault(path, {})
-    if len(memo) > CACHE:
-        memo.clear()
-    parts: list[list[str]] = []
-    wholes: list[str] = []
-    for text in texts:
-        if "<|" in text or "\0" in text or text[:1].isspace() or text[-1:].isspace() or _RUN.search(text):
-            parts.append([])
-            wholes.append(text)
-            continue
-        cut = text.replace(" ", "\0 ")
-        if not _MARKS.search(text):  # every mark stands after a letter or digit, so a pre-token starts there
-            cut = cut.replace(",", "\0,").replace(".", "\0.")
-        parts.append(cut.split("\0"))
-    new = set(chain.from_iterable(parts)).difference(memo)
-    chunks = [c for c in new if c[:1] == " "]
-    single = [c for c in new if c[:1] != " "]
-    memo.update(zip(single, pack(single)))
-    # Chunks side by side encode as each alone; their ends are where the bytes of the ids have summed to theirs.
-    lengths = id_bytes(path)
-    for at in range(0, len(chunks), 2000):
-        some = chunks[at : at + 2000]
-        ids = np.array(tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype)
-        ends = np.cumsum([len(c.encode()) for c in some])
-        cuts = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
-        raw, size = ids.tobytes(), dtype.itemsize
-        begin = 0
-        for c, end in zip(some, (cuts * size).tolist()):
-            memo[c] = raw[begin:end]
-            begin = end
-    rest = iter(pack(wholes))
-    return [b"".join(map(memo.__getitem__, p)) if p else next(rest) for p in parts]
+    todo, rows = np.arange(len(texts)), [np.zeros(0, dtype)] * len(texts)
+    if splits_at_spaces(path):
+        for marks in (True, False):
+            todo = _encode_chunks(path, texts, dtype, todo, marks, rows)
+    for k, e in zip(todo.tolist(), tokenizer(path).encode_batch_fast([texts[k].as_py() or "" for k in todo.tolist()], add_special_tokens=False)):
+        rows[k] = np.array(e.ids, dtype)
+    return np.concatenate(rows) if rows else np.zeros(0, dtype), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
+
+
+def _encode_chunks(path: str, texts: pa.Array, dtype: np.dtype, todo: np.ndarray, marks: bool, rows: list[np.ndarray]) -> np.ndarray:
+    """Sets the rows of texts that may be encoded by their chunks, and gives the other texts of todo."""
+    raw, offsets = utf8(texts if len(todo) == len(texts) else texts.take(pa.array(todo)))
+    if not len(raw):
+        return todo[:0]
+    memo = _memo.get((path, dtype.str))
+    if memo is None or memo.known > CACHE:
+        memo = _memo[path, dtype.str] = Chunks(path, dtype)
+    cut = raw == 32
+    if marks:
+        cut |= (raw == 44) | (raw == 46)
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(raw))
+    found, at = [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+        found.append(memo.find(raw, starts[at:to], ends[at:to]))
+        at = to
+    kinds, counts, ids, wrong = (np.concatenate(x) for x in zip(*found))
+    bounds = np.searchsorted(starts, offsets)  # of each text's chunks
+    odd = wrong | (kinds & Chunks.RUN > 0)
+    if marks:
+        after = np.zeros(len(kinds), bool)  # whether a chunk stands after a letter or digit of its text
+        after[1:] = kinds[:-1] & Chunks.WORD > 0
+        after[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
+        odd |= (kinds & Chunks.MARK > 0) & ~after
+    special = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+    bad = np.searchsorted(np.flatnonzero(odd), bounds)
+    bad = (bad[1:] > bad[:-1]) | np.isin(np.arange(len(todo)), np.searchsorted(offsets, special, side="right") - 1)
+    cuts = np.concatenate([[0], np.cumsum(counts)])[bounds].tolist()
+    for k, a, b, no in zip(todo.tolist(), cuts[:-1], cuts[1:], bad.tolist()):
+        if not no:
+            rows[k] = ids[a:b]
+    return todo[bad]
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -121,7 +270,6 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = np.dtype(width).newbyteorder("<")
-        end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         context = TaskContext.get()
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}"
         fs, root = pafs.FileSystem.from_uri(out)
@@ -133,11 +281,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
                 fs.create_dir(root, recursive=True)
                 ids_file = fs.open_output_stream(f"{root}/{name}.ids")
             ids.append(batch.column(0).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8"))
-            texts = batch.column(1).fill_null("").to_pylist()
-            for at in range(0, len(texts), 500):
-                rows = [row + end for row in encode_texts(tokenizer_path, texts[at : at + 500], dtype)]
-                lengths += [len(row) // dtype.itemsize for row in rows]
-                ids_file.write(b"".join(rows))
+            got, ends = encode_column(tokenizer_path, batch.column(1), dtype)
+            if end_id is not None:
+                got, ends = np.insert(got, ends[1:], end_id), ends + np.arange(len(ends))
+            lengths += np.diff(ends).tolist()
+            ids_file.write(got.tobytes())
         total = sum(lengths)
         if ids_file is None:
             return

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import awkward, empty, prose
 from pyspark.sql import functions as F
 
-from quarry.llm import common
+from quarry.llm import common, token_files
 from quarry.llm.token_files import encode_texts, read_token_files, token_digests, tokenizer, write_token_files
 from quarry.llm.trie_bpe import encode_digests, encode_documents, encoder
 
@@ -26,6 +27,36 @@ def test_chunks_encode_as_whole_texts():
     assert encode_texts(BYTE, texts, np.dtype("<u2")) == want
 
 
+def test_known_chunks_reach_the_library_once(monkeypatch):
+    texts = [f" {prose(k, 60)}\n" for k in range(20)] + ["outer \0 nul, and a mark.\n", "", "é.\nß, x"] + [prose(k, 40) for k in range(5)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer(BYTE).encode_batch(texts, add_special_tokens=False)]
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, rows, **options):
+            asked.extend(rows)
+            return tokenizer(BYTE).encode_batch_fast(rows, **options)
+
+    monkeypatch.setattr(token_files, "_memo", {})
+    assert encode_texts(BYTE, texts, np.dtype("<u2")) == want
+    monkeypatch.setattr(token_files, "tokenizer", lambda path: Spy())
+    assert encode_texts(BYTE, texts, np.dtype("<u2")) == want and not asked
+
+
+@pytest.mark.parametrize("kept", [0xFF, 0xFFFFF])
+def test_chunks_of_one_hash_or_of_many_blocks_stay_apart(monkeypatch, kept):
+    texts = noise(800, 3) + [prose(k, 200) + ", a.b" for k in range(20)] + [None, "", " ", "a" * 5000 + " b", "\x1c.\x85 ,\u2003x \u3000y ٣.", "a\x1c b", "a \x1cb", "x\n\n y \n", "e,,f", ".a", "9.5 ½. ²,"]
+    want = [np.array(e.ids, "<u2").tolist() for e in tokenizer(BYTE).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "_memo", {})
+    monkeypatch.setattr(token_files, "mix64", lambda x: x & np.uint64(kept))
+    monkeypatch.setattr(token_files, "BLOCK", 700)
+    for _ in range(2):
+        ids, ends = token_files.encode_column(BYTE, pa.array(texts, pa.string()), np.dtype("<u2"))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+    ids, ends = token_files.encode_column(BYTE, pa.array(texts, pa.string())[5:9], np.dtype("<u2"))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want[5:9]
+
+
 def test_files_round_trip(spark, tmp_path):
     docs = awkward(spark, [(k, prose(k)) for k in range(300)] + [(None, "no id")]).repartition(5)
     out = f"file://{tmp_path}/d"

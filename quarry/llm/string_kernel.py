@@ -20,7 +20,7 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,8 @@ CACHE, CHUNK = 600_000, 4_000_000
 BLOCK, JOINS, LOT = 16_384, 1_024, 2_048
 #: Letters that have at most this share of a bound's weight are bounded together, in CLASSES classes.
 RARE, CLASSES = 0.06, 3
+#: Joins of two words are valued in turns, up to these ranks in some text by their bound.
+TURNS = (2, 8, 32)
 #: What makes a unit an insult: its share among toxic texts, against that among clean ones in standard errors and as log
 #: odds (copied texts bring chance company, which is rarer).
 MIN_SHARE, MIN_Z, MIN_ODDS = 0.01, 5.0, 2.0
@@ -371,10 +373,14 @@ class Bound:
                         ahead[x:y, c] += gain
                         seen[x:y, c] += 1
 
-    def may_pass(self, total: np.ndarray, sizes: np.ndarray | None, floor: float, own: np.ndarray | None = None) -> np.ndarray:
+    def may_pass(self, total: np.ndarray, sizes: np.ndarray | None, floor: float | np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Whether units with these sums, and sizes or squared norms, may have a value above floor (with room for rounding)."""
+        return self.highest(total, sizes, own) > 2 * (floor - self.bias) * 0.999 - 1e-3
+
+    def highest(self, total: np.ndarray, sizes: np.ndarray | None, own: np.ndarray | None = None) -> np.ndarray:
+        """What units with these sums have at most of twice their value without bias."""
         every, plus, most = (total / (self.norm[sizes] if own is None else np.sqrt(np.maximum(own, 1e-12)))[:, None]).T
-        return np.maximum(every, 0) + np.minimum(most * 1.001, 1) ** 3 * plus > 2 * (floor - self.bias) * 0.999 - 1e-3
+        return np.maximum(every, 0) + np.minimum(most * 1.001, 1) ** 3 * plus
 
 
 @dataclass
@@ -391,9 +397,10 @@ class KernelModel:
         """The machine's value of each unit, that of its highest window."""
         return self._highest(strings, None, _BACKGROUND)
 
-    def _highest(self, strings: list[str], bound: Bound | None, floor: float, total: np.ndarray | None = None) -> np.ndarray:
+    def _highest(self, strings: list[str], bound: Bound | None, floor: float, total: np.ndarray | None = None, need: np.ndarray | None = None) -> np.ndarray:
         """Values of units; with a bound, only of those that may be above floor, and floor for the others.  ``total``: the
-        bound's sums, for units of at most WIDTH letters that it has left at their length."""
+        bound's sums, for units of at most WIDTH letters that it has left at their length.  ``need``, with it: what a unit
+        has to reach, floor or more; those that can't but may be above floor aren't valued and get minus infinity."""
         out = np.full(len(strings), floor, np.float64)
         pieces = [(w, k) for k, u in enumerate(strings) for w in windows(u)]
         texts, owner = [w for w, _ in pieces], np.array([k for _, k in pieces], np.int64)
@@ -404,6 +411,10 @@ class KernelModel:
                 left = np.flatnonzero(bound.may_pass(total, np.array([len(w) for w in texts]), floor))
             own = squared_norms([texts[k] for k in left])
             ok = bound.may_pass(total[left], None, floor, own)
+            if need is not None:
+                enough = bound.may_pass(total[left], None, need[left], own)
+                out[left[ok & ~enough]] = -np.inf
+                ok &= enough
             left, own = left[ok], own[ok]
             texts, owner = [texts[k] for k in left], owner[left]
         else:
@@ -416,14 +427,17 @@ class KernelModel:
             np.maximum.at(out, owner[some], got)
         return out
 
-    def _valued(self, strings: list[str], bound: Bound | None, floor: float, known: dict[str, float], total: np.ndarray | None = None) -> np.ndarray:
+    def _valued(self, strings: list[str], bound: Bound | None, floor: float, known: dict[str, float], total: np.ndarray | None = None, need: np.ndarray | None = None) -> np.ndarray:
         """Values of units, from what is known or else as _highest gives them."""
         new: dict[str, int] = {}
         for k, u in enumerate(strings):
-            if u not in known:
-                new.setdefault(u, k)
-        known.update(zip(new, self._highest(list(new), bound, floor, None if total is None else total[list(new.values())]).tolist()))
-        return np.array([known[u] for u in strings], np.float64)
+            if u not in known and new.setdefault(u, k) != k and need is not None:
+                need[new[u]] = min(need[new[u]], need[k])
+        if new:
+            at = list(new.values())
+            got = self._highest(list(new), bound, floor, None if total is None else total[at], None if need is None else need[at])
+            known.update((u, v) for u, v in zip(new, got.tolist()) if v > -np.inf)
+        return np.array([known.get(u, -np.inf) for u in strings], np.float64)
 
     def best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float = FLOOR) -> list[tuple[float, str]]:
         """Value and unit of the highest unit of each text (ties: the smaller unit), or floor and no unit where none is above
@@ -460,6 +474,12 @@ class KernelModel:
     def _best(self, texts: list[str], known: dict[str, float], bound: Bound, floor: float) -> list[tuple[float, str]]:
         bags = [split(t) for t in texts]
         found: list[tuple[int, float, str]] = []  # text, value, unit above floor
+        best = np.full(len(texts), floor, np.float64)  # what each text's units found so far reach
+
+        def note(owners: np.ndarray, value: np.ndarray, unit: Callable[[int], str]) -> None:
+            np.maximum.at(best, owners, value)
+            found.extend((int(owners[k]), float(value[k]), unit(k)) for k in np.flatnonzero(value == best[owners]).tolist())
+
         flat = list(itertools.chain.from_iterable(bags))
         number: dict[str, int] = defaultdict(itertools.count().__next__)
         ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
@@ -480,8 +500,10 @@ class KernelModel:
         del flat
         value = self._valued(list(seen), bound, floor, known)
         if (value > floor).any():
-            strings, places = list(seen), np.array(places, np.int64)
-            found.extend((int(text[owners[k]]), float(value[places[k]]), strings[places[k]]) for k in np.flatnonzero(value[places] > floor))
+            strings, owners, places = list(seen), np.array(owners, np.int64), np.array(places, np.int64)
+            use = np.flatnonzero(value[places] > floor)
+            owners, places = text[owners[use]], places[use]
+            note(owners, value[places], lambda k: strings[places[k]])
         begin, left, right = begin[simple], left[simple], right[simple]
         twos, two_of = np.unique(ids[begin] * len(words) + ids[begin + 1], return_inverse=True) if len(begin) else (begin, begin)
         two_of = two_of + len(words)
@@ -496,14 +518,14 @@ class KernelModel:
         variants = [(k, u) for k in marked for u in cleaned(words[k]) if len(u) > WIDTH or u != plain[k]]
         value = np.concatenate([self._valued([u for _, u in variants], bound, floor, known), self._valued([plain[k] for k in likely], bound, floor, known, total[row[likely]])])
         variants += [(k, plain[k]) for k in likely]
-        telling: dict[int, list[tuple[float, str]]] = {}
-        for k in np.flatnonzero(value > floor):
-            telling.setdefault(variants[k][0], []).append((float(value[k]), variants[k][1]))
+        telling: dict[int, tuple[float, str]] = {}  # the highest unit of a word, less its value first
+        for k in np.flatnonzero(value > floor).tolist():
+            telling[variants[k][0]] = min(telling.get(variants[k][0], (0.0 - floor, "")), (-float(value[k]), variants[k][1]))
         if telling:
-            hit = np.zeros(len(plain), bool)
-            hit[list(telling)] = True
-            for p in np.flatnonzero(hit[ids]):
-                found.extend((int(text[p]), v, u) for v, u in telling[int(ids[p])])
+            of_word = np.full(len(plain), floor)
+            of_word[list(telling)] = [-v for v, _ in telling.values()]
+            p = np.flatnonzero(of_word[ids] > floor)
+            note(text[p], of_word[ids[p]], lambda k: telling[int(ids[p[k]])][1])
         # joins of two neighbours, each different one once
         p = np.flatnonzero(sizes[ids] > 0)
         p, after = p[:-1], p[1:]
@@ -512,9 +534,10 @@ class KernelModel:
         place = np.concatenate([p[ok], begin[left], begin[right]])
         a = np.concatenate([ids[p[ok]], ids[begin[left] - 1], two_of[right]])
         b = np.concatenate([ids[after[ok]], two_of[left], ids[begin[right] + 2]])
-        pairs = np.sort(a * len(plain) + b)
+        key = a * len(plain) + b
+        pairs = np.sort(key)
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-        kept, sums_of = [], []
+        kept, sums_of = [pairs[:0]], [np.zeros((0, 3), np.float32)]
         for at in range(0, len(pairs), JOINS):
             i, j = np.divmod(pairs[at : at + JOINS], len(plain))
             x, y = row[i], row[j]
@@ -522,17 +545,31 @@ class KernelModel:
             use = np.flatnonzero(bound.may_pass(sums, sizes[i] + sizes[j], floor))
             kept.append(pairs[at + use])
             sums_of.append(sums[use])
-        if kept:
-            kept = np.concatenate(kept)
-            joined = [plain[i] + plain[j] for i, j in zip(*(x.tolist() for x in np.divmod(kept, len(plain))))]
-            value = self._valued(joined, bound, floor, known, np.concatenate(sums_of))
-            above = np.flatnonzero(value > floor)
+        del total, one, two, back, ahead
+        kept, sums = np.concatenate(kept), np.concatenate(sums_of)
+        if len(kept):
+            i, j = np.divmod(kept, len(plain))
+            both = sizes[i] + sizes[j]
             hit = np.zeros((2, len(plain)), bool)
-            hit[0, kept[above] // len(plain)] = hit[1, kept[above] % len(plain)] = True
-            of = {int(kept[k]): (float(value[k]), joined[k]) for k in above}
-            for k in np.flatnonzero(hit[0, a] & hit[1, b]).tolist():
-                if got := of.get(int(a[k]) * len(plain) + int(b[k])):
-                    found.append((int(text[place[k]]), *got))
+            hit[0, i] = hit[1, j] = True
+            at = np.flatnonzero(hit[0, a] & hit[1, b])
+            pair = np.searchsorted(kept, key[at])
+            ok = kept[np.minimum(pair, len(kept) - 1)] == key[at]
+            pair, owners = pair[ok], text[place[at[ok]]]
+            # the likeliest of each text first: others need only be valued if they may reach what those do
+            order = np.lexsort((-bound.highest(sums, both)[pair], owners))
+            pair, owners = pair[order], owners[order]
+            rank = np.full(len(kept), len(pair))
+            np.minimum.at(rank, pair, np.arange(len(pair)) - np.searchsorted(owners, owners))
+            for low, high in itertools.pairwise((0, *TURNS, len(pair) + 1)):
+                need = np.full(len(kept), np.inf)
+                np.minimum.at(need, pair, best[owners])
+                some = np.flatnonzero((rank >= low) & (rank < high))
+                some = some[bound.may_pass(sums[some], both[some], need[some])]
+                value = np.full(len(kept), -np.inf)
+                value[some] = self._valued([plain[x] + plain[y] for x, y in zip(i[some].tolist(), j[some].tolist())], bound, floor, known, sums[some], need[some])
+                use = np.flatnonzero(value[pair] > floor)
+                note(owners[use], value[pair[use]], lambda k: plain[i[pair[use[k]]]] + plain[j[pair[use[k]]]])
         if len(known) > CACHE:
             known.clear()
         out = [(floor, "")] * len(texts)

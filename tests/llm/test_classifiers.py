@@ -264,3 +264,20 @@ def test_units_are_valued_once_a_block_and_none_is_lost(monkeypatch):
     once = model.best(texts, {}, bound, floor), sum(asked)
     asked.clear()
     assert (model.best(texts * 5, {}, bound, floor), sum(asked)) == (once[0] * 5, once[1])
+
+
+def test_joins_that_cannot_be_a_texts_highest_are_not_valued():
+    marks = ["moron", "idiot", "stupid"]
+    model = sk.KernelModel(marks, sk.kernel(marks, marks, paired=True), marks, np.array([1.5, 1.5, 1.5]), -1.5)
+    rng = np.random.default_rng(6)
+    pieces = ["".join(c for c in m * 2 if rng.random() < 0.6)[:8] for m in marks for _ in range(40)] + ["mor", "on", "of", "a"]
+    texts = [" ".join(rng.choice([p for p in pieces if p], 60)) for _ in range(60)]
+    floor, known = -1.4, {}
+    got = model.best(texts, known, sk.Bound(model), floor)
+    joins = {u for t in texts for u in sk.units(t)}
+    value = dict(zip(joins, model.values(list(joins))))
+    assert len(known) < sum(v > floor for v in value.values()) / 2
+    assert all(abs(max(value[u], floor) - v) < 1e-4 for u, v in known.items() if u in value)
+    for text, (v, unit) in zip(texts, got):
+        want = highest(model, text, floor)
+        assert v == pytest.approx(want[0], abs=1e-4) and (unit == want[1] or abs(v - want[0]) < 1e-4), text

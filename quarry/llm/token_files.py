@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import BASE, BASE_INV, MULT, map_batches, mix64, powers, shared_dir, table, utf8
 
 NULL_ID = np.iinfo(np.int64).min
-#: Chunks whose ids a worker keeps before it starts anew.  A cache only.
-CACHE = 1_000_000
+#: Chunks whose ids a worker keeps before it starts anew, and their bytes.  A cache only.
+CACHE, CACHE_BYTES = 1_000_000, 1 << 25
 #: Bytes of text whose chunks are looked up at once.
 BLOCK = 1 << 20
 _memo: dict[tuple[str, str], "Chunks"] = {}
@@ -229,7 +229,7 @@ def _encode_chunks(path: str, texts: pa.Array, dtype: np.dtype, todo: np.ndarray
     if not len(raw):
         return todo[:0]
     memo = _memo.get((path, dtype.str))
-    if memo is None or memo.known > CACHE:
+    if memo is None or memo.known > CACHE or memo.raw_end[memo.known] > CACHE_BYTES:
         memo = _memo[path, dtype.str] = Chunks(path, dtype)
     cut = raw == 32
     if marks:

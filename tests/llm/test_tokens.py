@@ -57,6 +57,16 @@ def test_chunks_of_one_hash_or_of_many_blocks_stay_apart(monkeypatch, kept):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want[5:9]
 
 
+def test_long_chunks_are_not_kept_for_ever(monkeypatch):
+    monkeypatch.setattr(token_files, "_memo", {})
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 10_000)
+    texts = ["".join(random.Random(k).choices("abcdefgh", k=4000)) + " x" for k in range(20)]
+    for text in texts:
+        assert encode_texts(BYTE, [text], np.dtype("<u2")) == [np.array(tokenizer(BYTE).encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+        (memo,) = token_files._memo.values()
+        assert memo.raw_end[memo.known] < 15_000
+
+
 def test_files_round_trip(spark, tmp_path):
     docs = awkward(spark, [(k, prose(k)) for k in range(300)] + [(None, "no id")]).repartition(5)
     out = f"file://{tmp_path}/d"
